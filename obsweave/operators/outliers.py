@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from obsweave.columns import EARTH_RADIUS_M, Columns
 from obsweave.functions.labels import filled
+from obsweave.plans.session import cut
 from obsweave.plans.skew import attach
 
 _BLOCK = 512  # points per block; a task compares two blocks at a time
@@ -52,12 +53,14 @@ def outlier_locations(
     that, places are first binned to ``cell_deg`` cells, of which the globe has at
     most 259,200 at 0.5 degrees, so a species' work is bounded.  Point pairs are
     never rows: blocks of 512 points meet inside a task and leave sums only, and
-    each block of a species is its own join key.
+    each block of a species is its own join key.  Eager: the narrow intermediate
+    tables are written to the shared folder.
     """
     sp, x, y = cols.species, cols.lon, cols.lat
     loc = locations.where(
         filled(F.col(sp)) & F.col(x).isNotNull() & F.col(y).isNotNull()
     ).select(sp, x, y, "n")
+    loc = cut(loc, "locations")
     cells = F.ceil((F.max(y) - F.min(y)) / cell_deg + 1) * F.ceil(
         (F.max(x) - F.min(x)) / cell_deg + 1
     )
@@ -87,7 +90,7 @@ def outlier_locations(
             F.col(c)
         )
 
-    loc = loc.withColumns({"px": snap(x), "py": snap(y)})
+    loc = cut(loc.withColumns({"px": snap(x), "py": snap(y)}), "points")
     points = loc.groupBy(sp, "px", "py").agg(
         F.sum("n").alias("w"),
         F.count("*").alias("m"),
@@ -125,6 +128,7 @@ def outlier_locations(
         )
         .withColumn("mean_m", F.round(F.col("d") / (F.col("n_records") - 1), 3))
     )
+    means = cut(means, "means")
     limits = means.groupBy(F.col(sp).alias("_sp")).agg(
         F.percentile("mean_m", [0.25, 0.75], F.col("w")).alias("q")
     )
@@ -134,6 +138,7 @@ def outlier_locations(
     far = far.select(
         F.col(sp).alias("_sp"), F.col("px").alias("_px"), F.col("py").alias("_py")
     )
+    far = cut(far, "far")
     # a flagged point holds less than a quarter of its species' records
     return loc.join(
         far, (loc[sp] == far["_sp"]) & (loc["px"] == far["_px"]) & (loc["py"] == far["_py"]),

@@ -30,23 +30,22 @@ def running_sums(
     probs = [i / _COARSE**2 for i in range(1, _COARSE**2)]
     cuts = df.agg(F.percentile_approx(F.col(lead).cast("double"), probs, 2000)).scalar()
     v = F.col(lead).cast("double")
-    coarse = F.size(
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(_COARSE - 1)),
-                lambda i: F.element_at(cuts, i * _COARSE),
-            ),
-            lambda b: b < v,
-        )
+    # two short scans of the cut points instead of one long one
+    out = df.withColumn("_cuts", cuts)
+    coarse = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_COARSE - 1)),
+        F.lit(0),
+        lambda acc, i: acc
+        + F.when(F.element_at(F.col("_cuts"), i * _COARSE) < v, 1).otherwise(0),
     )
-    out = df.withColumn("_coarse", coarse)
+    out = out.withColumn("_coarse", coarse)
     fine = F.size(
-        F.filter(F.slice(cuts, F.col("_coarse") * _COARSE + 1, _COARSE - 1), lambda b: b < v)
+        F.filter(F.slice("_cuts", F.col("_coarse") * _COARSE + 1, _COARSE - 1), lambda b: b < v)
     )
-    # an empty input has no cut points: size(NULL) is -1 or NULL, any value serves
+    # an empty input has no cut points and no rows
     out = out.withColumn(
         "_slice", F.coalesce(F.col("_coarse") * _COARSE + fine, F.lit(0))
-    ).drop("_coarse")
+    ).drop("_coarse", "_cuts")
 
     keys = [*by, "_slice"]
     totals = out.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])

@@ -42,19 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder once and read it from there.
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the written table.
 
-    Used before iterative work, so that neither an iteration nor a lost executor
-    repeats the record-sized steps that produced ``df``.
+    Used where later steps read a result several times or iterate over it: plans
+    stay short, and neither an iteration nor a lost executor repeats the
+    record-sized steps that produced ``df``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, grouped by application."""
+    app = f"obsweave-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_dir(spark), app, f"{name}-{uuid.uuid4().hex}")
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the wide flag expressions need.
+
+    A generated method above 8000 bytes of bytecode is never compiled by the JVM,
+    so such a stage falls back to per-operator code, which is split into small methods.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark

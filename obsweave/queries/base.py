@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from obsweave.columns import COORD_FLAGS, FLAGS, STRATEGIES, Columns
 from obsweave.operators.flags import FlagRules, add_flags, passes
+from obsweave.plans.session import scratch_path, tune
 from obsweave.sources.reference import HEADQUARTERS, References, load_reference, ring_table
+from obsweave.sources.stage import materialize
 
 COLS = Columns()
 AS_OF = 2025
@@ -98,8 +100,19 @@ def references(spark: SparkSession) -> References:
     )
 
 
+_STAGES: dict[tuple[str, str], str] = {}
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_flags(occurrences(spark, sf_dir), COLS, references(spark), RULES)
+    """The flagged stage table: written once per application, then read by each report."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _STAGES:
+        _STAGES[key] = scratch_path(spark, "flagged")
+    return materialize(spark, lambda: flag_now(spark, sf_dir), _STAGES[key])
+
+
+def flag_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_flags(occurrences(tune(spark), sf_dir), COLS, references(spark), RULES)
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:

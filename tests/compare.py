@@ -74,7 +74,9 @@ def main(argv):
 
     sf_dir = f"/root/testdata/{argv[0]}"
     only = set(argv[1:])
-    spark = local_session(8)
+    from obsweave.plans.session import tune
+
+    spark = tune(local_session(8))
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
