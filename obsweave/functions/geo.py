@@ -47,18 +47,21 @@ def square_key(lon, lat, per_degree: int = 10) -> tuple[Column, Column]:
 def hex_key(lon, lat, size: float = 0.1) -> tuple[Column, Column]:
     """Axial (q, r) of the pointy-top hexagon whose opposite edges are ``size`` apart.
 
-    Cube rounding settles edges, so a point always has exactly one cell.
+    Hexagon centres form two interleaved rectangular lattices (even and odd rows);
+    the nearer of the two candidates wins, so a point always has exactly one cell.
     """
-    lon, lat = _col(lon), _col(lat)
-    row_gap = size * 3**0.5 / 2
-    r = lat / row_gap
-    q = lon / size - r / 2
-    s = -q - r
-    rq, rr, rs = F.round(q), F.round(r), F.round(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    out_q = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    out_r = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
-    return out_q.cast("long"), out_r.cast("long")
+    x, y = _col(lon) / size, _col(lat) / (size * 3**0.5 / 2)
+    even_r, even_x = 2 * F.floor(y / 2 + 0.5), F.floor(x + 0.5)
+    odd_r, odd_x = 2 * F.floor(y / 2) + 1, F.floor(x) + 0.5
+
+    def far(cx: Column, cr: Column) -> Column:
+        # squared distance in units of the size; a row step is sqrt(3) / 2 of it
+        return (x - cx) * (x - cx) + (y - cr) * (y - cr) * 0.75
+
+    even = far(even_x, even_r) <= far(odd_x, odd_r)
+    q = F.when(even, even_x - even_r / 2).otherwise(odd_x - odd_r / 2)
+    r = F.when(even, even_r).otherwise(odd_r)
+    return F.floor(q + 0.5).cast("long"), r.cast("long")
 
 
 def hex_centre(q, r, size: float = 0.1) -> tuple[Column, Column]:
