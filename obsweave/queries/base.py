@@ -89,6 +89,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw occurrence records."""
+    tune(spark)
     return spark.sql(OCCURRENCES.replace("FROM lineitem", "FROM {src}"),
                      src=table(spark, sf_dir, "lineitem"))
 
@@ -112,7 +113,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_flags(occurrences(tune(spark), sf_dir), COLS, references(spark), RULES)
+    return add_flags(occurrences(spark, sf_dir), COLS, references(spark), RULES)
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
