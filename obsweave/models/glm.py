@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.functions.special import digamma, lgamma, trigamma
+from obsweave.functions.special import lgamma
 from obsweave.models.design import PREDICTORS
+from obsweave.plans.session import cut
 
 
 class NotConverged(RuntimeError):
@@ -109,136 +110,172 @@ def overdispersion(df: DataFrame, model: Fitted) -> DataFrame:
 # ------------------------------------------------- grouped negative binomial
 
 
-def _pass(df: DataFrame, group: str, y: str, terms: Sequence[str], state: dict, family: str) -> dict:
-    """One pass: normal equations, theta score and information per group."""
-    spark = df.sparkSession
-    p = len(terms) + 1
-    rows = [(g, float(s["theta"]), *map(float, s["b"])) for g, s in state.items()]
-    names = [f"_b{i}" for i in range(p)]
+def _digamma(x: np.ndarray) -> np.ndarray:
+    back = sum(1 / (x + i) for i in range(8))
+    y = x + 8
+    i2 = 1 / (y * y)
+    return np.log(y) - 0.5 / y - i2 * (1 / 12 - i2 * (1 / 120 - i2 * (1 / 252 - i2 / 240))) - back
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    back = sum(1 / (x + i) ** 2 for i in range(8))
+    i = 1 / (x + 8)
+    return i + i * i / 2 + i**3 * (1 / 6 - i * i * (1 / 30 - i * i / 42)) + back
+
+
+def _block(x: np.ndarray, y: np.ndarray, b: np.ndarray, t: float, family: str) -> np.ndarray:
+    """Sums of one block of rows: X'WX, X'Wz, theta score and information, n, sum y, sum w."""
+    eta = np.clip(x @ b, -30, 30)
+    mu = np.exp(eta)
+    w = mu / (1 + mu / t) if family == "negbin" else mu
+    z = eta + (y - mu) / mu
+    score = info = 0.0
+    if family == "negbin":
+        a, mt, th = y + t, mu + t, np.array([t])
+        score = (_digamma(a) - _digamma(th) + math.log(t) + 1 - np.log(mt) - a / mt).sum()
+        info = (_trigamma(th) - _trigamma(a) - 1 / t + 2 / mt - a / (mt * mt)).sum()
+    xw = x * w[:, None]
+    return np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [score, info, len(y), y.sum(), w.sum()]])
+
+
+def _pass(data: DataFrame, state: dict, family: str, p: int) -> dict:
+    """One pass over (_g, _y, _x0...): each task sums its rows, only sums are shuffled."""
+    coefs = {g: (np.asarray(s["b"], float), float(s["theta"])) for g, s in state.items()}
+    names = [f"_x{i}" for i in range(1, p)]
     schema = T.StructType(
-        [T.StructField("_g", df.schema[group].dataType), T.StructField("_t", T.DoubleType())]
-        + [T.StructField(n, T.DoubleType()) for n in names]
+        [T.StructField("_g", data.schema["_g"].dataType), T.StructField("v", T.ArrayType(T.DoubleType()))]
     )
-    coefs = spark.createDataFrame(rows, schema)
-    d = df.join(F.broadcast(coefs), df[group] == coefs["_g"])
-    x = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
-    eta = x[0] * F.col("_b0")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for g, part in pdf.groupby("_g"):
+                if g not in coefs:
+                    continue
+                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(float)])
+                v = _block(x, part["_y"].to_numpy(float), *coefs[g], family)
+                held[g] = held[g] + v if g in held else v
+        yield pd.DataFrame({"_g": list(held), "v": list(held.values())})
+
+    parts = data.mapInPandas(sums, schema).select("_g", F.posexplode("v").alias("i", "v"))
+    out: dict = {}
+    for r in parts.groupBy("_g", "i").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["_g"], np.zeros(p * p + p + 5))[r["i"]] = r["v"]
+    return out
+
+
+def _final_loglik(data: DataFrame, models: dict) -> dict:
+    """Log-likelihood per group at the final estimates."""
+    rows = [(g, float(m.theta or 0.0), m.intercept, *m.coef) for g, m in models.items()]
+    p = len(rows[0]) - 2
+    fields = ["_t", *[f"_b{i}" for i in range(p)]]
+    schema = T.StructType(
+        [T.StructField("_k", data.schema["_g"].dataType)] + [T.StructField(n, T.DoubleType()) for n in fields]
+    )
+    # one row per fitted group
+    d = data.join(F.broadcast(data.sparkSession.createDataFrame(rows, schema)), F.col("_g") == F.col("_k"))
+    eta = F.col("_b0")
     for i in range(1, p):
-        eta = eta + x[i] * F.col(f"_b{i}")
-    d = d.select("*", F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0)).alias("_eta"))
-    d = d.select("*", F.exp("_eta").alias("_mu"), F.col(y).cast("double").alias("_y"))
-    mu, yy, t = F.col("_mu"), F.col("_y"), F.col("_t")
-    weight = mu / (1 + mu / t) if family == "negbin" else mu
-    d = d.select("*", weight.alias("_w"), (F.col("_eta") + (yy - mu) / mu).alias("_z"))
-    aggs = [F.count("*").alias("n"), F.sum(yy).alias("sy")]
-    for i in range(p):
-        aggs.append(F.sum(F.col("_w") * x[i] * F.col("_z")).alias(f"r{i}"))
-        aggs += [F.sum(F.col("_w") * x[i] * x[j]).alias(f"m{i}_{j}") for j in range(i, p)]
-    if family == "negbin":
-        aggs += [
-            F.sum(
-                digamma(yy + t) - digamma(t) + F.ln(t) + 1 - F.ln(t + mu) - (yy + t) / (mu + t)
-            ).alias("score"),
-            F.sum(
-                trigamma(t) - trigamma(yy + t) - 1 / t + 2 / (mu + t)
-                - (yy + t) / ((mu + t) * (mu + t))
-            ).alias("info"),
-        ]
-    aggs.append(F.sum(_loglik(family, yy, mu, t)).alias("ll"))
-    return {r["_g"]: r.asDict() for r in d.groupBy("_g").agg(*aggs).collect()}
-
-
-def _system(r: dict, p: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
-    return m, np.array([r[f"r{i}"] for i in range(p)])
+        eta = eta + F.col(f"_x{i}") * F.col(f"_b{i}")
+    family = next(iter(models.values())).family
+    ll = _loglik(family, F.col("_y"), F.col("_mu"), F.col("_t"))
+    d = d.select("_g", "_y", "_t", F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))).alias("_mu"))
+    return dict(d.groupBy("_g").agg(F.sum(ll).alias("ll")).collect())
 
 
 def fit_groups(
     df: DataFrame, group: str, groups: Sequence, y: str = "n_records",
     terms: Sequence[str] = PREDICTORS, family: str = "negbin",
-    tol: float = 1e-10, max_iter: int = 200, init_theta: float | None = None,
+    tol: float = 1e-10, max_iter: int = 200, init_theta: float | None = None, ridge: float = 0.0,
 ) -> dict:
     """One model per group, all groups in the same passes.
 
-    Each pass is a single grouped aggregate (sums of X'WX, X'Wz and the theta
-    score); only those sums, a few dozen numbers per group, reach the driver.
-    Coefficients and theta take their Newton steps together; the information
-    matrix is block-diagonal, so they do not interfere.  Values are a Fitted or
-    the NotConverged that stopped the group.
+    In a pass every task adds up X'WX, X'Wz and the theta score of its own rows;
+    only these sums, a few dozen numbers per group, are shuffled and reach the
+    driver, so a dominant group costs no more than its rows.  Coefficients and
+    theta take their Newton steps together; their information is block-diagonal.
+    ``ridge`` shrinks all but the intercept, relative to each column's own weight.
+    Values are a Fitted or the NotConverged that stopped the group.
     """
     p = len(terms) + 1
-    start = {
-        r[group]: r for r in df.where(F.col(group).isin(list(groups))).groupBy(group).agg(
-            F.avg(y).alias("m"), F.var_samp(y).alias("v")
-        ).collect()
-    }
-    state, out = {}, {}
-    for g, r in start.items():
+    data = cut(
+        df.where(F.col(group).isin(list(groups))).select(
+            F.col(group).alias("_g"), F.col(y).cast("double").alias("_y"),
+            *[F.col(t).cast("double").alias(f"_x{i}") for i, t in enumerate(terms, 1)],
+        ),
+        "model",
+    )
+    active, out = {}, {}
+    for r in data.groupBy("_g").agg(F.avg("_y").alias("m"), F.var_samp("_y").alias("v")).collect():
         m, v = max(r["m"], 1e-8), r["v"] or 0.0
         theta = init_theta or (m * m / (v - m) if v > m else 10.0)
         b = np.zeros(p)
         b[0] = math.log(m)
-        state[g] = {"b": b, "theta": min(max(theta, 1e-3), 1e6), "ll": -math.inf, "done": False}
-    active = dict(state)
+        active[r["_g"]] = {"b": b, "theta": min(max(theta, 1e-3), 1e6), "done": False, "passes": 0}
+    close = math.sqrt(tol)
     for _ in range(max_iter):
         if not active:
             break
-        res = _pass(df, group, y, terms, active, family)
+        res = _pass(data, active, family, p)
         for g, s in list(active.items()):
-            r = res[g]
-            m, rhs = _system(r, p)
+            v = res[g]
+            m, rhs = v[: p * p].reshape(p, p), v[p * p : p * p + p]
+            score, info, n, sum_y, sum_w = v[p * p + p :]
+            if ridge:
+                m = m + ridge * np.diag([0.0, *np.diag(m)[1:]])
             try:
-                if np.linalg.cond(m) > 1e16:
-                    raise np.linalg.LinAlgError("singular")
                 b = np.linalg.solve(m, rhs)
+                cov = np.linalg.inv(m)
             except np.linalg.LinAlgError:
-                out[g] = NotConverged(f"{g}: singular normal equations")
-                del active[g]
-                continue
-            if not (np.isfinite(b).all() and math.isfinite(r["ll"])):
-                out[g] = NotConverged(f"{g}: diverged")
+                b = np.full(p, np.nan)
+            if not np.isfinite(b).all() or (np.diag(cov) <= 0).any():
+                out[g] = NotConverged(f"{g}: singular or diverging normal equations")
                 del active[g]
                 continue
             if s["done"]:
-                se = np.sqrt(np.diag(np.linalg.inv(m)))
                 out[g] = Fitted(
                     family, tuple(terms), float(s["b"][0]), tuple(map(float, s["b"][1:])),
-                    tuple(map(float, se)), int(r["n"]), float(r["ll"]),
+                    tuple(map(float, np.sqrt(np.diag(cov)))), int(n), math.nan,
                     theta=float(s["theta"]) if family == "negbin" else None,
                     model_type="Negative Binomial" if family == "negbin" else "Poisson", response=y,
-                    notes={"gradient": float(np.abs(rhs - m @ s["b"]).max() / max(r["sy"], 1.0))},
+                    notes={
+                        "passes": s["passes"],
+                        "gradient": float(np.abs(rhs - m @ s["b"]).max() / max(sum_y, 1.0)),
+                    },
                 )
                 del active[g]
                 continue
             step = b - s["b"]
-            size = float(np.abs(step).max())
-            if size > 5:  # keeps the first steps from a far start inside range
+            # steps are judged in units of the linear predictor
+            size = float((np.abs(step) * np.sqrt(np.diag(m) / max(sum_w, 1e-300))).max())
+            if size > 5:
                 step *= 5 / size
             t = s["theta"]
             if family == "negbin":
-                move = r["score"] / r["info"] if r["info"] > 0 else r["score"] * t
+                move = score / info if info > 0 else score * t
                 t = min(max(t + move, t / 4), t * 4)
                 if t > 1e7:
                     out[g] = NotConverged(f"{g}: theta grows without bound")
                     del active[g]
                     continue
-            settled = size < math.sqrt(tol) and abs(t - s["theta"]) < math.sqrt(tol) * max(t, 1)
-            s.update(b=s["b"] + step, theta=t, done=settled)
+            settled = size < close and abs(t - s["theta"]) < close * max(t, 1)
+            s.update(b=s["b"] + step, theta=t, done=settled, passes=s["passes"] + 1)
     for g in active:
         out[g] = NotConverged(f"{g}: no convergence in {max_iter} passes")
+    good = {g: m for g, m in out.items() if isinstance(m, Fitted)}
+    if good:
+        for g, ll in _final_loglik(data, good).items():
+            out[g].loglik = ll
     return out
 
 
 def fit_negbin(
     df: DataFrame, y: str = "n_records", terms: Sequence[str] = PREDICTORS,
-    tol: float = 1e-10, max_iter: int = 200, init_theta: float | None = None,
+    tol: float = 1e-10, max_iter: int = 200, init_theta: float | None = None, ridge: float = 0.0,
 ) -> Fitted:
     """Negative binomial model with log link and maximum-likelihood theta."""
     one = df.withColumn("_all", F.lit(0))
-    res = fit_groups(one, "_all", [0], y, terms, "negbin", tol, max_iter, init_theta).get(0)
+    res = fit_groups(one, "_all", [0], y, terms, "negbin", tol, max_iter, init_theta, ridge).get(0)
     if isinstance(res, Fitted):
         return res
     raise res or NotConverged("no rows")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.models.glm import Fitted, NotConverged, _loglik
-from obsweave.functions.special import digamma, trigamma
+from obsweave.models.glm import Fitted, NotConverged, fit_groups
 
 
 def basis(df: DataFrame, terms: Sequence[str], k: int, surface: int,
@@ -41,53 +37,19 @@ def basis(df: DataFrame, terms: Sequence[str], k: int, surface: int,
 def fit_smooth(
     df: DataFrame, y: str = "n_records",
     terms: Sequence[str] = ("elevation_scaled", "temperature_scaled", "precipitation_scaled", "dist_to_city_scaled"),
-    k: int = 5, surface: int = 20, ridge: float = 1e-4, max_iter: int = 50, tol: float = 1e-5,
+    k: int = 5, surface: int = 20, ridge: float = 1e-3,
 ) -> Fitted:
-    """Negative binomial model on the basis columns.
-
-    Each pass is a weighted least-squares fit on the working response, and theta
-    takes a Newton step from one aggregate.
-    """
-    from obsweave.plans.session import cut
-
-    cols = basis(df, terms, k, surface)
-    data = df.select(F.col(y).cast("double").alias("_y"), *[c.alias(n) for n, c in cols.items()])
-    data = cut(VectorAssembler(inputCols=list(cols), outputCol="features").transform(data).select("_y", "features", *cols), "basis")
-    r = data.agg(F.avg("_y"), F.var_samp("_y"), F.count("*")).first()
-    if not r[0] or r[2] <= len(cols):
-        raise NotConverged("too few cells for the basis")
-    theta = r[0] ** 2 / (r[1] - r[0]) if r[1] > r[0] else 10.0
-    b0, b, last = math.log(r[0]), [0.0] * len(cols), -math.inf
-    for _ in range(max_iter):
-        model = Fitted("negbin", tuple(cols), b0, tuple(b), (), int(r[2]), last, theta=theta, response="_y",
-                       model_type="Negative Binomial smooth")
-        eta = F.least(F.greatest(model.eta(), F.lit(-30.0)), F.lit(30.0))
-        mu = F.exp(eta)
-        work = data.select(
-            "features", (mu / (1 + mu / theta)).alias("w"), (eta + (F.col("_y") - mu) / mu).alias("z")
-        )
-        fit = LinearRegression(featuresCol="features", labelCol="z", weightCol="w", solver="normal",
-                               regParam=ridge, elasticNetParam=0.0).fit(work)
-        b0, b = float(fit.intercept), [float(v) for v in fit.coefficients]
-        model = Fitted("negbin", tuple(cols), b0, tuple(b), (), int(r[2]), last, theta=theta, response="_y",
-                       model_type="Negative Binomial smooth")
-        m2 = F.exp(F.least(F.greatest(model.eta(), F.lit(-30.0)), F.lit(30.0)))
-        t, yy = F.lit(theta), F.col("_y")
-        s = data.select("_y", m2.alias("_m")).agg(
-            F.sum(digamma(yy + t) - digamma(t) + F.ln(t) + 1 - F.ln(t + F.col("_m")) - (yy + t) / (F.col("_m") + t)).alias("score"),
-            F.sum(trigamma(t) - trigamma(yy + t) - 1 / t + 2 / (F.col("_m") + t)
-                  - (yy + t) / F.pow(F.col("_m") + t, 2)).alias("info"),
-            F.sum(_loglik("negbin", yy, F.col("_m"), theta)).alias("ll"),
-        ).first()
-        move = s["score"] / s["info"] if s["info"] > 0 else s["score"] * theta
-        theta = min(max(theta + move, theta / 4), theta * 4)
-        if not math.isfinite(s["ll"]):
-            raise NotConverged("smooth fit diverged")
-        if abs(s["ll"] - last) < tol * (abs(s["ll"]) + 1):
-            model.loglik, model.theta, model.response = s["ll"], theta, y
-            return model
-        last = s["ll"]
-    raise NotConverged("smooth fit did not settle")
+    """Smooth effects: negative binomial, else Poisson, else Poisson with three-point bases."""
+    for family, size in (("negbin", k), ("poisson", k), ("poisson", 3)):
+        cols = basis(df, terms, size, surface)
+        data = df.select(F.lit(0).alias("_all"), F.col(y).cast("double").alias("_n"),
+                         *[c.alias(n) for n, c in cols.items()])
+        res = fit_groups(data, "_all", [0], "_n", tuple(cols), family, 1e-8, 100, ridge=ridge).get(0)
+        if isinstance(res, Fitted):
+            res.response, res.model_type = y, res.model_type + " smooth"
+            res.notes["k"] = size
+            return res
+    raise res or NotConverged("no rows")
 
 
 def smooth_columns(df: DataFrame, terms: Sequence[str], k: int = 5, surface: int = 20) -> DataFrame:
