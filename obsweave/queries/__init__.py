@@ -8,7 +8,7 @@ def registry():
     import importlib
 
     queries, oracle = {}, {}
-    for name in ("quality", "temporal", "taxonomic", "spatial", "models"):
+    for name in ("quality", "temporal", "taxonomic", "spatial", "models", "sources"):
         mod = importlib.import_module(f"obsweave.queries.{name}")
         queries |= mod.QUERIES
         oracle |= mod.ORACLE
