@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,8 @@ from obsweave.columns import COORD_FLAGS, FLAGS, UNSUITABLE_BASIS, Columns
 from obsweave.functions.geo import bucket_cover, bucket_degrees, bucket_key, haversine_m, inside
 from obsweave.functions.labels import filled
 from obsweave.operators.outliers import outlier_locations
-from obsweave.plans.skew import attach, broadcast_if_small
+from obsweave.plans.session import cut
+from obsweave.plans.skew import attach, broadcast_if, is_small
 from obsweave.sources.reference import References
 
 
@@ -141,7 +141,8 @@ def add_place_flags(
     index, degrees = place_index(places, radius_m)
     band, slot = bucket_key(cols.lon, cols.lat, degrees)
     keyed = df.withColumns({"_b": band, "_s": slot})
-    index = broadcast_if_small(index)
+    # nine buckets per place at most
+    index = broadcast_if(is_small(places), index)
     out = keyed.join(
         index, (keyed["_b"] == index["_pb"]) & (keyed["_s"] == index["_ps"]), "left"
     )
@@ -177,7 +178,7 @@ def add_inside_flag(
         .groupBy("_cx", "_cy")
         .agg(F.collect_list("ring").alias("_rings"))
     )
-    index = broadcast_if_small(index)
+    index = broadcast_if(is_small(rings.select(F.explode("ring"))), index)
     keyed = df.withColumns(
         {"_x": F.floor(F.col(cols.lon) / degrees), "_y": F.floor(F.col(cols.lat) / degrees)}
     )
@@ -200,14 +201,18 @@ def key_counts(df: DataFrame, cols: Columns = Columns()) -> DataFrame:
     return df.groupBy(*duplicate_keys(cols)).agg(F.count("*").alias("duplicate_group_size"))
 
 
-def add_key_flags(df: DataFrame, cols: Columns, rules: FlagRules, outliers: bool = True) -> DataFrame:
+def add_key_flags(
+    df: DataFrame, dated: DataFrame, cols: Columns, rules: FlagRules, outliers: bool = True
+) -> DataFrame:
     """Duplicate and outlier flags through one skew-proof lookup.
 
+    ``dated`` is the input before any flag: counting keys needs four columns of it.
+
     Both are known per (species, place, day).  Only keys that repeat or lie at an
     outlier location are looked up; every other row is unique by definition.
     """
     keys = duplicate_keys(cols)
-    counts = key_counts(df, cols)
+    counts = cut(key_counts(dated, cols), "keys")
     dim = counts
     if outliers:
         places = [cols.species, cols.lon, cols.lat]
@@ -273,7 +278,7 @@ def add_flags(
     refs = refs or References()
     keep = [c for c in df.columns]
     out = add_local_flags(df, cols, refs, rules)
-    out = add_key_flags(out, cols, rules, outliers)
+    out = add_key_flags(out, with_dates(df, cols, rules.strict_dates), cols, rules, outliers)
     any_issue = F.lit(False)
     for f in COORD_FLAGS:
         any_issue = any_issue | F.col(f)
@@ -295,7 +300,3 @@ def passes(flags: tuple[str, ...]) -> Column:
     for f in flags:
         out = out & ~F.col(f)
     return out
-
-
-def degrees_of(metres: float) -> float:
-    return math.degrees(metres / 6371008.8)

@@ -23,9 +23,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count of at most ``rows + 1`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Counts at most ``rows + 1`` rows of a reference table."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    """Broadcast hint for a side whose size was checked, else a shuffled join."""
+    return F.broadcast(df) if small else df
 
 
 def attach(
@@ -61,7 +66,8 @@ def attach(
     cold = dim.where(F.col(weight) <= total * HOT_SHARE).select(
         *[F.col(c).alias(n) for c, n in k.items()],
         *[F.col(v).alias(f"_c_{v}") for v in values],
-        F.lit(0).cast("long").alias("_cold_salt"),
+        # always 0, but not a literal: a constant would be folded out of the join key
+        F.pmod(F.col(weight), F.lit(1)).cast("long").alias("_cold_salt"),
     )
     out = marked.join(
         cold, null_safe(marked, cold, k) & (marked["_salt"] == cold["_cold_salt"]), "left"
