@@ -121,7 +121,8 @@ def _estimates(hist: DataFrame, keys: list[str], knots: Column | None) -> DataFr
     stats = stats.withColumns({"f0": f0, "a": a})
     stats = stats.withColumn("m", F.explode(knots))
     right = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "s_obs", "f1", "f0", "a", "m")
-    # the knot table has a few dozen rows per key
+    # knots times replicates: a few thousand rows
+    right = F.broadcast(right)
     cond = F.lit(True)
     for k in keys:
         cond = cond & (hist[k] == right[f"_{k}"])

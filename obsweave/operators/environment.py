@@ -100,11 +100,9 @@ def ks_two_sample(
         F.sum(F.when(F.col(side) == first, 0).otherwise(n)).cast("long").alias("_b"),
     )
     hist = cut(hist, "values")
-    run = running_sums(hist, ["_v"], {"_ca": "_a", "_cb": "_b"}, [by])
-    total = hist.groupBy(F.col(by).alias("_by")).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
-    run = run.join(total, run[by] == total["_by"])
-    gap = F.abs(F.try_divide(F.col("_ca"), F.col("n1")) - F.try_divide(F.col("_cb"), F.col("n2")))
-    out = run.groupBy(by).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(gap).alias("d"))
+    run = running_sums(hist, ["_v"], {"_ca": "_a", "_cb": "_b"}, [by], totals=True)
+    gap = F.abs(F.try_divide("_ca", "_ca_all") - F.try_divide("_cb", "_cb_all"))
+    out = run.groupBy(by).agg(F.max("_ca_all").alias("n1"), F.max("_cb_all").alias("n2"), F.max(gap).alias("d"))
     out = add_p_values(out, "p_value", kolmogorov_p, ["d", "n1", "n2"])
     return out.withColumn("significant", F.col("p_value") < alpha)
 
@@ -130,7 +128,8 @@ def kde(
     )
     q = exact_quantiles(src, "_v", {"q1": 0.25, "q3": 0.75}, keys, weight="_w")
     mean = stats.withColumn("mean", F.col("s1") / F.col("total")).join(q, keys)
-    ss = src.join(mean.select(*keys, "mean"), keys).groupBy(*keys).agg(
+    # one row per variable and side
+    ss = src.join(F.broadcast(mean.select(*keys, "mean")), keys).groupBy(*keys).agg(
         F.sum(F.col("_w") * F.pow(F.col("_v") - F.col("mean"), 2)).alias("ss")
     )
     sd = F.sqrt(F.try_divide(F.col("ss"), F.col("total") - 1))
@@ -142,7 +141,7 @@ def kde(
     par = par.withColumn("bw", F.coalesce("bw", F.lit(1.0)))
     step = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12))
     binned = (
-        src.join(par, keys)
+        src.join(F.broadcast(par), keys)
         .withColumn("_c", F.col("lo") + (F.least(F.floor((F.col("_v") - F.col("lo")) / step), F.lit(bins - 1)) + 0.5) * step)
         .groupBy(*keys, "_c", "lo", "hi", "total", "bw").agg(F.sum("_w").alias("_w"))
     )

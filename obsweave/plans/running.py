@@ -16,9 +16,12 @@ def running_sums(
     order: list[str],
     sums: dict[str, str],
     by: list[str] | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Adds, per alias, the sum of a column over this row and all before it.
 
+    With ``totals`` also ``<alias>_all``, the sum over the whole group.
+
     ``order`` is a total order within ``by`` and starts with a number.  Rows are
     cut into up to 256 slices at approximate quantiles of that number.  A window
     runs inside each slice and the slice totals, at most 256 rows per group, are
@@ -48,16 +51,18 @@ def running_sums(
     ).drop("_coarse", "_cuts")
 
     keys = [*by, "_slice"]
-    totals = out.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
+    slices = out.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = totals.select(
+    group = Window.partitionBy(*by)
+    offsets = slices.select(
         *[F.col(c).alias(f"_k_{c}") for c in keys],
         *[
             F.coalesce(F.sum(f"_t_{a}").over(before), F.lit(0)).alias(f"_o_{a}")
             for a in sums
         ],
+        *[F.sum(f"_t_{a}").over(group).alias(f"{a}_all") for a in sums if totals],
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -72,7 +77,9 @@ def running_sums(
         ),
     )
     return local.join(offsets, match).select(
-        *df.columns, *[(F.col(f"_l_{a}") + F.col(f"_o_{a}")).alias(a) for a in sums]
+        *df.columns,
+        *[(F.col(f"_l_{a}") + F.col(f"_o_{a}")).alias(a) for a in sums],
+        *[f"{a}_all" for a in sums if totals],
     )
 
 
@@ -95,16 +102,8 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
     )
-    ranked = running_sums(hist, ["_v"], {"_upto": "_n"}, by)
-    n = hist.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    if by:
-        n = n.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_total")
-        cond = functools.reduce(
-            operator.and_, (ranked[c].eqNullSafe(n[f"_g_{c}"]) for c in by)
-        )
-        ranked = ranked.join(n, cond).drop(*[f"_g_{c}" for c in by])
-    else:
-        ranked = ranked.withColumn("_total", n.scalar())
+    ranked = running_sums(hist, ["_v"], {"_upto": "_n"}, by, totals=True)
+    ranked = ranked.withColumnRenamed("_upto_all", "_total")
     start = F.col("_upto") - F.col("_n")
 
     def at(rank):
