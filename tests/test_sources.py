@@ -48,9 +48,10 @@ def test_scope_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "p")
     df.write.parquet(path)
     out = scope_filter(read_occurrences(spark, path), "KE").select("year")
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = out._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert out.count() == 5
-    assert "GreaterThanOrEqual(year,1950)" in plan and "species" not in plan.split("ReadSchema")[1]
+    assert "GreaterThanOrEqual(year,1950)" in scan.metadata().apply("PushedFilters")
+    assert "species" not in scan.requiredSchema().simpleString()
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
