@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from obsweave.llm import decontaminate, licenses, packing, quality_rules, url_filters
+from obsweave.llm import class_lm, decontaminate, licenses, packing, quality_rules, toxicity, url_filters
 from obsweave.llm.common import read
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.op1_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_url_filters(spark, sf_dir):
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
@@ -14,6 +18,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.op3_best_fit_packing(read(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark, sf_dir):
+    return class_lm.op4_class_lm(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.op5_decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -28,6 +36,9 @@ def op7_quality_rules(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_url_filters, op3_best_fit_packing, op5_decontamination, op6_license_scan, op7_quality_rules)
+    for f in (
+        op1_toxicity, op2_url_filters, op3_best_fit_packing, op4_class_lm, op5_decontamination, op6_license_scan,
+        op7_quality_rules,
+    )
 }
 ORACLE = {"op2_url_filters": url_filters.SQL, "op5_decontamination": decontaminate.SQL}
