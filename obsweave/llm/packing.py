@@ -119,9 +119,9 @@ class Encoder:
         plain = np.repeat(~odd_text, np.diff(np.append(firsts, len(place))))
         rest = plain.copy()
         rest[firsts] = False
-        used = np.unique(place[rest])
+        used = _present(place[rest], len(words))
         ids, n, begin = self._after_space([words[k] for k in used])
-        alone = np.unique(place[firsts[~odd_text]]) if len(firsts) else np.zeros(0, np.int64)
+        alone = _present(place[firsts[~odd_text]], len(words))
         odd_parts = [SEAM.split(column[int(k)].as_py()) for k in np.flatnonzero(odd_text)]
         odd_words = sorted({p for parts in odd_parts for p in parts})
         more = self._each([words[k] for k in alone] + odd_words)
@@ -131,7 +131,9 @@ class Encoder:
         count = np.concatenate([n, more_count])
         begin = np.concatenate([begin, len(ids) + np.cumsum(more_count) - more_count])
         entry = np.zeros(len(place), np.int64)
-        entry[rest] = np.searchsorted(used, place[rest])
+        number = np.zeros(len(words), np.int64)
+        number[used] = np.arange(len(used))
+        entry[rest] = number[place[rest]]
         entry[firsts[~odd_text]] = len(used) + np.searchsorted(alone, place[firsts[~odd_text]])
         spot = {p: len(used) + len(alone) + k for k, p in enumerate(odd_words)}
         lines, text_sizes = [], np.diff(np.append(firsts, len(place)))
@@ -150,6 +152,13 @@ class Encoder:
         return table[take], stops[ends] - stops[ends - text_sizes]
 
 
+def _present(numbers: np.ndarray, size: int) -> np.ndarray:
+    """The distinct numbers below ``size``, in order."""
+    seen = np.zeros(size, bool)
+    seen[numbers] = True
+    return np.flatnonzero(seen)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of text, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
