@@ -43,17 +43,56 @@ def held(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+#: Folders written by ``keep`` and not yet dropped.
+KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and go on from the files.
 
     A lost executor then repeats nothing before this point, and a table that is
-    read more than once is made once.
+    read more than once is made once. ``drop_kept`` removes the files when no
+    result that reads them is needed any more.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession, paths: list[str]) -> None:
+    """Remove kept tables whose readers are done."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in KEPT:
+            KEPT.remove(path)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node`` and ``label``, the smallest node it is connected to, for every node of ``links`` (a, b).
+
+    Labels spread along links and through labels of labels; every round is written,
+    so neither plan nor recovery grows with the number of rounds.
+    """
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    both = keep(both, "links")
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near.withColumnRenamed("a", "node"), "node").select(
+            "node", "label", F.least("label", "near").alias("new"))
+        of_label = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
+        new = keep(
+            new.join(of_label, "new").select(
+                "node", F.least("new", "further").alias("label"), (F.least("new", "further") < F.col("label")).alias("moved")),
+            "labels",
+        )
+        labels = new.select("node", "label")
+        if not new.where("moved").limit(1).count():
+            return labels
+
+
 def numbered(df: DataFrame, by: str, out: str, order: list[str], salt: str) -> DataFrame:
     """Number the rows of each value of ``by`` from 0.
 
