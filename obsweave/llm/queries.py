@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from obsweave.llm import (
-    class_lm, decontaminate, jaccard_join, kneser_ney, licenses, packing, quality_rules, toxicity, url_filters,
+    class_lm, decontaminate, jaccard_join, kneser_ney, licenses, packing, quality_rules, suffix_dedup, toxicity,
+    url_filters,
 )
 from obsweave.llm.common import read
 
@@ -40,6 +41,10 @@ def op8_quality_classifier(spark, sf_dir):
     return kneser_ney.op8_quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.op9_suffix_array_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.op10_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_url_filters, op3_best_fit_packing, op4_class_lm, op5_decontamination, op6_license_scan,
-        op7_quality_rules, op8_quality_classifier, op10_jaccard_join,
+        op7_quality_rules, op8_quality_classifier, op9_suffix_array_dedup, op10_jaccard_join,
     )
 }
 ORACLE = {"op2_url_filters": url_filters.SQL, "op5_decontamination": decontaminate.SQL}
