@@ -168,13 +168,14 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
 
 
 def phrases(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Borders of the phrases (the last is the end of the last one) and their names, never 0."""
+    """Borders of the phrases (the last is the end of the last one) and their names, all above 0:
+    the end of a string sorts before every name."""
     prints = Prints(body)
     at = chosen(prints.windows(GRAM), AMONG)
     if len(at) < 2:
         return at, np.zeros(0, np.int64)
     names = prints.of(at[:-1], at[1:])
-    return at, np.where(names == 0, np.uint64(1), names).view(np.int64)
+    return at, np.maximum(names >> np.uint64(1), np.uint64(1)).view(np.int64)
 
 
 # --- the suffix array of a collection of strings ---------------------------------
