@@ -5,14 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from obsweave.llm import common, decontaminate, jaccard_join, packing, suffix_dedup, toxicity
+
+#: Tables that the stage before this one kept. Its result is written by now, so they can go.
+_DONE: list[str] = []
+
+
+def _next_stage(spark: SparkSession) -> None:
+    common.drop_kept(spark, [p for p in _DONE if p in common.KEPT])
+    _DONE[:] = []
+
+
+def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _next_stage(spark)
+        before = set(common.KEPT)
+        out = make(spark, docs, sf_dir)
+        _DONE.extend(p for p in common.KEPT if p not in before)
+        return out
+
+    run_stage.__doc__ = make.__doc__
+    run_stage.__name__ = make.__name__
+    return run_stage
+
+
+@_stage
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that the network calls toxic; null and empty texts are not."""
+    labels = common.read(spark, sf_dir, "labels")
+    return toxicity.toxic_scores(docs, labels, docs.columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+
+
+@_stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the document with the smallest id of each group that shingles link. Documents without
+    words are linked with nothing and stay; of repeated rows of an id one stays; rows without an id stay."""
+    marked = common.keep(jaccard_join.linked(docs), "groups").where("doc_id is not null")
+    go = marked.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") != F.col("component_id")).alias("go"), F.count(F.lit(1)).alias("rows"))
+    out = docs.join(go.where("go").select("doc_id"), "doc_id", "left_anti")
+    if go.where("rows > 1 and not go").limit(1).count():  # an id twice: one row of it is the document
+        named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+        out = named.unionByName(out.where("doc_id is null"))
+    return out.select(*docs.columns)
+
+
+@_stage
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out every string of 200 bytes that also starts elsewhere, up to whole characters;
+    documents of which nothing is left go, those that were empty stay."""
+    out = suffix_dedup.deduplicated(docs, docs.columns, whole_characters=True)
+    text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
+    out = out.where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+@_stage
+def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold a window of a benchmark item."""
+    found = decontaminate.contamination(docs, common.read(spark, sf_dir, "benchmark"), docs.columns)
+    return found.where(F.size("items") == 0).select(*docs.columns)
+
+
+@_stage
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences."""
+    return packing.op3_best_fit_packing(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_documents),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", contaminated_documents),
+    ("best-fit packing", packed_sequences),
+]
 #: No SQL: the stages cannot be said in SQL; tests hold the run against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the whole documents table; each one's result is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
