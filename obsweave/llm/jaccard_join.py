@@ -3,8 +3,8 @@
 Two sets of sizes n and m reach Jaccard t exactly when they share
 ``ceil(t (n + m) / (1 + t))`` shingles, so a join is a search for the sets that
 occur often enough on the inverted lists of a query set. Which pairs have to be
-searched follows from a global order, rare shingles first: sets that link share a
-shingle among their first ``n - ceil(t n) + 1``, at places that leave room for
+searched follows from a global order, rare shingles first: sets that link share k
+shingles among their first ``n - ceil(t n) + k``, at places that leave room for
 the overlap. A search takes one query and a block of candidates: the short
 inverted lists are merged on a heap, and only candidates near enough to their
 overlap are looked up in the long ones by binary search (DivideSkip).
@@ -32,6 +32,8 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Shingles whose frequency orders them; all others count as rare. Any number gives the same links.
 RANKED = 200_000
+#: Shingles that two sets must share at the beginning of their order before they are searched.
+COMMON = 3
 #: Candidates of one search.
 BLOCK = 256
 AT_ONCE = 8_000_000
@@ -110,7 +112,8 @@ def frequent(docs: DataFrame, size: int, ranked: int = RANKED) -> tuple[np.ndarr
 
 
 def prefix_length(n: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
-    return n - -(-numerator * n // denominator) + 1
+    """How many of its first shingles a set of ``n`` is listed under."""
+    return n - -(-numerator * n // denominator) + COMMON
 
 
 def described(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
@@ -147,11 +150,22 @@ def described(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int)
     return narrow.mapInArrow(run, schema)
 
 
+def _need(n: Column, m: Column) -> Column:
+    """Shingles that sets of these sizes must share."""
+    return F.ceil(F.lit(NUMERATOR) * (n + m) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
+
+
 def _room(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Sizes n, m that share the shingle at places i, j can still reach the overlap."""
+    """Sizes n, m that share the shingle at places i, j, one of their first ``COMMON``, can still reach the overlap."""
     least, most = F.least(n, m), F.greatest(n, m)
-    need = F.ceil(F.lit(NUMERATOR) * (n + m) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
-    return (DENOMINATOR * least >= NUMERATOR * most) & (1 + F.least(n - i - 1, m - j - 1) >= need)
+    return (DENOMINATOR * least >= NUMERATOR * most) & (COMMON + F.least(n - i - 1, m - j - 1) >= _need(n, m))
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough listed shingles; a row of ``pairs`` is one of them."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "need")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
+    return counted.where(F.col("c") >= F.least(F.lit(COMMON), "need")).select("a", "b")
 
 
 def overlap_needed(n: int, m: int) -> int:
@@ -215,7 +229,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """``key`` and ``shingles`` (sorted, binary) of the texts with these keys, one row each."""
+    """``keys`` (key, node) with the ``shingles`` (sorted, binary) of the texts that have these keys."""
     bits = _filter(keys)
     slot = F.pmod(F.xxhash64(digest()), F.lit(FILTER_BITS))
     narrow = docs.select(digest().alias("key"), slot.alias("slot"), "text")
@@ -223,8 +237,9 @@ def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = batch.column(1).to_numpy()
-            on = bits[slots // 8] >> (7 - slots % 8) & 1
-            chosen = batch.take(pa.array(np.flatnonzero(on)))
+            on = np.flatnonzero(bits[slots // 8] >> (7 - slots % 8) & 1)
+            first = dict(zip(reversed(batch.column(0).take(pa.array(on)).to_pylist()), reversed(on.tolist())))
+            chosen = batch.take(pa.array(sorted(first.values()), pa.int64()))  # copies in a batch are one
             at = 0
             for part in _parts(texts(chosen)):
                 sets = pa.array([s.tobytes() for s in shingle_sets(part, size)], pa.binary())
@@ -232,16 +247,15 @@ def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
                 at += len(part)
 
     made = narrow.mapInArrow(run, "key binary, shingles binary")
-    return made.join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return made.join(keys, "key").dropDuplicates(["key"])  # both by key: one shuffle
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) that link, found by searching b's block with a as the query."""
     pairs = keep(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keyed = reps.select("node", "key").join(nodes, "node")
-    sets = sets_of(docs, keyed, size).join(keyed, "key").select("node", "shingles")
-    sets = keep(sets, "sets")
+    keyed = keep(reps.select("node", "key").join(nodes, "node"), "keys")
+    sets = keep(sets_of(docs, keyed, size).select("node", "shingles"), "sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     # a query that many sets follow is searched block by block
     rows = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).drop("blocks")
@@ -292,14 +306,10 @@ def _leader_pairs(rows: DataFrame, first: Column) -> DataFrame:
     return (
         rows.join(lead, "token")
         .where((F.col("label") != F.col("other")) & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
-        .select("a", F.col("node").alias("b"))
+        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need"))
     )
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -318,8 +328,8 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     postings = keep(postings.join(shared, "token", "left_semi"), "postings")
 
     own = _labelled(postings, None)
-    stars = _leader_pairs(own, F.col("i")).union(_leader_pairs(own, F.xxhash64("node")))
-    stars = keep(_ordered(stars), "stars")
+    stars = _often(_leader_pairs(own, F.col("i"))).union(_often(_leader_pairs(own, F.xxhash64("node")))).distinct()
+    stars = keep(stars, "stars")
     links = keep(verified(docs, reps, stars, size), "links")
     labels = components(links)
 
@@ -331,10 +341,9 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         apart.join(other, "token")
         .where((F.col("a") < F.col("node")) & (F.col("label") != F.col("other"))
                & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
-        .select("a", F.col("node").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need"))
     )
-    rest = keep(rest, "rest")
+    rest = keep(_often(rest).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         labels = components(links.union(verified(docs, reps, rest, size)))
 
