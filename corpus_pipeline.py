@@ -18,6 +18,11 @@ def _next_stage(spark: SparkSession) -> None:
     _DONE[:] = []
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The documents' columns as one, beside what operators read, so that no name clashes with theirs."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+
+
 def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _next_stage(spark)
@@ -35,7 +40,8 @@ def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the network calls toxic; null and empty texts are not."""
     labels = common.read(spark, sf_dir, "labels")
-    return toxicity.toxic_scores(docs, labels, docs.columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.toxic_scores(_wrapped(docs), labels, ["row"])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 @_stage
@@ -56,19 +62,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every string of 200 bytes that also starts elsewhere, up to whole characters;
     documents of which nothing is left go, those that were empty stay."""
-    out = suffix_dedup.deduplicated(docs, docs.columns, whole_characters=True)
-    text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
-    out = out.where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
+    out = suffix_dedup.deduplicated(_wrapped(docs), ["row"], whole_characters=True)
+    out = out.where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0))
+    text = F.when(F.col("row.text").isNotNull(), F.decode("kept", "UTF-8"))
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col(f"row.{c}")) for c in docs.columns])
 
 
 @_stage
 def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs, common.read(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    found = decontaminate.contamination(_wrapped(docs), common.read(spark, sf_dir, "benchmark"), ["row"])
+    return found.where(F.size("items") == 0).select("row.*")
 
 
 @_stage

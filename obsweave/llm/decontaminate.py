@@ -157,19 +157,15 @@ def contamination(
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(total / 4 / slice_words))
     none = F.array().cast("array<long>")
-    out = docs.select(
-        *carry, F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        none.alias("starts"), none.alias("ends"), none.alias("items"),
-    ) if "text" not in carry else docs.select(
-        *carry, F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items")
-    )
+    kept = [c for c in carry if c != "text"]
+    out = docs.select(*kept, "text", F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
         index, sizes = _prefix_index([(r["item_id"], r["text"].encode()) for r in part], docs, window, size)
         out = _visit(out, index, sizes)
         if slices > 1:
             out = keep(out, "hits")
-    return out if "text" in carry else out.drop("text")
+    return out.select(*carry, "n_words", "starts", "ends", "items")
 
 
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -274,7 +274,8 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
     """``string``, ``ranks``: for each place, how many suffixes of all strings are smaller.
 
     ``strings`` has ``string`` and ``names`` (positive). Suffixes are told apart as
-    far as 3^``rounds`` names; those equal so far share their rank.
+    far as 3^``rounds`` names; those equal so far share their rank. Strings without
+    names have no row.
     """
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,7 +636,7 @@ def deduplicated(
             )
 
     schema = T.StructType([
-        *(docs.schema[c] for c in carry),
+        *(keyed.schema[c] for c in carry),
         *T.StructType.fromDDL("n_bytes long, starts array<long>, ends array<long>, kept binary").fields,
     ])
     return rows.mapInArrow(run, schema)
