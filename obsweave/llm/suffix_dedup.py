@@ -40,10 +40,17 @@ _TABLE = np.random.default_rng(20_240_901).integers(0, 2**63, 256, dtype=np.uint
 _BASE = 0x9E3779B97F4A7C15
 
 
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[:1], down[:1] = 1, 1
-    return np.cumprod(up), np.cumprod(down)
+    """Powers of the base and of its inverse; a task computes them for its longest text."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(2 * n, 1 << 16)
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class Prints:
@@ -181,18 +188,30 @@ def phrases(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 # --- the suffix array of a collection of strings ---------------------------------
 
 
-def _strings(batch: pa.RecordBatch, column: str = "names") -> Iterator[tuple[int, np.ndarray]]:
-    for string, names in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index(column))):
-        yield string, names.values.to_numpy() if names.is_valid else np.zeros(0, np.int64)
+class Flat:
+    """The names of a batch of strings in one array: which string each is in, its place, the string's length."""
+
+    def __init__(self, batch: pa.RecordBatch, column: str = "names"):
+        lists = batch.column(batch.schema.get_field_index(column))
+        self.sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        self.sizes[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+        self.names = lists.flatten().to_numpy()
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.string = batch.column(0).to_numpy()[self.row]
+        self.i = np.arange(len(self.names)) - self.starts[self.row]
+        self.left = self.sizes[self.row] - self.i
 
+    def after(self, values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Values ``k`` places after the places ``at``, 0 beyond the end of the string."""
+        return np.where(k < self.left[at], values[np.minimum(at + k, len(values) - 1)], 0) if len(at) else at
 
-def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Values at places, 0 beyond the end."""
-    return np.concatenate([values, [0]])[np.minimum(places, len(values))]
+    def lists(self, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([self.starts, [len(values)]]), pa.int32()), pa.array(values))
 
 
-def _emit(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], names)
+def _rows(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
 
 
 def less_than(rows: DataFrame, keys: list[str], kinds: int) -> DataFrame:
@@ -280,13 +299,10 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for string, names in _strings(batch):
-                i = np.arange(len(names))
-                i = i[i % 3 != 0]
-                rows.append((np.full(len(i), string), i, np.zeros(len(i)), names[i], _at(names, i + 1), _at(names, i + 2)))
-            if rows:
-                yield _emit(rows, ["string", "i", "kind", "x", "y", "z"])
+            f = Flat(batch)
+            at = np.flatnonzero(f.i % 3 != 0)
+            triple = [f.after(f.names, at, k) for k in range(3)]
+            yield _rows([f.string[at], f.i[at], np.zeros(len(at)), *triple], ["string", "i", "kind", "x", "y", "z"])
 
     triples = strings.mapInArrow(sampled, "string long, i long, kind long, x long, y long, z long")
     named = less_than(triples, ["x", "y", "z"], 1).withColumn("name", F.col("less0") + 1)
@@ -302,28 +318,22 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
     sample = _gathered(named, "name", "sample")
     whole = keep(strings.join(sample, "string", "left"), "merge")
 
-    def with_sample(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for (string, names), (_, sample_) in zip(_strings(batch), _strings(batch, "sample")):
-                i = np.arange(len(names))
-                rank = np.zeros(len(names) + 3, np.int64)
-                rank[: len(names)][i % 3 != 0] = sample_
-                yield string, names, i, rank
+    def with_sample(batch: pa.RecordBatch) -> tuple[Flat, np.ndarray]:
+        """The strings, and at the sampled places their rank among the sampled suffixes (from 1)."""
+        f = Flat(batch)
+        rank = np.zeros(len(f.names), np.int64)
+        rank[f.i % 3 != 0] = batch.column(batch.schema.get_field_index("sample")).flatten().to_numpy()
+        return f, rank
 
     def against(step: int, width: int):
         """Places 0 and ``step`` of three by ``width`` names and the rank after them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for string, names, i, rank in with_sample(batches):
-                j = i[(i % 3 == 0) | (i % 3 == step)]
-                keys = [_at(names, j + k) for k in range(width)]
-                rows.append((np.full(len(j), string), j, j % 3 != 0, *keys, rank[j + width]))
-                if sum(len(r[0]) for r in rows) > 100_000:
-                    yield _emit(rows, ["string", "i", "kind", *"xy"[:width], "r"])
-                    rows = []
-            if rows:
-                yield _emit(rows, ["string", "i", "kind", *"xy"[:width], "r"])
+            for batch in batches:
+                f, rank = with_sample(batch)
+                at = np.flatnonzero((f.i % 3 == 0) | (f.i % 3 == step))
+                keys = [f.after(f.names, at, k) for k in range(width)] + [f.after(rank, at, width)]
+                yield _rows([f.string[at], f.i[at], f.i[at] % 3 != 0, *keys], ["string", "i", "kind", *"xy"[:width], "r"])
 
         return run
 
@@ -341,21 +351,15 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings_, out = [], []
-            counts = batch.column(batch.schema.get_field_index("counts"))
-            plain = pa.RecordBatch.from_arrays(batch.columns[:3], batch.schema.names[:3])
-            for k, (string, names, i, rank) in enumerate(with_sample(iter([plain]))):
-                c = counts[k].values
-                at, step, less0, less1 = (np.asarray(c.field(f)) for f in ("i", "step", "less0", "less1"))
-                full = rank[: len(names)] - 1  # smaller among the sampled
-                full[i % 3 == 0] = 0
-                zero = at % 3 == 0
-                np.add.at(full, at, np.where(~zero | (step == 1), less0, 0))  # the remaining ones that are smaller
-                np.add.at(full, at[zero], less1[zero])  # sampled ones that are smaller, by both sorts
-                strings_.append(string)
-                out.append(full)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(strings_, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["string", "ranks"])
+            f, rank = with_sample(batch)
+            lists = batch.column(batch.schema.get_field_index("counts"))
+            at, step, less0, less1 = (lists.flatten().field(c).to_numpy() for c in ("i", "step", "less0", "less1"))
+            at = at + np.repeat(f.starts, np.diff(lists.offsets.to_numpy()))
+            zero = f.i[at] % 3 == 0
+            full = np.where(f.i % 3 != 0, rank - 1, 0)  # smaller among the sampled
+            np.add.at(full, at, np.where(~zero | (step == 1), less0, 0))  # the remaining ones that are smaller
+            np.add.at(full, at[zero], less1[zero])  # sampled ones that are smaller, by both sorts
+            yield pa.RecordBatch.from_arrays([batch.column(0), f.lists(full)], ["string", "ranks"])
 
     return keep(merged.mapInArrow(finish, "string long, ranks array<long>"), "ranks")
 
@@ -370,6 +374,15 @@ def reach(borders: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(at, m) - np.arange(m)
 
 
+def reaches(f: Flat, borders: Flat, length: int) -> np.ndarray:
+    """``reach`` for the names of many strings; ``borders`` has one more per string."""
+    step = int(borders.names.max(initial=0)) + length + 1
+    line = borders.names + borders.row * step  # rising through all strings
+    own = np.arange(len(f.names)) + f.row  # the border where each name begins
+    at = np.searchsorted(line, np.minimum(line[own + 1] + length, (f.row + 1) * step - 1))
+    return np.minimum(at - own, f.left)
+
+
 def shared(
     names: np.ndarray, sizes: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray
 ) -> np.ndarray:
@@ -390,16 +403,19 @@ def neighbours(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     """``string``, ``i``, ``before``, ``after``: bytes of whole phrases shared with the suffixes next in order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranks_ = _strings(batch, "ranks")
-            borders_ = _strings(batch, "borders")
-            for (string, names), (_, rank), (_, borders) in zip(_strings(batch), ranks_, borders_):
-                n, sizes = reach(borders, length), np.diff(borders)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], batch.schema.names)
+                f, borders = Flat(batch), Flat(batch, "borders")
+                rank = batch.column(batch.schema.get_field_index("ranks")).flatten().to_numpy()
+                own = np.arange(len(f.names)) + f.row
+                sizes, n = borders.names[own + 1] - borders.names[own], reaches(f, borders, length)
                 take = np.repeat(np.arange(len(n)) - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), string)), pa.array(np.arange(len(n))), pa.array(rank),
-                     pa.ListArray.from_arrays(offsets, pa.array(names[take])),
+                    [pa.array(f.string), pa.array(f.i), pa.array(rank),
+                     pa.ListArray.from_arrays(offsets, pa.array(f.names[take])),
                      pa.ListArray.from_arrays(offsets, pa.array(sizes[take]))],
                     ["string", "i", "rank", "names", "sizes"],
                 )
@@ -418,13 +434,12 @@ def neighbours(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
             edge = np.zeros(n, np.int32)
             for k, v in edges.items():
                 edge[k] |= v
-            on = pa.array(edge > 0)
-            lists = [
-                pa.array([x.as_py() if e else None for x, e in zip(table[c], edge)] if n < 2 or edge.any() else [None] * n,
-                         pa.list_(pa.int64()))
-                for c in ("names", "sizes")
-            ]
-            del on
+            lists = []
+            for c in ("names", "sizes"):
+                values = [None] * n
+                for k in np.flatnonzero(edge):
+                    values[k] = table[c][int(k)].as_py()
+                lists.append(pa.array(values, pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(
                 [table["string"].combine_chunks(), table["i"].combine_chunks(), pa.array(before), pa.array(after),
                  pa.array(np.full(n, part)), *lists, pa.array(edge)],
