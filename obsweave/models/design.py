@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from obsweave.columns import KM_PER_DEGREE
 from obsweave.functions.geo import haversine_m
 from obsweave.operators.environment import raster_lookup
+from obsweave.operators.nearby import nearest_distance
+from obsweave.plans.session import cut
 from obsweave.sources.reference import RasterGrid
 
+MAX_TOWNS = 1000  # cities that ride along as one array
 BANDS = ("elevation", "temperature", "precipitation")
 # The model's predictors; the last two are used unscaled.
 SCALED = ("elevation", "temperature", "precipitation", "dist_to_city_km")
@@ -32,20 +35,29 @@ def covariates(
 ) -> DataFrame:
     """Raster values and distances to city, equator and coast for each cell.
 
-    The city list rides along as one array, so cells are never multiplied.
+    A counted short city list rides along as one array, so cells are never multiplied;
+    any other is searched by the nested buckets of ``nearest_distance`` (to a mm).
     """
-    towns = cities.limit(10_001).agg(F.collect_list(F.struct("lon", "lat"))).scalar()
-    out = raster_lookup(cells, raster, grid, list(bands), lon, lat).withColumn("_towns", towns)
-    km = F.array_min(
-        F.transform("_towns", lambda t: haversine_m(F.col(lon), F.col(lat), t["lon"], t["lat"]) / 1000)
-    )
+    out = raster_lookup(cells, raster, grid, list(bands), lon, lat)
+    if cities.count() <= MAX_TOWNS:
+        towns = cities.agg(F.collect_list(F.struct("lon", "lat"))).scalar()
+        km = F.array_min(
+            F.transform("_towns", lambda t: haversine_m(F.col(lon), F.col(lat), t["lon"], t["lat"]) / 1000)
+        )
+        out = out.withColumn("_towns", towns).withColumn("dist_to_city_km", km).drop("_towns")
+    else:
+        spots = cells.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")).dropna().distinct()
+        spots = cut(spots.withColumn("id", F.struct("lon", "lat")), "spots")
+        near = nearest_distance(spots, cities, "haversine").select(
+            F.col("id.lon").alias("_lon"), F.col("id.lat").alias("_lat"), F.col("nearest_km").alias("dist_to_city_km")
+        )
+        out = out.join(near, (out[lon] == near["_lon"]) & (out[lat] == near["_lat"]), "left").drop("_lon", "_lat")
     return out.withColumns(
         {
-            "dist_to_city_km": km,
             "dist_from_equator": F.abs(lat),
             "dist_from_coast_km": F.abs(F.col(lon) - coast_lon) * KM_PER_DEGREE,
         }
-    ).drop("_towns")
+    )
 
 
 def zscore(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -73,8 +73,8 @@ def accumulation(
     )
 
 
-def accumulation_exact(incidence: DataFrame, sites: list[str], species: str, points: int = 200) -> DataFrame:
-    """Expected species among k random sites, at up to ``points`` values of k."""
+def accumulation_exact(incidence: DataFrame, sites: list[str], species: str, ks: list[int] | None = None) -> DataFrame:
+    """Expected species among k random sites, for every k or the named ones."""
     incidence = cut(incidence.select(*sites, species), "incidence")
     n_sites = incidence.select(*sites).distinct().agg(F.count("*").cast("double")).scalar()
     hist = (
@@ -82,10 +82,9 @@ def accumulation_exact(incidence: DataFrame, sites: list[str], species: str, poi
         .groupBy("x").agg(F.count("*").alias("f"))
         .withColumn("n", n_sites)
     )
-    step = F.greatest(F.lit(1), F.ceil(F.col("n") / points)).cast("long")
-    ks = F.array_union(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"), step),
-                       F.array(F.col("n").cast("long")))
-    grid = hist.withColumn("sites", F.explode(ks))
+    every = F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))
+    at = every if ks is None else F.filter(F.array(*[F.lit(k).cast("long") for k in sorted(set(ks))]), lambda k: k <= F.col("n"))
+    grid = hist.withColumn("sites", F.explode(at))
     x, n, k = F.col("x").cast("double"), F.col("n"), F.col("sites").cast("double")
     absent = F.when(
         k <= n - x, F.exp(ln_choose(n - x, k) - ln_choose(n, k))
@@ -189,7 +188,7 @@ def rarefaction(
     counts: DataFrame,
     species: str,
     value: str = "n_records",
-    top_n: int | None = 100,
+    top_n: int | None = None,
     knots: int = 40,
     boots: int = 0,
     endpoint: float | None = None,
@@ -197,6 +196,7 @@ def rarefaction(
 ) -> DataFrame:
     """Rarefied and extrapolated richness (q = 0) with sample coverage.
 
+    All species take part unless ``top_n`` names a number of the commonest.
     The endpoint is twice the greatest count.  With ``boots`` the species counts
     are redrawn per replicate from the estimated community; draws are independent
     rows, and limits are normal ones from the replicates' sd.

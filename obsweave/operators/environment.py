@@ -61,16 +61,21 @@ def background_points(spark: SparkSession, ring, n: int = 10_000, seed: int = 12
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
     w, h = max(xs) - min(xs), max(ys) - min(ys)
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
-    tries = math.ceil(n * w * h / area * 1.05) + 200
+    tries = math.ceil(n * w * h / area * 1.05) + 200 if area else n
     # Steps of the plane-filling additive sequence.
     a1, a2 = 0.7548776662466927, 0.5698402909980532
     i = F.col("id") + seed
-    pts = spark.range(1, tries + 1).select(
-        "id",
-        (F.lit(min(xs)) + F.pmod(0.5 + i * a1, F.lit(1.0)) * w).alias("lon"),
-        (F.lit(min(ys)) + F.pmod(0.5 + i * a2, F.lit(1.0)) * h).alias("lat"),
-    )
-    return pts.where(inside("lon", "lat", ring_literal(ring))).orderBy("id").limit(n)
+    while True:
+        pts = spark.range(1, tries + 1).select(
+            "id",
+            (F.lit(min(xs)) + F.pmod(0.5 + i * a1, F.lit(1.0)) * w).alias("lon"),
+            (F.lit(min(ys)) + F.pmod(0.5 + i * a2, F.lit(1.0)) * h).alias("lat"),
+        ).where(inside("lon", "lat", ring_literal(ring)))
+        if pts.limit(n).count() == n:
+            return pts.orderBy("id").limit(n)
+        if tries > 1000 * (n + 200):
+            raise ValueError("the ring holds too little of its bounding box to draw the points")
+        tries *= 4
 
 
 def env_comparison(sampled: DataFrame, available: DataFrame, drop_null: str = "elevation") -> DataFrame:

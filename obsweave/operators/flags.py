@@ -30,8 +30,7 @@ class FlagRules:
     equal_mode: str = "absolute"
     outlier_mult: float = 5
     outlier_min_n: int = 10
-    outlier_max_locations: int = 10_000
-    outlier_cell_deg: float = 0.5
+    outlier_cell_deg: float | None = None  # bins of all species' places; None compares every place
     bad_basis: tuple[str, ...] = UNSUITABLE_BASIS
     strict_dates: bool = False
 
@@ -220,7 +219,7 @@ def add_key_flags(
         far = outlier_locations(
             locations, cols,
             mult=rules.outlier_mult, min_n=rules.outlier_min_n,
-            max_locations=rules.outlier_max_locations, cell_deg=rules.outlier_cell_deg,
+            cell_deg=rules.outlier_cell_deg,
         ).withColumn("flag_coord_outliers", F.lit(True))
         dim = dim.join(far, places, "left")
     else:

@@ -182,7 +182,7 @@ def morans_i(cells: DataFrame, pairs: DataFrame, value: str, key: str = "id") ->
     one = one_row(base, s1, s2)
     n, a, b = F.col("n"), F.col("s1"), F.col("s2")
     i = F.try_divide(F.col("zwz"), F.col("z2"))
-    e = F.try_divide(F.lit(-1.0), n - 1)
+    e = F.when(n > 1, -1.0 / (n - 1))
     k = F.try_divide(F.col("z4") / n, (F.col("z2") / n) * (F.col("z2") / n))
     n2 = n * n
     var = F.try_divide(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from obsweave.columns import EARTH_RADIUS_M, Columns
 from obsweave.functions.labels import filled
+from obsweave.plans.running import exact_quantiles
 from obsweave.plans.session import cut
 from obsweave.plans.skew import attach
 
@@ -43,52 +44,34 @@ def outlier_locations(
     cols: Columns = Columns(),
     mult: float = 5,
     min_n: int = 10,
-    max_locations: int = 10_000,
-    cell_deg: float = 0.5,
+    cell_deg: float | None = None,
 ) -> DataFrame:
     """Locations (species, lon, lat) whose mean distance exceeds q75 + mult * IQR.
 
     ``locations`` holds one row per (species, lon, lat) with its record count
-    ``n``.  Species with up to ``max_locations`` places are compared exactly; above
-    that, places are first binned to ``cell_deg`` cells, of which the globe has at
-    most 259,200 at 0.5 degrees, so a species' work is bounded.  Point pairs are
-    never rows: blocks of 512 points meet inside a task and leave sums only, and
-    each block of a species is its own join key.  Eager: the narrow intermediate
-    tables are written to the shared folder.
+    ``n``.  Every place is compared exactly; with ``cell_deg`` the places of all
+    species are binned to cells of that size first.  Point pairs are never rows:
+    blocks of 512 points meet inside a task and leave sums only, and each block of
+    a species is its own join key.  Eager: the narrow intermediate tables are
+    written to the shared folder.
     """
     sp, x, y = cols.species, cols.lon, cols.lat
     loc = locations.where(
         filled(F.col(sp)) & F.col(x).isNotNull() & F.col(y).isNotNull()
     ).select(sp, x, y, "n")
     loc = cut(loc, "locations")
-    cells = F.ceil((F.max(y) - F.min(y)) / cell_deg + 1) * F.ceil(
-        (F.max(x) - F.min(x)) / cell_deg + 1
-    )
-    species = (
-        loc.groupBy(sp)
-        .agg(F.sum("n").alias("n_records"), F.count("*").alias("n_locations"), cells.alias("cells"))
-        .withColumn("binned", F.col("n_locations") > max_locations)
-    )
+    species = loc.groupBy(sp).agg(F.sum("n").alias("n_records"), F.count("*").alias("n_locations"))
     total = species.agg(F.sum("n_locations")).scalar()
     species = species.where(F.col("n_records") >= min_n).withColumn(
-        "blocks",
-        F.greatest(
-            F.lit(1),
-            F.ceil(
-                F.when(F.col("binned"), F.least("n_locations", "cells"))
-                .otherwise(F.col("n_locations")) / _BLOCK
-            ),
-        ).cast("int"),
+        "blocks", F.ceil(F.col("n_locations") / _BLOCK).cast("int")
     )
     loc = attach(
-        loc, species, [sp], ["n_records", "n_locations", "binned", "blocks"],
+        loc, species, [sp], ["n_records", "n_locations", "blocks"],
         weight="n_locations", total=total,
     ).where("n_records is not null")
 
     def snap(c):
-        return F.when(F.col("binned"), (F.floor(F.col(c) / cell_deg) + 0.5) * cell_deg).otherwise(
-            F.col(c)
-        )
+        return F.col(c) if cell_deg is None else (F.floor(F.col(c) / cell_deg) + 0.5) * cell_deg
 
     loc = cut(loc.withColumns({"px": snap(x), "py": snap(y)}), "points")
     points = loc.groupBy(sp, "px", "py").agg(
@@ -129,11 +112,9 @@ def outlier_locations(
         .withColumn("mean_m", F.round(F.col("d") / (F.col("n_records") - 1), 3))
     )
     means = cut(means, "means")
-    limits = means.groupBy(F.col(sp).alias("_sp")).agg(
-        F.percentile("mean_m", [0.25, 0.75], F.col("w")).alias("q")
-    )
+    limits = exact_quantiles(means, "mean_m", {"q1": 0.25, "q3": 0.75}, [sp], "w").withColumnRenamed(sp, "_sp")
     far = means.join(limits, means[sp] == limits["_sp"]).where(
-        F.col("mean_m") > F.col("q")[1] + mult * (F.col("q")[1] - F.col("q")[0])
+        F.col("mean_m") > F.col("q3") + mult * (F.col("q3") - F.col("q1"))
     )
     far = far.select(
         F.col(sp).alias("_sp"), F.col("px").alias("_px"), F.col("py").alias("_py")

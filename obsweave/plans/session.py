@@ -37,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = os.path.join(tempfile.gettempdir(), f"obsweave-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), f"obsweave-{os.getpid()}")
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

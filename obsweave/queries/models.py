@@ -83,9 +83,9 @@ def pred(s, d):
 _pc = ["predicted_count", "predicted_presence", "residual_count", "residual_std"]
 query("predict_residuals", lambda s, d: rnd(pred(s, d).select("cell_q", "cell_r", *_pc, "under_sampled", "over_sampled")),
       f"WITH {PRED} SELECT cell_q, cell_r, {', '.join(f'{r(c)} AS {c}' for c in _pc)}, under_sampled, over_sampled FROM pr")
-query("undersampled_profile", lambda s, d: rnd(R.undersampled_profile(R.predict_residuals(cut(design(s, d), "design"), GIVEN, None, 0.1))),
+query("undersampled_profile", lambda s, d: rnd(R.undersampled_profile(R.predict_residuals(cut(design(s, d), "design"), GIVEN, None, 1.0))),
       f"WITH {PRED} SELECT count(*) AS n_cells, {r('avg(elevation)')} AS mean_elevation, {r('avg(temperature)')} AS mean_temp,"
-      f" {r('avg(precipitation)')} AS mean_precip, {r('avg(dist_to_city_km)')} AS mean_dist_city FROM pr WHERE residual_std < -0.1")
+      f" {r('avg(precipitation)')} AS mean_precip, {r('avg(dist_to_city_km)')} AS mean_dist_city FROM pr WHERE residual_std < -1")
 query("join_predictions", lambda s, d: rnd(R.join_predictions(grid(s, d), pred(s, d), ["cell_q", "cell_r"])
                                            .select("cell_q", "cell_r", "n_species", "predicted_count", "residual_count", "residual_std")),
       f"WITH {PRED} SELECT gr.cell_q, gr.cell_r, gr.n_species, {', '.join(f'{r(c)} AS {c}' for c in ('predicted_count', 'residual_count', 'residual_std'))}"

@@ -39,15 +39,16 @@ def _through_tsv(s, d):
 
     df = occurrences(s, d)
     path = scratch_path(s, "tsv")
-    df.write.option("sep", "\t").option("header", True).option("emptyValue", '""').option("nullValue", "").csv(path)
+    df.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
     schema = T.StructType([f for n in df.columns for f in S.occurrence_schema(COLS).fields if f.name == n])
     return S.read_occurrences(s, path, "tsv", schema=schema)
 
 
 _TOT = """SELECT basis_of_record, count(*) AS n, count(species) AS n_species_set, count(lon) AS n_lon, count(event_date) AS n_date,
   CAST(sum(year) AS BIGINT) AS sum_year, round(sum(uncertainty_m), 4) AS sum_m"""
-query("read_delimited", lambda s, d: s.sql(_TOT.replace("count(species)", "count(nullif(species, ''))") + " FROM {t} GROUP BY basis_of_record", t=_through_tsv(s, d)),
-      with_sql(OCC, _TOT.replace("count(species)", "count(nullif(species, ''))") + " FROM occ GROUP BY basis_of_record"))
+query("read_delimited", lambda s, d: s.sql(_TOT + " FROM {t} GROUP BY basis_of_record", t=_through_tsv(s, d)),
+      with_sql(OCC, _TOT.replace("count(species)", "count(*)").replace("count(event_date)", "count(*)")
+               .replace("SELECT basis_of_record", "SELECT coalesce(basis_of_record, '') AS basis_of_record") + " FROM occ GROUP BY 1"))
 
 
 def _through_parquet(s, d):

@@ -156,7 +156,7 @@ ap AS (SELECT a.id AS a, b.id AS b, {haversine_sql('a.lon_c', 'a.lat_c', 'b.lon_
 def moran_sql(src: str) -> str:
     return f""", w AS (SELECT a, b, xa, xb, 1.0 / count(*) OVER (PARTITION BY a) AS w FROM {src}),
     us AS (SELECT a, any_value(xa) AS x FROM w GROUP BY 1), mm AS (SELECT avg(x) AS m, count(*) AS n FROM us)
-    SELECT any_value(n) AS n, {r('sum(w * (xa - m) * (xb - m)) / (SELECT sum((x - m) * (x - m)) FROM us, mm)')} AS moran_i,
+    SELECT (SELECT n FROM mm) AS n, {r('sum(w * (xa - m) * (xb - m)) / (SELECT sum((x - m) * (x - m)) FROM us, mm)')} AS moran_i,
     {r('-1.0 / (any_value(n) - 1)')} AS expected FROM w, mm"""
 
 

@@ -156,14 +156,14 @@ for _n in (15, 30):
     )
 _comp = f"""SELECT period, class, count(*) AS n_records, {nd('species')} AS n_species FROM pr
   WHERE period IS NOT NULL AND class IS NOT NULL GROUP BY 1, 2"""
-_top10 = "(SELECT class FROM pr GROUP BY 1 ORDER BY count(*) DESC, class ASC NULLS LAST LIMIT 5)"
+_top10 = "(SELECT class FROM pr GROUP BY 1 ORDER BY count(*) DESC, class ASC NULLS LAST LIMIT 10)"
 query("composition", lambda s, d: X.composition(periods(s, d), "class"), with_sql(PERIODS, _comp))
 query(
-    "composition_top", lambda s, d: X.composition(periods(s, d), "class", top=5),
+    "composition_top", lambda s, d: X.composition(periods(s, d), "class", top=10),
     with_sql(PERIODS, f"SELECT * FROM ({_comp}) WHERE class IN {_top10}"),
 )
 query(
-    "composition_share", lambda s, d: rnd(X.composition_share(X.composition(periods(s, d), "class", top=5))),
+    "composition_share", lambda s, d: rnd(X.composition_share(X.composition(periods(s, d), "class", top=10))),
     with_sql(PERIODS, f"""SELECT *, {r('n_records * 1.0 / sum(n_records) OVER (PARTITION BY period)')} AS share
       FROM ({_comp}) WHERE class IN {_top10}"""),
 )
@@ -213,8 +213,7 @@ query(
     lambda s, d: rnd(A.accumulation_exact(inc(s, d), ["cell_x", "cell_y"], "species"), 4),
     with_sql(_csp + """, nn AS (SELECT CAST(count(DISTINCT (cell_x, cell_y)) AS DOUBLE) AS n FROM inc),
       hi AS (SELECT x, count(*) AS f FROM (SELECT species, count(*) AS x FROM inc GROUP BY 1) GROUP BY 1),
-      ks AS (SELECT DISTINCT k FROM (SELECT unnest(range(1, CAST(n AS BIGINT) + 1, CAST(ceil(n / 200) AS BIGINT))) AS k FROM nn
-             UNION ALL SELECT CAST(n AS BIGINT) FROM nn))""",
+      ks AS (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS k FROM nn)""",
       f"""SELECT k AS sites, {r(f"sum(f * (1 - CASE WHEN k <= n - x THEN exp({_lg.format(n='(n - x)', k='k')} - {_lg.format(n='n', k='k')}) ELSE 0 END))", 4)}
       AS richness FROM hi, nn, ks GROUP BY 1"""),
 )
@@ -223,10 +222,10 @@ query(
     with_sql(CLEAN, """SELECT year, new_species, CAST(sum(new_species) OVER (ORDER BY year) AS BIGINT) AS richness FROM
       (SELECT year, count(*) AS new_species FROM (SELECT species, min(year) AS year FROM cl GROUP BY 1) GROUP BY 1)"""),
 )
-_top100 = lambda s, d: X.rarity(clean(s, d))
-query("rarefaction", lambda s, d: rnd(A.rarefaction(_top100(s, d), "species"), 4),
+_counts = lambda s, d: X.rarity(clean(s, d))
+query("rarefaction", lambda s, d: rnd(A.rarefaction(_counts(s, d), "species"), 4),
       with_sql(CLEAN + """,
-  tx AS (SELECT count(*) AS x FROM cl GROUP BY species ORDER BY count(*) DESC, species LIMIT 100),
+  tx AS (SELECT count(*) AS x FROM cl GROUP BY species),
   hi AS (SELECT CAST(x AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS f FROM tx GROUP BY 1),
   st AS (SELECT sum(x * f) AS n, sum(f) AS s_obs, max(x) * 2 AS e, coalesce(sum(f) FILTER (WHERE x = 1), 0) AS f1,
          coalesce(sum(f) FILTER (WHERE x = 2), 0) AS f2 FROM hi),
@@ -237,7 +236,7 @@ query("rarefaction", lambda s, d: rnd(A.rarefaction(_top100(s, d), "species"), 4
    {r('1 - sum(f * CASE WHEN m <= n - x THEN x / n * exp(lgamma(n - x + 1) - lgamma(n - x - m + 1) - lgamma(n) + lgamma(n - m)) ELSE 0 END)', 4)} AS coverage,
    CAST(any_value(s_obs) AS BIGINT) AS s_obs, {r('any_value(s_obs + f0)', 4)} AS chao1
    FROM hi, s2, kn GROUP BY m, n"""))
-query("rarefaction_all_boot", lambda s, d: rnd(A.rarefaction(_top100(s, d), "species", top_n=None, boots=20, endpoint=100_000)))
+query("rarefaction_all_boot", lambda s, d: rnd(A.rarefaction(_counts(s, d), "species", top_n=None, boots=50, endpoint=100_000)))
 
 # ------------------------------------------------------------ assessments
 

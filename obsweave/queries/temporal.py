@@ -99,10 +99,10 @@ query(
     with_sql(CLEAN, f"""SELECT year, class, count(*) AS n_records, {nd('species')} AS n_species FROM cl
       WHERE class IS NOT NULL GROUP BY 1, 2"""),
 )
-_top = "top AS (SELECT class FROM cl GROUP BY 1 ORDER BY count(*) DESC, class ASC NULLS LAST LIMIT 5)"
+_top = "top AS (SELECT class FROM cl GROUP BY 1 ORDER BY count(*) DESC, class ASC NULLS LAST LIMIT 10)"
 query(
     "top_classes_by_year",
-    lambda s, d: T.within_top_k(T.year_by(clean(s, d), "class"), "class", 5, among=clean(s, d)),
+    lambda s, d: T.within_top_k(T.year_by(clean(s, d), "class"), "class", 10, among=clean(s, d)),
     with_sql(CLEAN + ", " + _top, f"""SELECT year, class, count(*) AS n_records, {nd('species')} AS n_species
       FROM cl WHERE class IS NOT NULL AND class IN (SELECT class FROM top) GROUP BY 1, 2"""),
 )

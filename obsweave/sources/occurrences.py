@@ -31,25 +31,37 @@ def read_occurrences(
     schema: T.StructType | None = None,
     corrupt: str | None = None,
 ) -> DataFrame:
-    """Parquet, or tab-separated text with a header.
+    """Parquet, or delimited text with a header.
 
-    ``corrupt`` names a column that keeps lines that do not fit the schema.
+    Columns are found by their names in the header; others are ignored, missing
+    ones are NULL. Tab-separated text has no quotes. Blank text stays blank, blank
+    numbers are NULL. ``corrupt`` names a column that keeps lines with too many or
+    too few fields or with a value that does not fit its type.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     schema = schema or occurrence_schema(cols)
-    if corrupt and corrupt not in schema.fieldNames():
-        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    reader = (
-        spark.read.schema(schema)
-        .option("sep", "\t" if fmt == "tsv" else ",")
-        .option("header", True)
-        .option("nullValue", "")
-        .option("enforceSchema", False)
-    )
+    sep = "\t" if fmt == "tsv" else ","
+    reader = spark.read.option("sep", sep).option("header", True).option("quote", "" if fmt == "tsv" else '"')
+    names = reader.option("inferSchema", False).csv(path).columns
+    bad = corrupt or "_corrupt"
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    raw = reader.schema(text).option("columnNameOfCorruptRecord", bad).csv(path)
+    out, misfit = [], F.lit(False)
+    for f in schema.fields:
+        if f.name == corrupt:
+            continue
+        cell = F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string")
+        if isinstance(f.dataType, T.StringType):
+            out.append((F.coalesce(cell, F.lit("")) if f.name in names else cell).alias(f.name))
+        else:
+            value = cell.try_cast(f.dataType)
+            misfit = misfit | (cell.isNotNull() & value.isNull())
+            out.append(value.alias(f.name))
     if corrupt:
-        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
-    return reader.csv(path)
+        line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names])
+        out.append(F.coalesce(F.col(bad), F.when(misfit, line)).alias(corrupt))
+    return raw.select(*out)
 
 
 def scope_filter(

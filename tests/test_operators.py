@@ -6,17 +6,19 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from obsweave.columns import Columns
+from obsweave.columns import EARTH_RADIUS_M, Columns
 from obsweave.functions import pvalues, special
 from obsweave.functions.geo import hex_centre, hex_key, inside, ring_literal
-from obsweave.models import glm
+from obsweave.models import design, glm
 from obsweave.operators import accumulation, cells, environment, nearby, taxonomic, temporal
 from obsweave.operators.outliers import outlier_locations
 from obsweave.plans.running import exact_quantiles, running_sums
 from obsweave.plans.skew import attach
+from obsweave.sources.reference import RASTER_SCHEMA, RasterGrid
 
 COLS = Columns()
 
@@ -244,10 +246,39 @@ def test_outliers_of_binned_species(spark):
     rng = random.Random(4)
     pts = [(rng.uniform(30, 33), rng.uniform(0, 3), 1) for _ in range(300)] + [(120.0, 50.0, 1)]
     df = spark.createDataFrame([("a", *p) for p in pts], "species string, lon double, lat double, n long")
-    got = {(r["lon"], r["lat"]) for r in outlier_locations(df, max_locations=50).collect()}
+    got = {(r["lon"], r["lat"]) for r in outlier_locations(df, cell_deg=0.5).collect()}
     assert got == {(120.0, 50.0)}
 
 
+def test_outliers_of_a_species_with_many_places(spark):
+    rng = np.random.default_rng(5)
+    lon, lat = rng.normal(36, 0.5, 12_000), rng.normal(0, 0.5, 12_000)
+    lon[:20], lat[:20] = lon[:20] + 40, lat[:20] + 30
+    pdf = pd.DataFrame({"species": "a", "lon": lon, "lat": lat, "n": 1})
+    got = {(r["lon"], r["lat"]) for r in outlier_locations(spark.createDataFrame(pdf)).collect()}
+    lam, phi = np.radians(lon), np.radians(lat)
+    unit = np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
+    total = np.concatenate([
+        (2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(
+            ((unit[:, k : k + 500, None] - unit[:, None, :]) ** 2).sum(axis=0)) / 2))).sum(axis=1)
+        for k in range(0, 12_000, 500)
+    ])
+    mean = np.round(total / 11_999, 3)
+    q1, q3 = np.quantile(mean, [0.25, 0.75])
+    far = mean > q3 + 5 * (q3 - q1)
+    assert far.sum() >= 20 and got == set(zip(lon[far].tolist(), lat[far].tolist()))
+
+
+def test_distance_to_many_cities(spark):
+    towns = spark.createDataFrame([(f"t{k}", -180 + 360 * k / 20_000, 0.0) for k in range(20_000)], "city string, lon double, lat double")
+    cells_ = spark.createDataFrame([(0, 36.0, 0.0), (1, 99.99, 0.5)], "id long, lon_c double, lat_c double")
+    raster = spark.createDataFrame([("elevation", 0, 0, 1.0)], RASTER_SCHEMA)
+    out = design.covariates(cells_, raster, RasterGrid(0.0, 1.0, 1.0), towns, bands=("elevation",))
+    near = {r["id"]: r["dist_to_city_km"] for r in out.collect()}
+    assert near[0] < 1e-5
+    assert abs(near[1] - 55.6) < 0.1
+
+
 # ------------------------------------------------------------------- curves
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsweave.columns import Columns
 from obsweave.operators.flags import add_local_flags
@@ -31,7 +32,6 @@ def test_materialize_skips_and_forces(spark, tmp_path):
 def test_bad_lines_are_kept(spark, tmp_path):
     f = tmp_path / "o.tsv"
     f.write_text("occ_id\tlon\n1\t2.5\nx\ty\n")
-    from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("occ_id", T.LongType()), T.StructField("lon", T.DoubleType())])
     rows = read_occurrences(spark, str(f), "tsv", schema=schema, corrupt="bad").collect()
@@ -69,3 +69,23 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     flags = [c for c in got.columns if c.startswith("flag_")]
     count = lambda d: d.agg(*[F.count_if(c).alias(c) for c in flags]).collect()
     assert got.count() == batch.count() and count(got) == count(batch)
+
+
+def test_text_is_read_by_header_name(spark, tmp_path):
+    """Other columns are ignored, order is free, a stray quote is text, blanks stay, misfits are kept."""
+    path = tmp_path / "records.txt"
+    path.write_text(
+        "year\textra\tspecies\tdecimalLongitude\n"
+        '2001\tx\t"Genus odd\t36.5\n'
+        "20x1\ty\tb\t37\n"
+        "2003\tz\t\t\n"
+        "2004\tz\n"
+    )
+    schema = T.StructType([
+        T.StructField("species", T.StringType()), T.StructField("decimalLongitude", T.DoubleType()),
+        T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()),
+    ])
+    rows = read_occurrences(spark, str(path), "tsv", schema=schema, corrupt="bad").collect()
+    assert [(r["species"], r["decimalLongitude"], r["year"], r["month"]) for r in rows[:3]] == [
+        ('"Genus odd', 36.5, 2001, None), ("b", 37.0, None, None), ("", None, 2003, None)]
+    assert [r["bad"] is not None for r in rows] == [False, True, False, True]
