@@ -8,28 +8,18 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsweave.plans.session import cut
+
 _COARSE = 16  # buckets per level; two levels give 256 buckets
 
 
-def running_sums(
-    df: DataFrame,
-    order: list[str],
-    sums: dict[str, str],
-    by: list[str] | None = None,
-    totals: bool = False,
-) -> DataFrame:
-    """Adds, per alias, the sum of a column over this row and all before it.
+def _by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``_slice``, which rises with the whole order."""
+    return cut(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ranged")
 
-    With ``totals`` also ``<alias>_all``, the sum over the whole group.
 
-    ``order`` is a total order within ``by`` and starts with a number.  Rows are
-    cut into up to 256 slices at approximate quantiles of that number.  A window
-    runs inside each slice and the slice totals, at most 256 rows per group, are
-    added on top.  Where the cuts fall changes the balance only, never the
-    result, so no task sees a whole group.
-    """
-    by = list(by or [])
-    lead = order[0]
+def _by_quantiles(df: DataFrame, lead: str) -> DataFrame:
+    """Adds ``_slice``, the place of ``lead`` between approximate quantiles."""
     probs = [i / _COARSE**2 for i in range(1, _COARSE**2)]
     cuts = df.agg(F.percentile_approx(F.col(lead).cast("double"), probs, 2000)).scalar()
     v = F.col(lead).cast("double")
@@ -49,6 +39,30 @@ def running_sums(
     out = out.withColumn(
         "_slice", F.coalesce(F.col("_coarse") * _COARSE + fine, F.lit(0))
     ).drop("_coarse", "_cuts")
+    return out
+
+
+def running_sums(
+    df: DataFrame,
+    order: list[str],
+    sums: dict[str, str],
+    by: list[str] | None = None,
+    totals: bool = False,
+) -> DataFrame:
+    """Adds, per alias, the sum of a column over this row and all before it.
+
+    With ``totals`` also ``<alias>_all``, the sum over the whole group.
+
+    ``order`` is a total order within ``by`` and starts with a number.  Rows are cut
+    into slices along it; a window runs inside each slice and the slice totals are
+    added on top.  Where the cuts fall changes the balance only, never the result,
+    so no task sees a whole group.  With one column, up to 256 slices come from its
+    approximate quantiles; it then has to be unique, as in a histogram.  With more,
+    rows are dealt by range of the whole order, so equal numbers are split by the
+    rest, and written once (eager), because both sums must see the same cuts.
+    """
+    by = list(by or [])
+    out = _by_quantiles(df, order[0]) if len(order) == 1 else _by_range(df, [*by, *order])
 
     keys = [*by, "_slice"]
     slices = out.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])

@@ -16,6 +16,7 @@ from obsweave.functions.geo import hex_centre, hex_key, inside, ring_literal
 from obsweave.models import design, glm
 from obsweave.operators import accumulation, cells, environment, nearby, taxonomic, temporal
 from obsweave.operators.outliers import outlier_locations
+from obsweave.plans import running
 from obsweave.plans.running import exact_quantiles, running_sums
 from obsweave.plans.skew import attach
 from obsweave.sources.reference import RASTER_SCHEMA, RasterGrid
@@ -279,6 +280,18 @@ def test_distance_to_many_cities(spark):
     assert abs(near[1] - 55.6) < 0.1
 
 
+def test_equal_values_are_split(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(100_000).select(F.lit(1).cast("long").alias("v"), F.col("id").cast("string").alias("name"))
+        sliced = running._by_range(df, ["v", "name"]).groupBy("_slice").count().collect()
+        out = running_sums(df, ["v", "name"], {"c": "v"})
+        assert len(sliced) > 1 and max(r["count"] for r in sliced) < 60_000
+        assert [r["c"] for r in out.orderBy("name").select("c").collect()] == list(range(1, 100_001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # ------------------------------------------------------------------- curves
 
 
