@@ -106,14 +106,55 @@ def test_class_model_sums_to_one():
         assert abs(known + 10 ** scores.unknown[state] + 10 ** scores.step[state, classes] - 1) < 1e-6
 
 
-def test_exchange_finds_alternating_classes(spark):
+def information(pairs, label):
+    """Mutual information of neighbouring classes."""
+    n = np.zeros((label.max() + 1,) * 2)
+    for (v, w), c in pairs.items():
+        n[label[v], label[w]] += c
+    p = n / n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nansum(p * np.log(p / np.outer(p.sum(axis=1), p.sum(axis=0))))
+
+
+def test_exchange_raises_the_likelihood(spark):
     rng = np.random.default_rng(3)
-    size = 12  # words 0-5 and 6-11 take turns
-    line = np.array([rng.integers(0, 6) + 6 * (k % 2) for k in range(4000)])
-    pairs = Counter(zip(line[:-1].tolist(), line[1:].tolist()))
+    size = 60  # three groups of words take turns, in words of uneven frequency
+    group = rng.permutation(np.arange(size) % 3)
+    weight = 1 / (1 + np.arange(size))
+    draw = [weight * (group == g) / (weight * (group == g)).sum() for g in range(3)]
+    line = [int(rng.choice(size, p=draw[k % 3])) for k in range(6000)]
+    pairs = Counter(zip(line[:-1], line[1:]))
     df = spark.createDataFrame([(v, w, n) for (v, w), n in pairs.items()], "v long, w long, n long")
-    label = class_lm.exchange(df, size, classes=2, sweeps=8)
-    assert len(set(label[:6])) == 1 and len(set(label[6:12])) == 1 and label[0] != label[6]
+    label = class_lm.exchange(df, size, classes=3, sweeps=12)[:size]
+    best, first = information(pairs, group), information(pairs, np.arange(size) % 3)
+    assert information(pairs, label) > 0.9 * best > first
+
+
+def test_best_class_by_trying_all():
+    rng = np.random.default_rng(9)
+    size, classes = 10, 3
+    n = rng.integers(0, 9, (size, size))
+    label = rng.integers(0, classes, size)
+
+    def likelihood(label):
+        m = np.zeros((classes, classes))
+        np.add.at(m, (label[:, None].repeat(size, 1), label[None, :].repeat(size, 0)), n)
+        return class_lm._xlogx(m).sum() - class_lm._xlogx(m.sum(axis=0)).sum() - class_lm._xlogx(m.sum(axis=1)).sum()
+
+    between = np.zeros((classes, classes))
+    np.add.at(between, (label[:, None].repeat(size, 1), label[None, :].repeat(size, 0)), n)
+    off = n * (1 - np.eye(size, dtype=int))
+    left, right = np.zeros((2, size, classes))
+    for c in range(classes):
+        left[:, c], right[:, c] = off[label == c].sum(axis=0), off[:, label == c].sum(axis=1)
+    got = class_lm.best_classes(left, right, np.diag(n), label, between, classes)
+    for w in range(size):
+        tried = []
+        for c in range(classes):
+            other = label.copy()
+            other[w] = c
+            tried.append(likelihood(other))
+        assert tried[got[w]] == pytest.approx(max(tried))
 
 
 def test_kneser_ney_probabilities_sum_to_one(spark):
