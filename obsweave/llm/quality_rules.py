@@ -153,3 +153,31 @@ def op7_quality_rules(docs: DataFrame) -> DataFrame:
         passes(POLICIES["v2"]).alias("kept"),
         "failed_bits",
     )
+
+
+def _sql() -> str:
+    """The same columns in DuckDB."""
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << at} ELSE 0 END" for at, rule in enumerate(RULES.values()))
+    without = lambda c: f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g'))"
+    return rf"""
+    WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+               FROM documents),
+    three AS (SELECT doc_id, p, ws[p:p + 2] AS key FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS p FROM w WHERE len(ws) > 2)),
+    twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, key) AS c FROM three) WHERE c > 1),
+    again AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY 1),
+    words AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY 1, 2),
+    top AS (SELECT doc_id, max(c) AS top_word, sum(CASE WHEN ends_with(word, '!!') THEN c ELSE 0 END) AS n_loud_words FROM words GROUP BY 1),
+    m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+                 {without('#*$%&|<>')} AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                 coalesce(n, 0) AS n_repeat_words, {without('A-Z')} AS n_upper, {without('a-z')} AS n_lower,
+                 coalesce(n_loud_words, 0) AS n_loud_words, coalesce(top_word, 0) AS top_word
+          FROM w LEFT JOIN again USING (doc_id) LEFT JOIN top USING (doc_id)),
+    b AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+           n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+           failed_bits & {mask(POLICIES['base'])} <> 0 AS base_failed, failed_bits & {mask(POLICIES['v2'])} = 0 AS kept, failed_bits
+    FROM b"""
+
+
+SQL = _sql()

@@ -56,4 +56,6 @@ QUERIES = {
         op7_quality_rules, op8_quality_classifier, op9_suffix_array_dedup, op10_jaccard_join,
     )
 }
-ORACLE = {"op2_url_filters": url_filters.SQL, "op5_decontamination": decontaminate.SQL}
+ORACLE = {
+    "op2_url_filters": url_filters.SQL, "op5_decontamination": decontaminate.SQL, "op7_quality_rules": quality_rules.SQL,
+}
