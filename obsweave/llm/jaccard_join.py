@@ -155,10 +155,10 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(NUMERATOR) * (n + m) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
 
 
-def _room(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Sizes n, m that share the shingle at places i, j, one of their first ``COMMON``, can still reach the overlap."""
+def _room(n: Column, i: Column, m: Column, j: Column, among: int) -> Column:
+    """Sizes n, m whose shingle at places i, j is one of the first ``among`` they share can still reach the overlap."""
     least, most = F.least(n, m), F.greatest(n, m)
-    return (DENOMINATOR * least >= NUMERATOR * most) & (COMMON + F.least(n - i - 1, m - j - 1) >= _need(n, m))
+    return (DENOMINATOR * least >= NUMERATOR * most) & (among + F.least(n - i - 1, m - j - 1) >= _need(n, m))
 
 
 def _often(pairs: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def _leader_pairs(rows: DataFrame, first: Column) -> DataFrame:
     ).select("token", "lead.*")
     return (
         rows.join(lead, "token")
-        .where((F.col("label") != F.col("other")) & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
+        .where((F.col("label") != F.col("other")) & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), COMMON))
         .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need"))
     )
 
@@ -337,13 +337,19 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     split = apart.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     apart = keep(apart.join(split.select("token"), "token", "left_semi"), "apart")
     other = apart.select("token", *[F.col(c).alias(c2) for c, c2 in (("node", "a"), ("n", "m"), ("i", "j"), ("label", "other"))])
+    # the first shingle that two sets share leaves the least room; the rest of what they share is counted once
     rest = (
         apart.join(other, "token")
         .where((F.col("a") < F.col("node")) & (F.col("label") != F.col("other"))
-               & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
-        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need"))
+               & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), 1))
+        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need")).distinct()
+        .join(stars, ["a", "b"], "left_anti")
     )
-    rest = keep(_often(rest).join(stars, ["a", "b"], "left_anti"), "rest")
+    begin = reps.select("node", "prefix")
+    both = rest.join(begin.withColumnsRenamed({"node": "a", "prefix": "p"}), "a").join(
+        begin.withColumnsRenamed({"node": "b", "prefix": "q"}), "b")
+    enough = F.size(F.array_intersect("p", "q")) >= F.least(F.lit(COMMON), "need")
+    rest = keep(both.where(enough).select("a", "b"), "rest")
     if rest.limit(1).count():
         labels = components(links.union(verified(docs, reps, rest, size)))
 
