@@ -19,8 +19,16 @@ def _next_stage(spark: SparkSession) -> None:
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    """The documents' columns as one, beside what operators read, so that no name clashes with theirs."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    """doc_id and text as operators read them; all else in one column, so that no name clashes with theirs."""
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    row = F.struct(others.alias("columns"), F.col("text").isNull().alias("no_text"))
+    return docs.select(row.alias("row"), "doc_id", "text")
+
+
+def _unwrapped(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` again, some of them new."""
+    new = {"text": F.col("text"), **new}
+    return out.select(*[new.get(c, F.col(f"row.columns.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
@@ -40,8 +48,8 @@ def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the network calls toxic; null and empty texts are not."""
     labels = common.read(spark, sf_dir, "labels")
-    scored = toxicity.toxic_scores(_wrapped(docs), labels, ["row"])
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    scored = toxicity.toxic_scores(_wrapped(docs), labels, ["row", "text"])
+    return _unwrapped(scored.where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 @_stage
@@ -64,18 +72,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     documents of which nothing is left go, those that were empty stay."""
     out = suffix_dedup.deduplicated(_wrapped(docs), ["row"], whole_characters=True)
     out = out.where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0))
-    text = F.when(F.col("row.text").isNotNull(), F.decode("kept", "UTF-8"))
-    new = {"text": text.alias("text")}
+    text = F.when(~F.col("row.no_text"), F.decode("kept", "UTF-8"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[new.get(c, F.col(f"row.{c}")) for c in docs.columns])
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return _unwrapped(out, docs, **new)
 
 
 @_stage
 def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(_wrapped(docs), common.read(spark, sf_dir, "benchmark"), ["row"])
-    return found.where(F.size("items") == 0).select("row.*")
+    found = decontaminate.contamination(_wrapped(docs), common.read(spark, sf_dir, "benchmark"), ["row", "text"])
+    return _unwrapped(found.where(F.size("items") == 0), docs)
 
 
 @_stage
