@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import digest, keep, texts
+from obsweave.llm.common import KEPT, digest, drop_kept, keep, texts
 from obsweave.llm.jaccard_join import FILTER_BITS, _filter
 
 LENGTH = 200
 #: Bytes of the grams that choose phrase borders, and how many neighbours one is the least of.
-GRAM, AMONG = 16, 32
+GRAM, AMONG = 16, 64
 #: The same for anchors, as shares of ``LENGTH``: GRAM_SHARE + AMONG_SHARE = 1.
 ANCHOR_GRAM = 0.4
 
@@ -297,6 +297,8 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
     names have no row.
     """
 
+    before = len(KEPT)
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = Flat(batch)
@@ -361,7 +363,9 @@ def suffix_ranks(strings: DataFrame, rounds: int) -> DataFrame:
             np.add.at(full, at[zero], less1[zero])  # sampled ones that are smaller, by both sorts
             yield pa.RecordBatch.from_arrays([batch.column(0), f.lists(full)], ["string", "ranks"])
 
-    return keep(merged.mapInArrow(finish, "string long, ranks array<long>"), "ranks")
+    ranks = keep(merged.mapInArrow(finish, "string long, ranks array<long>"), "ranks")
+    drop_kept(strings.sparkSession, [p for p in KEPT[before:-1]])  # what led to the ranks
+    return ranks
 
 
 # --- what adjacent suffixes share -------------------------------------------------
@@ -416,12 +420,12 @@ def neighbours(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f.string), pa.array(f.i), pa.array(rank),
                      pa.ListArray.from_arrays(offsets, pa.array(f.names[take])),
-                     pa.ListArray.from_arrays(offsets, pa.array(sizes[take]))],
+                     pa.ListArray.from_arrays(offsets, pa.array(sizes[take].astype(np.int32)))],
                     ["string", "i", "rank", "names", "sizes"],
                 )
 
     suffixes = strings.join(ranks, "string").mapInArrow(
-        rows, "string long, i long, rank long, names array<long>, sizes array<long>")
+        rows, "string long, i long, rank long, names array<long>, sizes array<int>")
     ordered = suffixes.repartitionByRange("rank", "string", "i").sortWithinPartitions("rank", "string", "i")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +459,7 @@ def neighbours(strings: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
             names, sizes = table["names"].combine_chunks(), table["sizes"].combine_chunks()
             offsets = names.offsets.to_numpy().astype(np.int64)
             n, at = np.diff(offsets), offsets[:-1]
-            size_values = sizes.values.to_numpy()
+            size_values = sizes.values.to_numpy().astype(np.int64)
             lcp = shared(names.values.to_numpy(), size_values, at[:-1], n[:-1], at[1:], n[1:])
             before = np.concatenate([[held_before], lcp])
             if len(n) > 1:
