@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from obsweave.llm import common, decontaminate, jaccard_join, packing, suffix_dedup, toxicity
 
+#: Near duplicates share 80 of 100 of their shingles of five words; op10 has values of its own.
+WORDS, SIMILAR, OF = 5, 80, 100
 #: Tables that the stage before this one kept. Its result is written by now, so they can go.
 _DONE: list[str] = []
 
@@ -56,7 +58,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the document with the smallest id of each group that shingles link. Documents without
     words are linked with nothing and stay; of repeated rows of an id one stays; rows without an id stay."""
-    marked = common.keep(jaccard_join.linked(docs), "groups").where("doc_id is not null")
+    marked = common.keep(jaccard_join.linked(docs, WORDS, SIMILAR, OF), "groups").where("doc_id is not null")
     go = marked.groupBy("doc_id").agg(
         F.max(F.col("doc_id") != F.col("component_id")).alias("go"), F.count(F.lit(1)).alias("rows"))
     out = docs.join(go.where("go").select("doc_id"), "doc_id", "left_anti")

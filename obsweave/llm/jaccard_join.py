@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from obsweave.llm.common import LOWER, components, digest, keep, texts
 
+#: The contract of op10: words of a shingle, and the Jaccard similarity from which two sets link.
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Shingles whose frequency orders them; all others count as rare. Any number gives the same links.
@@ -116,7 +117,9 @@ def prefix_length(n: int, numerator: int = NUMERATOR, denominator: int = DENOMIN
     return n - -(-numerator * n // denominator) + COMMON
 
 
-def described(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
+def described(
+    docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int, numerator: int, denominator: int
+) -> DataFrame:
     """Per document: ``key`` of its text, set size, signature of the set, its prefix in the global order."""
     heavy, weight = ranks
 
@@ -133,7 +136,8 @@ def described(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int)
                     if len(heavy) and len(s):
                         spot = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                         s = s[np.lexsort((s, np.where(heavy[spot] == s, weight[spot], 0)))]
-                    prefix.append(s[: prefix_length(len(s))].view(np.int64) if len(s) else s.view(np.int64))
+                    listed = prefix_length(len(s), numerator, denominator) if len(s) else 0
+                    prefix.append(s[:listed].view(np.int64))
                 own = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
@@ -150,15 +154,16 @@ def described(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], size: int)
     return narrow.mapInArrow(run, schema)
 
 
-def _need(n: Column, m: Column) -> Column:
+def _need(n: Column, m: Column, numerator: int, denominator: int) -> Column:
     """Shingles that sets of these sizes must share."""
-    return F.ceil(F.lit(NUMERATOR) * (n + m) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
+    return F.ceil(F.lit(numerator) * (n + m) / F.lit(numerator + denominator) - F.lit(1e-9))
 
 
-def _room(n: Column, i: Column, m: Column, j: Column, among: int) -> Column:
+def _room(n: Column, i: Column, m: Column, j: Column, among: int, numerator: int, denominator: int) -> Column:
     """Sizes n, m whose shingle at places i, j is one of the first ``among`` they share can still reach the overlap."""
     least, most = F.least(n, m), F.greatest(n, m)
-    return (DENOMINATOR * least >= NUMERATOR * most) & (among + F.least(n - i - 1, m - j - 1) >= _need(n, m))
+    left = among + F.least(n - i - 1, m - j - 1)
+    return (denominator * least >= numerator * most) & (left >= _need(n, m, numerator, denominator))
 
 
 def _often(pairs: DataFrame) -> DataFrame:
@@ -168,13 +173,15 @@ def _often(pairs: DataFrame) -> DataFrame:
     return counted.where(F.col("c") >= F.least(F.lit(COMMON), "need")).select("a", "b")
 
 
-def overlap_needed(n: int, m: int) -> int:
-    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
+def overlap_needed(n: int, m: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
+    return -(-numerator * (n + m) // (numerator + denominator))
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+def divide_skip(
+    query: np.ndarray, sets: list[np.ndarray], numerator: int = NUMERATOR, denominator: int = DENOMINATOR
+) -> list[int]:
     """Places of the sets that share enough shingles with the query."""
-    need = [overlap_needed(len(query), len(s)) for s in sets]
+    need = [overlap_needed(len(query), len(s), numerator, denominator) for s in sets]
     # inverted lists of the query's shingles, each in order of the candidates
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -250,7 +257,9 @@ def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return made.join(keys, "key").dropDuplicates(["key"])  # both by key: one shuffle
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def verified(
+    docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, numerator: int, denominator: int
+) -> DataFrame:
     """The pairs (a, b) that link, found by searching b's block with a as the query."""
     pairs = keep(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -269,7 +278,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int) -> D
     def search(group: list[tuple[int, bytes]], a: int) -> list[int]:
         query = next(np.frombuffer(s, np.uint64) for b, s in group if b == a)
         others = [(b, np.frombuffer(s, np.uint64)) for b, s in group if b != a]
-        return [others[k][0] for k in divide_skip(query, [s for _, s in others])]
+        return [others[k][0] for k in divide_skip(query, [s for _, s in others], numerator, denominator)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
@@ -297,7 +306,7 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _leader_pairs(rows: DataFrame, first: Column) -> DataFrame:
+def _leader_pairs(rows: DataFrame, first: Column, numerator: int, denominator: int) -> DataFrame:
     """Each list's members with the member that comes first, where they can link and are apart."""
     lead = rows.groupBy("token").agg(
         F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other")),
@@ -305,18 +314,20 @@ def _leader_pairs(rows: DataFrame, first: Column) -> DataFrame:
     ).select("token", "lead.*")
     return (
         rows.join(lead, "token")
-        .where((F.col("label") != F.col("other")) & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), COMMON))
-        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need"))
-    )
+        .where((F.col("label") != F.col("other"))
+               & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), COMMON, numerator, denominator))
+        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m"), numerator, denominator).alias("need"))
+    )
 
 
-def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+def linked(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row, where sets of shingles of ``size`` words
+    link from a similarity of ``numerator / denominator`` on.
 
     Null and empty texts have the empty set and link with nothing; so each is its own
     component. Rows with equal sets are one component. A null id is never the smallest.
     """
-    books = keep(described(docs, frequent(docs, size), size), "sets")
+    books = keep(described(docs, frequent(docs, size), size, numerator, denominator), "sets")
     reps = (
         books.where("n > 0").groupBy("sig")
         .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("key", "n", "prefix")).alias("one"))
@@ -328,9 +339,9 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     postings = keep(postings.join(shared, "token", "left_semi"), "postings")
 
     own = _labelled(postings, None)
-    stars = _often(_leader_pairs(own, F.col("i"))).union(_often(_leader_pairs(own, F.xxhash64("node")))).distinct()
-    stars = keep(stars, "stars")
-    links = keep(verified(docs, reps, stars, size), "links")
+    stars = [_often(_leader_pairs(own, by, numerator, denominator)) for by in (F.col("i"), F.xxhash64("node"))]
+    stars = keep(stars[0].union(stars[1]).distinct(), "stars")
+    links = keep(verified(docs, reps, stars, size, numerator, denominator), "links")
     labels = components(links)
 
     apart = _labelled(postings, labels)
@@ -341,8 +352,9 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rest = (
         apart.join(other, "token")
         .where((F.col("a") < F.col("node")) & (F.col("label") != F.col("other"))
-               & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), 1))
-        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m")).alias("need")).distinct()
+               & _room(F.col("n"), F.col("i"), F.col("m"), F.col("j"), 1, numerator, denominator))
+        .select("a", F.col("node").alias("b"), _need(F.col("n"), F.col("m"), numerator, denominator).alias("need"))
+        .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
     begin = reps.select("node", "prefix")
@@ -351,7 +363,7 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     enough = F.size(F.array_intersect("p", "q")) >= F.least(F.lit(COMMON), "need")
     rest = keep(both.where(enough).select("a", "b"), "rest")
     if rest.limit(1).count():
-        labels = components(links.union(verified(docs, reps, rest, size)))
+        labels = components(links.union(verified(docs, reps, rest, size, numerator, denominator)))
 
     named = reps.select("sig", "first_id", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
@@ -364,4 +376,4 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def op10_jaccard_join(docs: DataFrame) -> DataFrame:
-    return linked(docs)
+    return linked(docs, SHINGLE, NUMERATOR, DENOMINATOR)

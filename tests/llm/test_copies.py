@@ -223,3 +223,53 @@ def test_stages_take_nulls_and_empty_tables(spark, sf_dir):
             docs = common.keep(stage(spark, docs, sf_dir), "test")
             if name != "best-fit packing":
                 assert docs.columns == columns and docs.count() <= before
+
+
+def groups(rows, size, percent):
+    """Smallest id of each row's group, comparing all pairs on shingles of ``size`` words."""
+    sets = []
+    for _, text in rows:
+        w = text.encode().translate(LOW).split()
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or {tuple(w)})
+    least = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                least = [least[b] if x == least[a] else x for x in least]
+    smallest = {}
+    for k, r in enumerate(rows):
+        smallest[least[k]] = min(smallest.get(least[k], r[0]), r[0])
+    return [smallest[x] for x in least]
+
+
+def test_near_duplicates_share_five_words_at_80(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = [f"d{k}w{i}" for i in range(124)]
+        rows.append((2 * k, " ".join(words)))
+        if k % 2:  # a block of words that differ
+            at, n = rng.randrange(10, 80), rng.randint(6, 12)
+            words[at : at + n] = [f"e{i}" for i in range(n)]
+        else:  # words that differ here and there
+            for at in range(9, 9 + 20 * rng.randint(1, 4), 20):
+                words[at] = "edit"
+        rows.append((2 * k + 1, " ".join(words)))
+    expected = {k for (k, _), g in zip(rows, groups(rows, 5, 80)) if g == k}
+    assert expected != {k for (k, _), g in zip(rows, groups(rows, 4, 85)) if g == k}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in p.near_duplicates(spark, docs, "").collect()} == expected
+    got = jaccard_join.linked(docs, 5, 80, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: g for (k, _), g in zip(rows, groups(rows, 5, 80))}
+
+
+def test_prefixes_and_overlaps_follow_the_threshold():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        query = np.unique(rng.integers(0, 80, 40)).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(len(query)) < 0.12, rng.integers(0, 80, len(query)), query)).astype(np.uint64) for _ in range(12)]
+        expected = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(query, s)) >= 80 * len(np.union1d(query, s))]
+        assert jaccard_join.divide_skip(query, sets, 80, 100) == expected
+    assert jaccard_join.prefix_length(100, 80, 100) == 20 + jaccard_join.COMMON
