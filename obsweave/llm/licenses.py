@@ -1,7 +1,8 @@
 """License scans: ordered signature rules with a keyword gate.
 
 Every rule is a regular expression over the lower-cased words of a text, joined
-by one space. A rule runs only in texts that hold its keyword. Rules are ordered;
+by one space. A rule runs only in texts that hold one of its keywords; every text
+its pattern accepts holds one, so the gate drops nothing. Rules are ordered;
 where detections overlap, the earlier rule goes first and a detection that lies
 inside an accepted one is suppressed.
 """
@@ -25,8 +26,11 @@ class Signature:
     label: str
     kind: str
     pattern: str
-    keyword: str
+    #: Each match of the pattern holds one of them.
+    keywords: tuple[str, ...]
     confidence: float
+    #: Each match begins with a match of this; tried at these places only.
+    start: str = ""
 
 
 #: Label, the name as written in notices, its identifier tag, the path of its page, most specific first. Fixed values.
@@ -116,7 +120,8 @@ SENTENCES: tuple[tuple[str, str, str], ...] = (
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
 )
 
-_LEAD = r"(?:released|licensed|distributed|published|available|provided|covered|governed)(?: \w+){0,3} (?:under|by)(?: the)?(?: terms of(?: the)?)? "
+_VERB = r"(?:released|licensed|distributed|published|available|provided|covered|governed)"
+_LEAD = rf"{_VERB}(?: \w+){{0,3}} (?:under|by)(?: the)?(?: terms of(?: the)?)? "
 _TAIL = r"(?: licen[cs]es?)?"
 _CALL = r"(?: (?:licen[cs]e|licen[cs]ed|terms))"
 
@@ -125,13 +130,16 @@ def _signatures() -> tuple[Signature, ...]:
     """Every family in each way it is written; surer ways come first."""
     tags, notices, pages, names = [], [], [], []
     for label, name, tag, page in FAMILIES:
-        own = rf"{name}(?:{_CALL})" if "licen" not in name and not name.startswith("(?:cc") else name
-        tags.append(Signature(label, "tag", rf"\bspdx licen[cs]e identifier {tag}\b", "spdx", 1.0))
-        tags.append(Signature(label, "field", rf"\blicen[cs]e (?:is )?{tag}\b", "licen", 0.8))
-        notices.append(Signature(label, "notice", rf"\b{_LEAD}{name}{_TAIL}\b", "under", 0.95))
-        pages.append(Signature(label, "page", rf"\b{page}\b", page.split()[0], 0.9))
-        names.append(Signature(label, "name", rf"\b{own}\b", "cc" if name.startswith("(?:cc") else "licen", 0.7))
-    sentences = [Signature(label, "sentence", rf"\b{p}\b", k, 0.6) for label, p, k in SENTENCES]
+        creative = name.startswith("(?:cc")
+        called = "licen" not in name and not creative
+        own = rf"{name}(?:{_CALL})" if called else name
+        known = ("cc", "creative commons") if creative else ("licen", "terms") if called else ("licen",)
+        tags.append(Signature(label, "tag", rf"\bspdx licen[cs]e identifier {tag}\b", ("spdx",), 1.0))
+        tags.append(Signature(label, "field", rf"\blicen[cs]e (?:is )?{tag}\b", ("licen",), 0.8))
+        notices.append(Signature(label, "notice", rf"\b{_LEAD}{name}{_TAIL}\b", ("under", "by"), 0.95, rf"\b{_VERB} "))
+        pages.append(Signature(label, "page", rf"\b{page}\b", (page.split()[0],), 0.9))
+        names.append(Signature(label, "name", rf"\b{own}\b", known, 0.7))
+    sentences = [Signature(label, "sentence", rf"\b{p}\b", (k,), 0.6) for label, p, k in SENTENCES]
     return (*tags[::2], *notices, *pages, *names, *tags[1::2], *sentences)
 
 
@@ -158,9 +166,23 @@ class Scanner:
         self.compiled = [re.compile(s.pattern.encode()) for s in signatures]
         self.by_keyword: dict[bytes, list[int]] = {}
         for i, s in enumerate(signatures):
-            self.by_keyword.setdefault(s.keyword.encode(), []).append(i)
+            for k in s.keywords:
+                self.by_keyword.setdefault(k.encode(), []).append(i)
+        self.starts = {s.start: re.compile(s.start.encode()) for s in signatures if s.start}
         self.base = [(b" %s " % b" ".join(w.encode() for w in words), label) for words, label in base.items()]
 
+    def _matches(self, rule: int, joined: bytes, starts: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
+        """The places that ``finditer`` finds."""
+        pattern, start = self.compiled[rule], self.signatures[rule].start
+        if not start:
+            yield from (m.span() for m in pattern.finditer(joined))
+            return
+        end = 0
+        for at in starts[start]:
+            if at >= end and (m := pattern.match(joined, at)):
+                end = m.end()
+                yield m.span()
+
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, int]]]:
         """Number of words, base places (word, label), accepted detections (rule, first word, end word)."""
         plain = text.translate(WORDS)
@@ -177,10 +199,12 @@ class Scanner:
             while at >= 0:
                 places.append((padded.count(b" ", 0, at), label))
                 at = padded.find(phrase, at + 1)
-        found = [
-            (i, m.start(), m.end())
-            for k in maybe if k in joined for i in self.by_keyword[k] for m in self.compiled[i].finditer(joined)
-        ]
+        rules = {i for k in maybe if k in joined for i in self.by_keyword[k]}
+        starts = {
+            start: [m.start() for m in self.starts[start].finditer(joined)]
+            for start in {self.signatures[i].start for i in rules} if start
+        }
+        found = [(i, a, b) for i in rules for a, b in self._matches(i, joined, starts)]
         out = [
             (i, joined.count(b" ", 0, a), joined.count(b" ", 0, b) + 1) for i, a, b in resolve(found)
         ]

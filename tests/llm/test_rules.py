@@ -174,3 +174,51 @@ def test_license_base_places_equal_brute_force(spark):
 def test_contained_detections_are_suppressed():
     assert licenses.resolve([(2, 0, 10), (1, 3, 7), (0, 2, 8), (3, 9, 12)]) == [(2, 0, 10), (0, 2, 8), (3, 9, 12)]
     assert len(licenses.SIGNATURES) > 200
+
+
+UNGATED = {
+    "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 3.0": "cc-by-nc-sa-3.0",
+    "a Creative Commons Zero waiver": "cc0-1.0",
+    "governed by the MIT": "mit",
+    "This file is covered by the terms of the Mozilla Public License, v 2.0": "mpl-2.0",
+    "see the MIT terms": "mit",
+    "zlib terms, PostgreSQL terms": "postgresql,zlib",
+}
+
+
+def every_place(text):
+    """Detections of every signature in every text, without keywords and starts."""
+    words = ALNUM.findall(text.translate(LOW))
+    joined = " ".join(words).encode()
+    found = [(i, *m.span()) for i, s in enumerate(licenses.SIGNATURES) for m in re.finditer(s.pattern.encode(), joined)]
+    return [(i, joined.count(b" ", 0, a), joined.count(b" ", 0, b) + 1) for i, a, b in licenses.resolve(found)]
+
+
+def test_license_keywords_drop_nothing(spark):
+    df = spark.createDataFrame(list(enumerate(UNGATED)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.op6_license_scan(df).collect()}
+    assert [got[k] for k in range(len(UNGATED))] == list(UNGATED.values())
+    # each family as its patterns write it, every alternative of the outermost group once
+    names = {n for f in licenses.FAMILIES for p in f[1:] for n in written(p)}
+    calls = ["{}", "{} terms", "{} license", "{} licence x", "released by the {}", "provided to you as is under {}",
+             "covered covered by the terms of the {} licenses", "governed by released under {}", "license is {}",
+             "SPDX-License-Identifier: {}", "distributed by {} and published under the {} by"]
+    scanner = licenses.Scanner(licenses.SIGNATURES, licenses.BASE)
+    texts = [*UNGATED, *NOTICES, *(t or "" for t in fixtures.texts().values()), *(c.replace("{}", n) for c in calls for n in names)]
+    for text in texts:
+        assert scanner.scan(text.encode())[2] == every_place(text), text
+
+
+def written(pattern):
+    """Texts a pattern accepts: each choice of each group."""
+    pattern = pattern.replace("[cs]", "c")
+    group = re.search(r"\(\?:([^()]*(?:\([^()]*\)[^()]*)*)\)(\?)?", pattern)
+    if not group:
+        return {re.sub(r" \?", " ", pattern), re.sub(r" \?", "", pattern)}
+    depth, parts = 0, [""]
+    for c in group[1]:
+        depth += (c == "(") - (c == ")")
+        parts = [*parts, ""] if c == "|" and not depth else [*parts[:-1], parts[-1] + c]
+    choices = {*parts, ""} if group[2] == "?" else set(parts)
+    return {w for x in choices for w in written(pattern[: group.start()] + x + pattern[group.end() :])}
