@@ -56,15 +56,17 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the document with the smallest id of each group that shingles link. Documents without
-    words are linked with nothing and stay; of repeated rows of an id one stays; rows without an id stay."""
-    marked = common.keep(jaccard_join.linked(docs, WORDS, SIMILAR, OF), "groups").where("doc_id is not null")
-    go = marked.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("go"), F.count(F.lit(1)).alias("rows"))
-    out = docs.join(go.where("go").select("doc_id"), "doc_id", "left_anti")
-    if go.where("rows > 1 and not go").limit(1).count():  # an id twice: one row of it is the document
-        named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.where("doc_id is null"))
+    """Leaves one row of each group that shingles link: the smallest id, null last, then the smallest text key.
+    Rows without words are linked with nothing and stay; of rows equal in id and text one stays."""
+    marked = common.keep(jaccard_join.linked(docs, WORDS, SIMILAR, OF), "groups")
+    row = F.struct("doc_id", "key").alias("row")  # nulls within are equal
+    first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row")
+    wordless = marked.where("n_shingles = 0").select(row).distinct()
+    stay = marked.where("n_shingles > 0").groupBy("node").agg(first).select("row").union(wordless)
+    named = docs.withColumn("__row", F.struct("doc_id", common.digest().alias("key")))
+    out = named.join(stay.withColumnRenamed("row", "__row"), "__row", "left_semi")
+    if marked.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["__row"])
     return out.select(*docs.columns)
 
 

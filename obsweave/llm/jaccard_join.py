@@ -321,11 +321,11 @@ def _leader_pairs(rows: DataFrame, first: Column, numerator: int, denominator: i
 
 
 def linked(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row, where sets of shingles of ``size`` words
+    """doc_id, n_shingles, component_id, key of the text, node of the component for every row, where sets of shingles of ``size`` words
     link from a similarity of ``numerator / denominator`` on.
 
     Null and empty texts have the empty set and link with nothing; so each is its own
-    component. Rows with equal sets are one component. A null id is never the smallest.
+    component (and has no node). Rows with equal sets are one component. A null id is never the smallest.
     """
     books = keep(described(docs, frequent(docs, size), size, numerator, denominator), "sets")
     reps = (
@@ -368,12 +368,13 @@ def linked(docs: DataFrame, size: int, numerator: int, denominator: int) -> Data
     named = reps.select("sig", "first_id", "node").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_sig = named.join(smallest, "label").select("sig", "component_id")
+    by_sig = named.join(smallest, "label").select("sig", "component_id", F.col("label").alias("node"))
     return books.join(by_sig, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "key", "node",
     )
 
 
 def op10_jaccard_join(docs: DataFrame) -> DataFrame:
-    return linked(docs, SHINGLE, NUMERATOR, DENOMINATOR)
+    return linked(docs, SHINGLE, NUMERATOR, DENOMINATOR).drop("key", "node")

@@ -273,3 +273,17 @@ def test_prefixes_and_overlaps_follow_the_threshold():
         expected = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(query, s)) >= 80 * len(np.union1d(query, s))]
         assert jaccard_join.divide_skip(query, sets, 80, 100) == expected
     assert jaccard_join.prefix_length(100, 80, 100) == 20 + jaccard_join.COMMON
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline as p
+
+    texts = {c: [f"{c}{k}" for k in range(150)] for c in "abcd"}
+    near = {c: " ".join([*w[:70], "edit", *w[71:]]) for c, w in texts.items()}
+    texts = {c: " ".join(w) for c, w in texts.items()}
+    rows = [(1, texts["a"]), (2, near["a"]), (2, texts["b"]), (None, texts["c"]), (None, texts["c"]), (None, near["c"]),
+            (3, texts["d"]), (3, texts["d"]), (None, near["d"]), (4, ""), (4, None), (5, ""), (6, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], (r["text"] or "").strip()) for r in p.near_duplicates(spark, docs, "").collect())
+    one = min(texts["c"], near["c"], key=lambda t: hashlib.sha256(t.encode()).digest()[:16])
+    assert got == Counter([(1, texts["a"]), (2, texts["b"]), (None, one), (3, texts["d"]), (4, ""), (5, ""), (6, "")])
