@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from obsweave.llm import (
-    class_lm, decontaminate, jaccard_join, kneser_ney, licenses, packing, quality_rules, suffix_dedup, toxicity,
-    url_filters,
+    class_lm, decontaminate, filter_audit, jaccard_join, kneser_ney, licenses, mixing, packing, periodic, quality_rules,
+    suffix_dedup, toxicity, url_filters,
 )
 from obsweave.llm.common import read
 
@@ -49,13 +49,27 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.op10_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.op11_filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark, sf_dir):
+    return mixing.op12_source_mix(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.op13_periodic_runs(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_url_filters, op3_best_fit_packing, op4_class_lm, op5_decontamination, op6_license_scan,
         op7_quality_rules, op8_quality_classifier, op9_suffix_array_dedup, op10_jaccard_join,
+        op11_filter_audit, op12_source_mix, op13_periodic_runs,
     )
 }
 ORACLE = {
     "op2_url_filters": url_filters.SQL, "op5_decontamination": decontaminate.SQL, "op7_quality_rules": quality_rules.SQL,
+    "op11_filter_audit": filter_audit.SQL, "op12_source_mix": mixing.SQL,
 }
