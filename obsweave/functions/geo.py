@@ -1,4 +1,4 @@
-"""Column expressions for distances, bucket keys and point-in-polygon tests."""
+"""Column expressions for distances and bucket keys."""
 
 from __future__ import annotations
 
@@ -133,50 +133,5 @@ def bucket_cover(lon, lat, degrees: float) -> Column:
     )
 
 
-# ---------------------------------------------------------------- polygons
-
-
-def inside(lon, lat, ring: Column) -> Column:
-    """Ray casting against ``ring``, an array of struct(lon, lat); no UDF.
-
-    An edge counts when exactly one of its ends lies above the point and the
-    crossing lies to the east, so a point on a shared edge has one owner.
-    """
-    x, y = _col(lon), _col(lat)
-    n = F.size(ring)
-
-    def crosses(i: Column) -> Column:
-        a = F.element_at(ring, i + 1)
-        b = F.element_at(ring, F.when(i + 1 == n, F.lit(1)).otherwise(i + 2))
-        ax, ay, bx, by = a["lon"], a["lat"], b["lon"], b["lat"]
-        return ((ay > y) != (by > y)) & (
-            x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax
-        )
-
-    return F.coalesce(
-        F.pmod(
-            F.aggregate(
-                F.sequence(F.lit(0), n - 1),
-                F.lit(0),
-                lambda acc, i: acc
-                + F.when(F.coalesce(crosses(i), F.lit(False)), 1).otherwise(0),
-            ),
-            F.lit(2),
-        )
-        == 1,
-        F.lit(False),
-    )
-
-
-def ring_literal(points) -> Column:
-    """A polygon given as Python (lon, lat) pairs, as a literal ring column."""
-    return F.array(
-        *[
-            F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat"))
-            for x, y in points
-        ]
-    )
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

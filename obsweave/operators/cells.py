@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.columns import Columns
-from obsweave.functions.geo import hex_centre, hex_key, inside, ring_literal, square_key
+from obsweave.functions.geo import hex_centre, hex_key, square_key
 from obsweave.functions.labels import completeness
+from obsweave.operators.polygons import keep_inside
 from obsweave.operators.tracking import one_row
 from obsweave.plans.running import exact_quantiles
 from obsweave.plans.session import cut
@@ -26,7 +27,7 @@ def bounding_box(df: DataFrame, cols: Columns = Columns()) -> Box:
 
 
 def hex_cells(spark: SparkSession, box: Box, size: float = 0.1, ring=None) -> DataFrame:
-    """All hexagons of the box plus one cell around it; ``ring`` clips by cell centre."""
+    """All hexagons of the box plus one cell around it; ``ring`` (corner points or a ring table) clips by cell centre."""
     x0, y0, x1, y1 = box[0] - size, box[1] - size, box[2] + size, box[3] + size
     gap = size * 3**0.5 / 2
     rows = spark.range(int(-(-y0 // gap)), int(y1 // gap) + 1).withColumnRenamed("id", "cell_r")
@@ -37,7 +38,7 @@ def hex_cells(spark: SparkSession, box: Box, size: float = 0.1, ring=None) -> Da
     out = rows.select(F.explode(q).alias("cell_q"), "cell_r")
     lon, lat = hex_centre("cell_q", "cell_r", size)
     out = out.withColumns({"lon_c": lon, "lat_c": lat})
-    return out.where(inside("lon_c", "lat_c", ring_literal(ring))) if ring else out
+    return out if ring is None else keep_inside(out, ring, "lon_c", "lat_c")
 
 
 def with_cell(df: DataFrame, cols: Columns = Columns(), kind: str = "hex", size: float = 0.1) -> DataFrame:

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.functions.geo import inside, ring_literal
 from obsweave.functions.pvalues import add_p_values, kolmogorov_p
+from obsweave.operators.polygons import add_inside, as_rings, edges, slab_index
 from obsweave.plans.running import exact_quantiles, running_sums
 from obsweave.plans.session import cut
 from obsweave.sources.reference import RasterGrid
@@ -54,23 +54,28 @@ def sampled_environment(
 
 
 def background_points(spark: SparkSession, ring, n: int = 10_000, seed: int = 123) -> DataFrame:
-    """n points spread evenly over a polygon: a low-discrepancy sequence kept inside it.
+    """n points spread evenly over a polygon (corner points or a ring table): a low-discrepancy sequence kept inside it.
 
     The same points come out under any partitioning and in any engine.
     """
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    w, h = max(xs) - min(xs), max(ys) - min(ys)
-    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+    rings = as_rings(spark, ring)
+    corner = F.explode("ring").alias("p")
+    x0, y0, x1, y1 = rings.select(corner).agg(F.min("p.lon"), F.min("p.lat"), F.max("p.lon"), F.max("p.lat")).first()
+    w, h = x1 - x0, y1 - y0
+    twice = edges(rings).agg(F.sum((F.col("bx") + F.col("ax")) * (F.col("by") - F.col("ay")))).first()[0]
+    area = abs(twice or 0.0) / 2  # only the first guess of the tries depends on it
     tries = math.ceil(n * w * h / area * 1.05) + 200 if area else n
+    index = slab_index(rings)
     # Steps of the plane-filling additive sequence.
     a1, a2 = 0.7548776662466927, 0.5698402909980532
     i = F.col("id") + seed
     while True:
         pts = spark.range(1, tries + 1).select(
             "id",
-            (F.lit(min(xs)) + F.pmod(0.5 + i * a1, F.lit(1.0)) * w).alias("lon"),
-            (F.lit(min(ys)) + F.pmod(0.5 + i * a2, F.lit(1.0)) * h).alias("lat"),
-        ).where(inside("lon", "lat", ring_literal(ring)))
+            (F.lit(x0) + F.pmod(0.5 + i * a1, F.lit(1.0)) * w).alias("lon"),
+            (F.lit(y0) + F.pmod(0.5 + i * a2, F.lit(1.0)) * h).alias("lat"),
+        )
+        pts = add_inside(pts, index, "_in").where("_in").drop("_in")
         if pts.limit(n).count() == n:
             return pts.orderBy("id").limit(n)
         if tries > 1000 * (n + 200):

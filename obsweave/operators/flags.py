@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.columns import COORD_FLAGS, FLAGS, UNSUITABLE_BASIS, Columns
-from obsweave.functions.geo import bucket_cover, bucket_degrees, bucket_key, haversine_m, inside
+from obsweave.functions.geo import bucket_cover, bucket_degrees, bucket_key, haversine_m
 from obsweave.functions.labels import filled
 from obsweave.operators.outliers import outlier_locations
+from obsweave.operators.polygons import add_inside
 from obsweave.plans.session import cut
-from obsweave.plans.skew import attach, broadcast_if, is_small
+from obsweave.plans.skew import attach, is_small, lookup
 from obsweave.sources.reference import References
 
 
@@ -134,58 +135,27 @@ def add_place_flags(
     df: DataFrame, places: DataFrame | None, cols: Columns, radius_m: dict[str, float],
     flag_names: dict[str, str],
 ) -> DataFrame:
-    """All "within r of a reference point" flags from one lookup."""
+    """All "within r of a reference point" flags from one lookup and one pass over its points."""
     if places is None:
         return df.withColumns({f: F.lit(False) for f in flag_names.values()})
     index, degrees = place_index(places, radius_m)
     band, slot = bucket_key(cols.lon, cols.lat, degrees)
-    keyed = df.withColumns({"_b": band, "_s": slot})
     # nine buckets per place at most
-    index = broadcast_if(is_small(places), index)
-    out = keyed.join(
-        index, (keyed["_b"] == index["_pb"]) & (keyed["_s"] == index["_ps"]), "left"
-    )
-
-    def near(kind: str) -> Column:
-        x, y = F.col(cols.lon), F.col(cols.lat)
-        hit = F.exists(
-            "_places",
-            lambda p: (p["kind"] == kind)
-            & (haversine_m(x, y, p["lon"], p["lat"]) <= p["reach"]),
-        )
-        return F.coalesce(hit, F.lit(False))
-
-    flags = {flag: near(kind) for kind, flag in flag_names.items()}
-    return out.withColumns(flags).drop("_b", "_s", "_pb", "_ps", "_places")
+    out = lookup(df.withColumns({"_pb": band, "_ps": slot}), index, ["_pb", "_ps"], ["_places"], is_small(places))
+    x, y = F.col(cols.lon), F.col(cols.lat)
+    near = F.filter("_places", lambda p: haversine_m(x, y, p["lon"], p["lat"]) <= p["reach"])
+    out = out.withColumn("_near", F.transform(near, lambda p: p["kind"]))
+    flags = {flag: F.coalesce(F.array_contains("_near", kind), F.lit(False)) for kind, flag in flag_names.items()}
+    return out.withColumns(flags).drop("_pb", "_ps", "_places", "_near")
 
 
 def add_inside_flag(
-    df: DataFrame, rings: DataFrame | None, flag: str, cols: Columns = Columns(),
-    degrees: float = 0.5,
+    df: DataFrame, rings: DataFrame | None, flag: str, cols: Columns = Columns()
 ) -> DataFrame:
-    """TRUE inside any polygon; polygons are looked up by the cells their box covers."""
+    """TRUE inside any polygon; rings of one name are the parts and holes of one polygon."""
     if rings is None:
         return df.withColumn(flag, F.lit(False))
-
-    def cells(axis: str) -> Column:
-        v = F.transform("ring", lambda p: F.floor(p[axis] / degrees))
-        return F.sequence(F.array_min(v), F.array_max(v))
-
-    index = (
-        rings.withColumn("_cx", F.explode(cells("lon")))
-        .withColumn("_cy", F.explode(cells("lat")))
-        .groupBy("_cx", "_cy")
-        .agg(F.collect_list("ring").alias("_rings"))
-    )
-    index = broadcast_if(is_small(rings.select(F.explode("ring"))), index)
-    keyed = df.withColumns(
-        {"_x": F.floor(F.col(cols.lon) / degrees), "_y": F.floor(F.col(cols.lat) / degrees)}
-    )
-    out = keyed.join(index, (keyed["_x"] == index["_cx"]) & (keyed["_y"] == index["_cy"]), "left")
-    hit = F.exists("_rings", lambda r: inside(F.col(cols.lon), F.col(cols.lat), r))
-    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(
-        "_x", "_y", "_cx", "_cy", "_rings"
-    )
+    return add_inside(df, rings, flag, cols.lon, cols.lat)
 
 
 # ----------------------------------------------------------- key-level flags

@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsweave.plans.session import cut
+
 #: A key is hot when it holds more than this share of the rows, so at most
 #: 1 / HOT_SHARE keys can be hot whatever the data look like.
 HOT_SHARE = 1e-3
@@ -78,6 +80,24 @@ def attach(
     )
 
 
+def lookup(rows: DataFrame, dim: DataFrame, keys: list[str], values: list[str], small: bool) -> DataFrame:
+    """Left join of ``dim`` (one row per key) to ``rows``, adding ``values``.
+
+    A side whose size was checked is broadcast. Otherwise the rows are counted per
+    key first, so every key with a large share of them is split, NULL and keys
+    that ``dim`` does not hold included.
+    """
+    if small or rows.isStreaming:
+        named = dim.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *values)
+        match = functools.reduce(operator.and_, (rows[c] == named[f"_k_{c}"] for c in keys))
+        return rows.join(broadcast_if(small, named), match, "left").drop(*[f"_k_{c}" for c in keys])
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts")
+    named = dim.select(*[F.col(c).alias(f"_d_{c}") for c in keys], *values)
+    match = functools.reduce(operator.and_, (counts[c] == named[f"_d_{c}"] for c in keys))
+    known = counts.join(named, match, "left").drop(*[f"_d_{c}" for c in keys])
+    return attach(rows, known, keys, values, weight="_rows", total=counts.agg(F.sum("_rows")).scalar())
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row of each key in ``order``.
 

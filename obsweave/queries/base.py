@@ -77,8 +77,17 @@ PLACES = (
     ("centroid", "centroid", 37.9, 0.5),
     HEADQUARTERS,
 )
-URBAN = [(36.7, -1.4), (36.95, -1.4), (36.95, -1.2), (36.7, -1.2)]
+#: Two towns; the first one has a park in it and a suburb apart from it.
+URBAN = {
+    "urban": [[(36.7, -1.4), (36.95, -1.4), (36.95, -1.2), (36.7, -1.2)],
+              [(36.88, -1.38), (36.94, -1.38), (36.94, -1.22), (36.91, -1.3)],
+              [(37.1, -1.4), (37.6, -1.1), (37.2, -0.9)]],
+    "port": [[(39.5, -4.2), (39.9, -4.1), (39.8, -3.8), (39.55, -3.9)]],
+}
 BOUNDARY = [(34.0, -5.0), (42.0, -5.0), (42.0, 5.0), (39.0, 5.0), (38.0, 2.0), (37.0, 5.0), (34.0, 5.0)]
+#: The same land with a lake, an island in the lake, and an island in the bay.
+LAND = [BOUNDARY, [(35.0, -2.0), (36.5, -2.4), (36.2, -0.3), (35.1, -0.5)],
+        [(35.5, -1.6), (36.0, -1.5), (35.8, -1.0)], [(37.6, 4.0), (38.3, 3.7), (38.4, 4.8), (37.7, 4.6)]]
 RANKS = {"kingdom": "kingdom", "phylum": "phylum", "class": "class", "order": "tax_order",
          "family": "family", "genus": "genus", "species": "species"}
 
@@ -97,7 +106,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def references(spark: SparkSession) -> References:
     return References(
         places=load_reference(spark, "places", PLACES),
-        urban=ring_table(spark, {"urban": URBAN}),
+        urban=ring_table(spark, URBAN),
     )
 
 
@@ -142,15 +151,17 @@ def haversine_sql(x1, y1, x2, y2) -> str:
     )
 
 
-def inside_sql(ring, x="lon", y="lat") -> str:
+def inside_sql(rings, x="lon", y="lat") -> str:
+    """Parity over every edge of a polygon, given as one ring or as a list of rings."""
     parts = []
-    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if ay == by:
-            continue
-        parts.append(
-            f"(CASE WHEN (({ay} > {y}) <> ({by} > {y})) AND {x} < ({bx} - {ax}) * ({y} - {ay})"
-            f" / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END)"
-        )
+    for ring in rings if isinstance(rings[0][0], (list, tuple)) else [rings]:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if ay == by:
+                continue
+            parts.append(
+                f"(CASE WHEN (({ay} > {y}) <> ({by} > {y})) AND {x} < (CAST({bx} AS DOUBLE) - CAST({ax} AS DOUBLE)) * ({y} - {ay})"
+                f" / (CAST({by} AS DOUBLE) - CAST({ay} AS DOUBLE)) + {ax} THEN 1 ELSE 0 END)"
+            )
     dbl = " + ".join(parts)
     return f"coalesce(({dbl}) % 2 = 1, false)"
 
@@ -202,7 +213,7 @@ f0 AS (
     coalesce(abs(t.lon) = abs(t.lat), false) AS flag_coord_equal,
     coalesce({_near('hq', 1000).replace('lon', 't.lon').replace('lat', 't.lat')}, false) AS flag_coord_hq,
     coalesce(t.lon = 0 OR t.lat = 0 OR sqrt(t.lon * t.lon + t.lat * t.lat) <= 0.5, false) AS flag_coord_zeros,
-    {inside_sql(URBAN, 't.lon', 't.lat')} AS flag_coord_urban,
+    ({" OR ".join(inside_sql(town, 't.lon', 't.lat') for town in URBAN.values())}) AS flag_coord_urban,
     far.species IS NOT NULL AS flag_coord_outliers
   FROM dated t LEFT JOIN far ON t.species = far.species AND t.lon = far.lon AND t.lat = far.lat
 ),

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from obsweave.operators import cells as C
 from obsweave.operators import environment as E
 from obsweave.operators import nearby as N
+from obsweave.operators.polygons import add_inside, with_polygons
 from obsweave.operators.temporal import with_period
 from obsweave.plans.skew import distinct_counts
 from obsweave.queries.base import (
-    BOUNDARY, CLEAN, COLS, DATED, OCC, clean, haversine_sql, inside_sql, occurrences, r, with_sql,
+    BOUNDARY, CLEAN, COLS, DATED, LAND, OCC, URBAN, clean, haversine_sql, inside_sql, occurrences, r, with_sql,
 )
 from obsweave.queries.temporal import nd, rnd, with_period_sql
-from obsweave.sources.reference import RasterGrid
+from obsweave.sources.reference import RasterGrid, ring_table
 
 QUERIES, ORACLE = {}, {}
 GRID = RasterGrid(34.0, 5.0, 0.1)
@@ -128,9 +129,18 @@ query(
 )
 query(
     "inside_boundary",
-    lambda s, d: clean(s, d).groupBy(C.inside("lon", "lat", C.ring_literal(BOUNDARY)).alias("inside"))
+    lambda s, d: add_inside(clean(s, d), ring_table(s, {"land": LAND}), "inside").groupBy("inside")
     .agg(F.count("*").alias("n")),
-    with_sql(CLEAN, f"SELECT {inside_sql(BOUNDARY)} AS inside, count(*) AS n FROM cl GROUP BY 1"),
+    with_sql(CLEAN, f"SELECT {inside_sql(LAND)} AS inside, count(*) AS n FROM cl GROUP BY 1"),
+)
+query(
+    "records_by_polygon",
+    lambda s, d: with_polygons(clean(s, d), ring_table(s, URBAN | {"land": LAND}), "polygon")
+    .select(F.explode_outer("polygon").alias("polygon")).groupBy("polygon").agg(F.count("*").alias("n")),
+    with_sql(CLEAN, " UNION ALL ".join(
+        f"SELECT '{k}' AS polygon, count(*) AS n FROM cl WHERE {inside_sql(v)} HAVING count(*) > 0" for k, v in (URBAN | {"land": LAND}).items()
+    ) + " UNION ALL SELECT NULL, count(*) FROM cl WHERE NOT (" + " OR ".join(inside_sql(v) for v in (URBAN | {"land": LAND}).values())
+        + ") HAVING count(*) > 0"),
 )
 query("convex_hull", lambda s, d: rnd(C.convex_hull(occurrences(s, d))))
 

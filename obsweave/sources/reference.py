@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACE_SCHEMA = "kind string, name string, lon double, lat double"
@@ -56,11 +56,46 @@ def cities(spark: SparkSession) -> DataFrame:
     return load_reference(spark, "cities", CITIES)
 
 
-def ring_table(spark: SparkSession, rings: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    rows = [(k, [(float(x), float(y)) for x, y in v]) for k, v in rings.items()]
+def ring_table(spark: SparkSession, rings: dict[str, list]) -> DataFrame:
+    """Polygons by name: one ring of corner points each, or a list of rings (parts and holes)."""
+    rows = [
+        (k, [(float(x), float(y)) for x, y in ring])
+        for k, v in rings.items()
+        for ring in (v if isinstance(v[0][0], (list, tuple)) else [v])
+    ]
     return spark.createDataFrame(rows, RING_SCHEMA)
 
 
+def _points(corners: Column) -> Column:
+    return F.transform(corners, lambda c: F.struct(c[0].alias("lon"), c[1].alias("lat")))
+
+
+def rings_from_wkt(df: DataFrame, name: str = "name", wkt: str = "wkt") -> DataFrame:
+    """(name, ring) rows of POLYGON and MULTIPOLYGON texts: a row per part and per hole.
+
+    Further coordinates of a corner are left out; EMPTY and NULL give no rows.
+    """
+    ring = F.explode(F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("corners")
+    numbers = F.transform(
+        F.split("corners", ","),
+        lambda c: F.transform(F.split(F.btrim(c), r"\s+"), lambda v: v.cast("double")),
+    )
+    return df.select(F.col(name).alias("name"), ring).select("name", _points(numbers).alias("ring"))
+
+
+def rings_from_geojson(df: DataFrame, name: str = "name", geojson: str = "geojson") -> DataFrame:
+    """(name, ring) rows of Polygon and MultiPolygon geometries, or of features that hold one."""
+    bare = F.coalesce(F.get_json_object(geojson, "$.geometry"), F.col(geojson))
+    shape = df.select(F.col(name).alias("name"), bare.alias("g")).select(
+        "name", F.get_json_object("g", "$.type").alias("kind"), F.get_json_object("g", "$.coordinates").alias("c")
+    )
+    corners = "array<array<double>>"
+    one = F.from_json("c", f"array<{corners}>")
+    many = F.flatten(F.from_json("c", f"array<array<{corners}>>"))
+    rings = F.when(F.col("kind") == "Polygon", one).when(F.col("kind") == "MultiPolygon", many)
+    return shape.select("name", F.explode(rings).alias("corners")).select("name", _points(F.col("corners")).alias("ring"))
+
+
 def raster_extent(raster: DataFrame) -> DataFrame:
     """Rows, columns and no-data pixels per band."""
     return raster.groupBy("band").agg(

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from obsweave.columns import EARTH_RADIUS_M, Columns
 from obsweave.functions import pvalues, special
-from obsweave.functions.geo import hex_centre, hex_key, inside, ring_literal
+from obsweave.functions.geo import hex_centre, hex_key
 from obsweave.models import design, glm
-from obsweave.operators import accumulation, cells, environment, nearby, taxonomic, temporal
+from obsweave.operators import accumulation, cells, environment, nearby, polygons, taxonomic, temporal
 from obsweave.operators.outliers import outlier_locations
 from obsweave.plans import running
 from obsweave.plans.running import exact_quantiles, running_sums
@@ -156,7 +156,7 @@ def test_hexagon_is_nearest_centre(spark):
 def test_inside_concave_polygon(spark):
     ring = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
     df = spark.createDataFrame([(2.0, 0.5), (2.0, 2.0), (0.5, 2.0), (5.0, 1.0), (None, 1.0)], "lon double, lat double")
-    got = [r[0] for r in df.select(inside("lon", "lat", ring_literal(ring))).collect()]
+    got = [r[0] for r in polygons.add_inside(df, polygons.as_rings(spark, ring), "hit").select("hit").collect()]
     assert got == [True, False, True, False, False]
 
 
