@@ -103,12 +103,14 @@ def exact_quantiles(
     probs: dict[str, float],
     by: list[str] | None = None,
     weight: str | None = None,
+    ends: bool = False,
 ) -> DataFrame:
     """Type-7 quantiles (linear between neighbours) of the non-null values.
 
     Works on the histogram of distinct values and finds the two ranks around each
     quantile by running totals, so memory does not grow with distinct values.
-    Returns ``by`` plus one column per alias.
+    Returns ``by`` plus one column per alias; with ``ends`` also the two values
+    each quantile lies between, as ``<alias>_below`` and ``<alias>_above``.
     """
     by = list(by or [])
     hist = (
@@ -143,4 +145,6 @@ def exact_quantiles(
             ).alias(a)
             for a in probs
         ],
+        *[F.col(f"_lo_{a}").alias(f"{a}_below") for a in probs if ends],
+        *[F.col(f"_hi_{a}").alias(f"{a}_above") for a in probs if ends],
     )
