@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from obsweave.functions.pvalues import add_p_values, kolmogorov_p
+from obsweave.functions.pvalues import add_p_values, kolmogorov_exact_p, kolmogorov_p
 from obsweave.operators.polygons import add_inside, as_rings, edges, slab_index
 from obsweave.plans.running import exact_quantiles, running_sums
 from obsweave.plans.session import cut
@@ -95,11 +97,21 @@ def to_long(df: DataFrame, ids: list[str], variables: list[str]) -> DataFrame:
     return df.unpivot(ids, variables, "variable", "value").where(F.col("value").isNotNull())
 
 
+@F.pandas_udf(T.DoubleType())
+def _exact_ks(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Exact p of one variable per row."""
+    rows = zip(d, a, b, strict=True)
+    return pd.Series([kolmogorov_exact_p(x, [int(i) for i in y], [int(i) for i in z]) for x, y, z in rows], dtype="float64")
+
+
 def ks_two_sample(
     long: DataFrame, value: str = "value", side: str = "type", by: str = "variable",
-    first: str = "Sampled", weight: str | None = None, alpha: float = 0.05,
+    first: str = "Sampled", weight: str | None = None, alpha: float = 0.05, exact_pairs: int = 0,
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p per variable.
+    """Two-sample Kolmogorov-Smirnov statistic and p per variable.
+
+    The p-value is the asymptotic one; variables of at most ``exact_pairs`` pairs (n1 * n2, at most
+    10,000) get the exact one, ties included.
 
     Counts per distinct value come first; the two distribution functions are
     running totals over values, cut into slices so that no task holds a variable.
@@ -114,6 +126,12 @@ def ks_two_sample(
     gap = F.abs(F.try_divide("_ca", "_ca_all") - F.try_divide("_cb", "_cb_all"))
     out = run.groupBy(by).agg(F.max("_ca_all").alias("n1"), F.max("_cb_all").alias("n2"), F.max(gap).alias("d"))
     out = add_p_values(out, "p_value", kolmogorov_p, ["d", "n1", "n2"])
+    if exact_pairs:
+        few = run.where(F.col("_ca_all") * F.col("_cb_all") <= min(exact_pairs, 10_000))
+        # at most 10,001 values per variable
+        ties = few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_v", "_a", "_b"))).alias("s"))
+        exact = out.join(ties, by).select(by, _exact_ks("d", "s._a", "s._b").alias("exact"))
+        out = out.join(exact, by, "left").withColumn("p_value", F.coalesce("exact", "p_value")).drop("exact")
     return out.withColumn("significant", F.col("p_value") < alpha)
 
 

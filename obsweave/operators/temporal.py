@@ -9,8 +9,10 @@ from obsweave.columns import Columns
 from obsweave.functions.labels import (
     decade, month_name, period_label, period_start, season,
 )
-from obsweave.functions.pvalues import add_p_values, chi2_p, normal_two_sided
+from obsweave.functions.pvalues import add_p_values, chi2_p, kendall_p, normal_two_sided
+from obsweave.operators.trend import BLOCK, kendall
 from obsweave.plans.running import exact_quantiles
+from obsweave.plans.session import cut
 from obsweave.plans.skew import distinct_counts
 
 
@@ -50,57 +52,34 @@ def yearly_stats(years: DataFrame, cols: Columns = Columns()) -> DataFrame:
 
 
 def mann_kendall(
-    series: DataFrame, value: str, order: str, by: list[str] | None = None, alpha: float = 0.05
+    series: DataFrame, value: str, order: str, by: list[str] | None = None, alpha: float = 0.05,
+    exact_up_to: int = 10, block: int = BLOCK,
 ) -> DataFrame:
-    """Trend of a series with one value per calendar step, per group.
+    """Trend of a series with one value per step, per group; a group may hold any number of steps.
 
-    A series holds one entry per year (at most 9999), so it is compared inside
-    one array and pairs never become rows.  Ties are corrected; the p-value is the
-    two-sided normal one with continuity correction.
+    Missing values are left out. Ties are corrected; the p-value is the two-sided
+    normal one with continuity correction, or comes from the exact distribution of
+    the score for series of 3 to ``exact_up_to`` entries (50 at most) without ties. Eager:
+    the narrow series is written once.
     """
     by = list(by or [])
-    v, o = F.col(value).cast("double"), F.col(order)
-    s = (
-        series.where(v.isNotNull() & o.isNotNull())
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct(o.alias("o"), v.alias("v")))).alias("s"))
-        .select(*by, F.col("s.v").alias("x"))
-    )
-    zero = F.lit(0).cast("long")
-    score = F.aggregate(
-        F.sequence(F.lit(1), F.size("x")),
-        zero,
-        lambda acc, j: acc
-        + F.aggregate(
-            F.slice("x", F.lit(1), j - 1),
-            zero,
-            lambda a, xi: a + F.signum(F.element_at("x", j) - xi).cast("long"),
-        ),
-    )
-    ties = F.transform(
-        F.array_distinct("x"), lambda u: F.size(F.filter("x", lambda w: w == u)).cast("double")
-    )
-
-    def tie_sum(f):
-        return F.aggregate("ties", F.lit(0.0), lambda a, t: a + f(t))
-
-    s = s.withColumns({"n": F.size("x").cast("long"), "s_stat": score, "ties": ties})
+    v = F.col(value).cast("double")
+    rows = series.where(v.isNotNull() & ~F.isnan(v) & F.col(order).isNotNull())
+    rows = cut(rows.select(*by, F.col(order).alias("o"), v.alias("v")), "trend")
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
-    out = s.withColumn(
-        "var_s",
-        (n * (n - 1) * (2 * n + 5) - tie_sum(lambda t: t * (t - 1) * (2 * t + 5))) / 18,
-    ).withColumn(
-        "tau",
-        F.try_divide(
-            F.col("s_stat"),
-            F.sqrt(pairs - tie_sum(lambda t: t * (t - 1) / 2)) * F.sqrt(pairs),
-        ),
-    )
+    out = kendall(rows, by, block).withColumns({
+        "tau": F.try_divide(F.col("s_stat"), F.sqrt(pairs - F.col("t2")) * F.sqrt(pairs)),
+        "var_s": (n * (n - 1) * (2 * n + 5) - F.col("t5")) / 18,
+    })
     z = F.try_divide(F.col("s_stat") - F.signum(F.col("s_stat").cast("double")), F.sqrt("var_s"))
     out = out.withColumn("z", F.when(F.col("n") >= 3, z))
-    out = add_p_values(out.drop("x", "ties"), "p_value", normal_two_sided, ["z"])
-    return out.withColumn(
+    short = (F.col("t2") == 0) & F.col("n").between(3, min(exact_up_to, 50))
+    # only rows with a score and a count of their own get the exact value
+    out = out.withColumns({"_s": F.when(short, F.col("s_stat")), "_n": F.when(short, F.col("n"))})
+    out = add_p_values(add_p_values(out, "p_value", normal_two_sided, ["z"]), "_p", kendall_p, ["_s", "_n"])
+    out = out.withColumn("p_value", F.coalesce("_p", "p_value"))
+    return out.select(*by, "n", "s_stat", "var_s", "tau", "z", "p_value").withColumn(
         "trend",
         F.when(F.col("p_value").isNull(), F.lit(None).cast("string"))
         .when(F.col("p_value") >= alpha, "No trend")

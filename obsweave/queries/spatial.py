@@ -275,7 +275,20 @@ query(
       (SELECT variable, count(*) FILTER (WHERE type = 'Sampled') AS n1, count(*) FILTER (WHERE type <> 'Sampled') AS n2 FROM el GROUP BY 1)
       USING (variable) GROUP BY 1, 2, 3"""),
 )
-query("ks_environment_test", lambda s, d: rnd(E.ks_two_sample(long_environment(s, d), weight="n")))
+_lam = "(d * sqrt(CAST(n1 AS DOUBLE) * n2 / (n1 + n2)))"
+query(
+    "ks_environment_test",
+    lambda s, d: rnd(E.ks_two_sample(long_environment(s, d), weight="n")),
+    with_sql(ENV, f"""SELECT variable, n1, n2, {r('d')} AS d, {r('p')} AS p_value, p < 0.05 AS significant FROM
+      (SELECT *, CASE WHEN {_lam} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+         lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * {_lam} * {_lam}))))) END AS p FROM
+       (SELECT variable, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, max(abs(c1 / n1 - c2 / n2)) AS d FROM
+        (SELECT variable, value, sum(sum(CASE WHEN type = 'Sampled' THEN 1.0 ELSE 0 END)) OVER w AS c1,
+          sum(sum(CASE WHEN type = 'Sampled' THEN 0 ELSE 1.0 END)) OVER w AS c2 FROM el GROUP BY 1, 2
+          WINDOW w AS (PARTITION BY variable ORDER BY value)) JOIN
+        (SELECT variable, count(*) FILTER (WHERE type = 'Sampled') AS n1, count(*) FILTER (WHERE type <> 'Sampled') AS n2 FROM el GROUP BY 1)
+        USING (variable) GROUP BY 1, 2, 3))"""),
+)
 query("kde_environment", lambda s, d: rnd(E.kde(long_environment(s, d), weight="n")))
 query(
     "by_period",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from obsweave.functions.labels import MONTHS, SEASONS
 from obsweave.operators import temporal as T
 from obsweave.operators.flags import with_dates
-from obsweave.queries.base import CLEAN, COLS, DATED, clean, occurrences, r, with_sql
+from obsweave.queries.base import CLEAN, COLS, DATED, clean, integral_sql, normal_sql, occurrences, r, with_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -69,6 +69,9 @@ query(
 query(
     "mann_kendall_test",
     lambda s, d: rnd(T.mann_kendall(T.yearly(clean(s, d)), "n_records", "year")),
+    with_sql(YEARS, f"""SELECT * REPLACE ({r('p_value')} AS p_value, {r('z')} AS z), CASE WHEN p_value >= 0.05 THEN 'No trend' WHEN tau > 0 THEN 'Increasing' ELSE 'Decreasing' END AS trend
+      FROM (SELECT *, greatest(0.0, 1 - 2 * {normal_sql('abs(z)')}) AS p_value FROM
+        (SELECT *, (s_stat - sign(s_stat)) / sqrt(var_s) AS z FROM ({_mk_sql("")})))"""),
 )
 query(
     "mann_kendall_by_class",
@@ -132,7 +135,15 @@ query(
       (SELECT n, sum(n) OVER () * 1.0 / count(*) OVER () AS e FROM
        (SELECT CAST(count(*) AS DOUBLE) AS n FROM cl WHERE month IS NOT NULL GROUP BY month))"""),
 )
-query("chisq_months_test", lambda s, d: rnd(T.chisq_uniform(T.monthly(clean(s, d)))))
+# twelve months: eleven degrees of freedom
+query(
+    "chisq_months_test", lambda s, d: rnd(T.chisq_uniform(T.monthly(clean(s, d))), 4),
+    with_sql(CLEAN, f"""SELECT {r('c', 4)} AS chi_squared, df, {r('p', 4)} AS p_value, p < 0.05 AS significant FROM
+      (SELECT *, greatest(0.0, 1 - {integral_sql('(pow(x, df / 2.0 - 1) * pow(2.718281828459045, -x) / gamma(df / 2.0))', '(c / 2)', 20000)}) AS p FROM
+       (SELECT sum((n - e) * (n - e) / e) AS c, count(*) - 1 AS df FROM
+        (SELECT n, sum(n) OVER () * 1.0 / count(*) OVER () AS e FROM
+         (SELECT CAST(count(*) AS DOUBLE) AS n FROM cl WHERE month IS NOT NULL GROUP BY month))))"""),
+)
 _ty = """ty AS (SELECT species, count(*) AS n_records, min(year) AS year_first, max(year) AS year_last,
   max(year) - min(year) AS temporal_span, count(DISTINCT year) AS n_years,
   count(DISTINCT year) * 1.0 / (max(year) - min(year) + 1) AS temporal_completeness
