@@ -33,6 +33,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
             yield value or b""
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed; workers are reused from stage to stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks until told
+    if trim:
+        trim(0)
+
+
 def digest(text: str = "text") -> Column:
     """16 bytes that stand for a whole text (null: empty)."""
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)

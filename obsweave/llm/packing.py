@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import keep, numbered
+from obsweave.llm.common import give_back, keep, numbered
 
 TOKENS = 2048
 END = 0
 #: Bytes of text that a task encodes at once; a speed and memory setting, any value gives the same ids.
-AT_ONCE = 24_000_000
+AT_ONCE = 6_000_000
 #: Words in one call of the tokenizer.
 JOINED = 2000
 #: Between a visible character and a space before one: no token of a byte-level vocabulary crosses it.
@@ -183,7 +183,9 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS, end: int = END, wit
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        give_back()
         encoder, last = Encoder(path), np.array([end], "<u4").tobytes()
+        give_back()
         for batch in batches:
             for part in by_bytes(batch, 1, AT_ONCE):
                 flat, sizes = encoder.encode(part.column(1))

@@ -287,3 +287,31 @@ def test_near_duplicates_go_by_row(spark):
     got = Counter((r["doc_id"], (r["text"] or "").strip()) for r in p.near_duplicates(spark, docs, "").collect())
     one = min(texts["c"], near["c"], key=lambda t: hashlib.sha256(t.encode()).digest()[:16])
     assert got == Counter([(1, texts["a"]), (2, texts["b"]), (None, one), (3, texts["d"]), (4, ""), (5, ""), (6, "")])
+
+
+def test_two_runs_can_be_read_one_after_the_other(spark, sf_dir):
+    import corpus_pipeline as p
+
+    first, second = p.run(spark, sf_dir), p.run(spark, sf_dir)
+    rows = [sorted(map(tuple, r.collect())) for r in (first, second)]
+    assert rows[0] == rows[1]
+    # every sequence is filled from 0 without gaps, and no further than it may be
+    by = {}
+    for r in first.collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for placed in by.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_near_duplicates_keep_every_column(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "a", "b", "c"), (2, text, "d", "e", "f"), (3, None, "g", "h", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, row string, all string")
+    got = p.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
