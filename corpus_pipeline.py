@@ -11,13 +11,8 @@ from obsweave.llm import common, decontaminate, jaccard_join, packing, suffix_de
 
 #: Near duplicates share 80 of 100 of their shingles of five words; op10 has values of its own.
 WORDS, SIMILAR, OF = 5, 80, 100
-#: Tables that the stage before this one kept. Its result is written by now, so they can go.
-_DONE: list[str] = []
-
-
-def _next_stage(spark: SparkSession) -> None:
-    common.drop_kept(spark, [p for p in _DONE if p in common.KEPT])
-    _DONE[:] = []
+#: Tables kept by the last call of each stage; the next stage reads what that call returned, written by then.
+_LEFT: dict[str, list[str]] = {}
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -35,10 +30,14 @@ def _unwrapped(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
 
 def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _next_stage(spark)
+        names = [stage.__name__ for _, stage in STAGES]
+        here = names.index(make.__name__)
+        if here:  # the result of the stage before was written to become these docs
+            common.drop_kept(spark, _LEFT.pop(names[here - 1], []))
         before = set(common.KEPT)
         out = make(spark, docs, sf_dir)
-        _DONE.extend(p for p in common.KEPT if p not in before)
+        if make.__name__ != names[-1]:  # nobody knows when the last result is read; its tables stay
+            _LEFT.setdefault(make.__name__, []).extend(p for p in common.KEPT if p not in before)
         return out
 
     run_stage.__doc__ = make.__doc__
@@ -63,11 +62,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row")
     wordless = marked.where("n_shingles = 0").select(row).distinct()
     stay = marked.where("n_shingles > 0").groupBy("node").agg(first).select("row").union(wordless)
-    named = docs.withColumn("__row", F.struct("doc_id", common.digest().alias("key")))
-    out = named.join(stay.withColumnRenamed("row", "__row"), "__row", "left_semi")
+    # the columns travel in one struct, so that none of them can clash
+    named = docs.select(F.struct(*docs.columns).alias("all"), F.struct("doc_id", common.digest().alias("key")).alias("row"))
+    out = named.join(stay, "row", "left_semi")
     if marked.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["__row"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["row"])
+    return out.select("all.*")
 
 
 @_stage
@@ -109,7 +109,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the whole documents table; each one's result is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        written = common.KEPT[-1]
+        common.drop_kept(spark, [p for p in (*_LEFT.pop(stage.__name__, []), read) if p])
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)
