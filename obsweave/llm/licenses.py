@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,11 +151,27 @@ BASE_CONFIDENCE = 0.5
 
 
 def resolve(found: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Accepted (rule, start, end): earlier rules first, then longer; what lies inside an accepted one goes."""
+    """Accepted (rule, start, end): earlier rules first, then longer; what lies inside an accepted one goes.
+
+    A binary indexed tree over the distinct starts holds the furthest end accepted
+    so far from any start up to a place, so n detections take n log n steps.
+    """
+    starts = sorted({start for _, start, _ in found})
+    place = {start: k for k, start in enumerate(starts, 1)}
+    furthest = [-1] * (len(starts) + 1)
     kept: list[tuple[int, int, int]] = []
     for rule, start, end in sorted(found, key=lambda d: (d[0], -(d[2] - d[1]), d[1])):
-        if not any(a <= start and end <= b for _, a, b in kept):
-            kept.append((rule, start, end))
+        k, reached = place[start], -1
+        while k:
+            reached = max(reached, furthest[k])
+            k &= k - 1
+        if reached >= end:
+            continue
+        kept.append((rule, start, end))
+        k = place[start]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], end)
+            k += k & -k
     return sorted(kept, key=lambda d: (d[1], d[2], d[0]))
 
 
@@ -193,22 +210,25 @@ class Scanner:
             return len(words), [], []
         joined = b" ".join(words)
         padded = b" " + joined + b" "
-        places = []
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)  # the word at a byte is the gaps before it
+        hits, labels = [], []
         for phrase, label in self.base:
             at = padded.find(phrase)
             while at >= 0:
-                places.append((padded.count(b" ", 0, at), label))
+                hits.append(at)
+                labels.append(label)
                 at = padded.find(phrase, at + 1)
+        places = zip(np.searchsorted(gaps, hits).tolist(), labels)
         rules = {i for k in maybe if k in joined for i in self.by_keyword[k]}
         starts = {
             start: [m.start() for m in self.starts[start].finditer(joined)]
             for start in {self.signatures[i].start for i in rules} if start
         }
         found = [(i, a, b) for i in rules for a, b in self._matches(i, joined, starts)]
-        out = [
-            (i, joined.count(b" ", 0, a), joined.count(b" ", 0, b) + 1) for i, a, b in resolve(found)
-        ]
-        return len(words), sorted(places), out
+        accepted = resolve(found)
+        first = np.searchsorted(gaps, [a for _, a, _ in accepted]).tolist()
+        last = np.searchsorted(gaps, [b for *_, b in accepted]).tolist()
+        return len(words), sorted(places), [(i, a, b + 1) for (i, *_), a, b in zip(accepted, first, last)]
 
 
 def scan(
