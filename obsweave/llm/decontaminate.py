@@ -116,7 +116,7 @@ _HITS = (
     T.StructField("n_words", T.LongType()),
     T.StructField("starts", T.ArrayType(T.LongType())),
     T.StructField("ends", T.ArrayType(T.LongType())),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
 )
 
 
@@ -135,7 +135,7 @@ def _visit(docs: DataFrame, index: dict, sizes: set[int]) -> DataFrame:
                 spans = merged(spans + list(zip(starts, ends)))
                 rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(found | set(items))))
             columns = list(zip(*rows)) if rows else [()] * 4
-            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.string())]
             new = {f.name: pa.array(c, k) for f, c, k in zip(_HITS, columns, kinds)}
             yield pa.RecordBatch.from_arrays(
                 [new[c] if c in new else batch.column(i) for i, c in enumerate(names)], names
@@ -150,15 +150,15 @@ def contamination(
 ) -> DataFrame:
     """The carried columns, ``n_words``, ``starts`` and ``ends`` of hit word runs, ``items`` found.
 
-    Null and empty texts have no words. Items without id or words are left out;
+    Item ids of any type are reported as text. Null and empty texts have no words. Items without id or words are left out;
     equal items are all reported. Repeated documents each get their row.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(total / 4 / slice_words))
     none = F.array().cast("array<long>")
     kept = [c for c in carry if c != "text"]
-    out = docs.select(*kept, "text", F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items"))
+    out = docs.select(*kept, "text", F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
         index, sizes = _prefix_index([(r["item_id"], r["text"].encode()) for r in part], docs, window, size)
@@ -171,7 +171,7 @@ def contamination(
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's digest of ``contamination``."""
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return contamination(docs, benchmark).select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -122,7 +124,7 @@ def test_decontamination_equals_brute_force(spark, slice_words):
         return len(w), len(hit), tuple(sorted(ids))
 
     found = decontaminate.contamination(docs, bench, slice_words=slice_words).collect()
-    got = Counter((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["ends"])), tuple(r["items"])) for r in found)
+    got = Counter((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["ends"])), tuple(map(int, r["items"]))) for r in found)
     assert got == Counter((r[0], *expected(r[1])) for r in fixtures.rows())
     if slice_words > 4:
         for r in decontaminate.op5_decontamination(docs, bench).where("doc_id is not null").collect():
@@ -222,3 +224,34 @@ def written(pattern):
         parts = [*parts, ""] if c == "|" and not depth else [*parts[:-1], parts[-1] + c]
     choices = {*parts, ""} if group[2] == "?" else set(parts)
     return {w for x in choices for w in written(pattern[: group.start()] + x + pattern[group.end() :])}
+
+
+def test_suppression_equals_comparing_with_all_accepted():
+    rng = random.Random(2)
+    for _ in range(400):
+        found = [(rng.randrange(6), a, a + rng.randint(1, 9)) for a in (rng.randrange(30) for _ in range(rng.randrange(25)))]
+        kept = []
+        for rule, start, end in sorted(found, key=lambda d: (d[0], d[1] - d[2], d[1])):
+            if not any(a <= start and end <= b for _, a, b in kept):
+                kept.append((rule, start, end))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d[1], d[2], d[0]))
+
+
+def test_a_dump_of_notices_takes_linear_time():
+    scanner = licenses.Scanner(licenses.SIGNATURES, licenses.BASE)
+    n, places, found = scanner.scan(b"mit license " * 80_000)  # was quadratic: minutes
+    assert n == 160_000 and [w for w, _ in places] == list(range(0, 160_000, 2)) and len(found) == 159_999
+    took = []
+    for times in (20_000, 160_000):
+        start = time.process_time()
+        scanner.scan(b"licensed under the apache license " * times)
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0]  # eight times the text
+
+
+def test_item_ids_may_be_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([("q/10", "b c d e f g h i j k"), ("q/9", "a b c d e f g h i j"), (None, "x")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.op5_decontamination(docs, bench).collect()}
+    assert got[1]["items_sha256"] == hashlib.sha256(b"q/10,q/9").hexdigest() and got[1]["n_hit"] == 11
+    assert got[2]["n_items"] == 0
