@@ -69,12 +69,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     KEPT.append(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan reads any more.
+
+    Spark removes them when the driver's JVM finds their plans unused, which by itself
+    may be half an hour after the table they led to was written.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_kept(spark: SparkSession, paths: list[str]) -> None:
     """Remove kept tables whose readers are done."""
-    for path in paths:
+    for path in list(paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         if path in KEPT:

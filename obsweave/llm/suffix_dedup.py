@@ -2,7 +2,8 @@
 
 Only text that can repeat is sorted. Equal documents are one. Anchors, places
 chosen by the bytes around them alone, lie so close that every string of 200 bytes
-holds one; text none of whose anchors' bytes occur twice cannot repeat. What is
+holds one; text none of whose anchors' bytes occur twice cannot repeat. Anchors of
+80 bytes cut the texts down to stretches, anchors of 160 bytes the stretches. What is
 left falls into phrases, again at places that only the bytes decide, and the
 phrases are the characters of the suffix array:
 
@@ -33,8 +34,9 @@ from obsweave.llm.jaccard_join import FILTER_BITS, _filter
 LENGTH = 200
 #: Bytes of the grams that choose phrase borders, and how many neighbours one is the least of.
 GRAM, AMONG = 16, 64
-#: The same for anchors, as shares of ``LENGTH``: GRAM_SHARE + AMONG_SHARE = 1.
-ANCHOR_GRAM = 0.4
+#: Bytes of an anchor as a share of ``LENGTH``, on whole texts and then on the stretches these leave. A longer
+#: anchor tells more text apart but needs more of them: one is the least among the rest of ``LENGTH``.
+ANCHOR_GRAM, FINE_GRAM = 0.4, 0.8
 
 _TABLE = np.random.default_rng(20_240_901).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -73,11 +75,11 @@ class Prints:
         return self.of(at, at + size)
 
 
-def chosen(values: np.ndarray, among: int) -> np.ndarray:
-    """Places that hold the least of some ``among`` consecutive values, the last of equals."""
+def least(values: np.ndarray, among: int) -> np.ndarray:
+    """The place of the least of every ``among`` consecutive values, the last of equals."""
     if len(values) < among:
         return np.zeros(0, np.int64)
-    # least of every window by doubling: (value, -place) pairs compare by value first
+    # by doubling: (value, -place) pairs compare by value first
     low, place, width = values.copy(), np.arange(len(values)), 1
     while width < among:
         step = min(width, among - width)
@@ -86,34 +88,39 @@ def chosen(values: np.ndarray, among: int) -> np.ndarray:
         place = np.where(later, place[step : step + n], place[:n])
         low = np.where(later, low[step : step + n], low[:n])
         width += step
+    return place
+
+
+def chosen(values: np.ndarray, among: int) -> np.ndarray:
+    """Places that hold the least of some ``among`` consecutive values, the last of equals."""
     on = np.zeros(len(values), bool)
-    on[place] = True
+    on[least(values, among)] = True
     return np.flatnonzero(on)
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places and fingerprints, at least one in every ``length`` bytes, and how far before a place a string may begin."""
-    gram = max(1, int(length * ANCHOR_GRAM))
-    among = length - gram + 1
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), among - 1
+def anchors(text: bytes, length: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the bytes at every place of a text, and for each string of ``length`` bytes its anchor's place."""
+    gram = max(1, int(length * share))
     values = Prints(text).windows(gram)
-    at = chosen(values, among)
-    return at, values[at], among - 1
+    return values, least(values, length - gram + 1)
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, share: float) -> DataFrame:
     """``gram``, ``doc`` (64 bits of the text's key; second places in one text get another), ``key``, ``at``."""
+    kind = docs.schema["key"].dataType
+    key_type = pa.int64() if isinstance(kind, T.LongType) else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, grams, docs_, places = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch)):
-                at, values, _ = anchors(text, length)
+                values, at = anchors(text, length, share)
                 if not len(at):
                     continue
+                at = np.unique(at)
+                values = values[at]
                 _, first, row = np.unique(values, return_index=True, return_inverse=True)
-                own = int.from_bytes(key[:8], "little", signed=True)
+                own = key if isinstance(key, int) else int.from_bytes(key[:8], "little", signed=True)
                 again = np.arange(len(at)) != first[row]
                 keys += [key] * len(at)
                 grams.append(values)
@@ -122,23 +129,47 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(docs_)),
-                     pa.array(keys, pa.binary()), pa.array(np.concatenate(places).astype(np.int32))],
+                     pa.array(keys, key_type), pa.array(np.concatenate(places).astype(np.int32))],
                     ["gram", "doc", "key", "at"],
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "gram long, doc long, key binary, at int")
+    return docs.select("key", "text").mapInArrow(run, f"gram long, doc long, key {kind.simpleString()}, at int")
 
 
-def candidates(docs: DataFrame, length: int) -> DataFrame:
-    """``seg``, ``key``, ``start``, ``body``: stretches of distinct texts that hold every repeated string."""
-    rows = anchor_rows(docs, length)
+def shared_anchors(docs: DataFrame, length: int, share: float) -> DataFrame:
+    """``key``, ``places`` of anchors whose bytes also stand elsewhere; rows of equal texts meet here."""
+    rows = keep(anchor_rows(docs, length, share), "anchors")
+    written = KEPT[-1]
     shared = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
-    # one row per text and shared anchor; rows of equal texts meet here
     places = (
         rows.select("gram", "key", "at").join(shared.select("gram"), "gram", "left_semi")
         .groupBy("key").agg(F.collect_set("at").alias("places"))
     )  # a text has at most one place per byte
     places = keep(places, "places")
+    drop_kept(docs.sparkSession, [written])
+    return places
+
+
+def stretches(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Bytes covered by strings [low, high), low rising."""
+    if not len(low):
+        return []
+    high = np.maximum.accumulate(high)
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    return list(zip(low[new].tolist(), high[np.append(new[1:], len(low)) - 1].tolist()))
+
+
+_SEGS = ["seg", "key", "start", "body"]
+
+
+def _segs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _SEGS)
+
+
+def candidates(docs: DataFrame, length: int) -> DataFrame:
+    """``seg``, ``key``, ``start``, ``body``: stretches of distinct texts that hold every repeated string."""
+    places = shared_anchors(docs, length, ANCHOR_GRAM)
     bits = _filter(places)
     slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
 
@@ -160,20 +191,41 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             out = []
             for key, places_, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch)):
                 at = np.sort(np.array(places_, np.int64))
-                low, high = np.maximum(at - back, 0), np.minimum(at + length, len(text))
-                new = np.flatnonzero(np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]]))
-                for a, b in zip(low[new], np.maximum.accumulate(high)[np.append(new[1:], len(at)) - 1]):
+                for a, b in stretches(np.maximum(at - back, 0), np.minimum(at + length, len(text))):
                     if b - a >= length:
-                        out.append((seg, key, int(a), text[a:b]))
+                        out.append((seg, key, a, text[a:b]))
                         seg += 1
             if out:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["seg", "key", "start", "body"])
+                yield _segs(out)
 
     return read.select("key", "text", "places").mapInArrow(run, "seg long, key binary, start long, body binary")
 
 
+def refined(segs: DataFrame, length: int) -> DataFrame:
+    """The same stretches, cut down to strings whose longer anchor also stands elsewhere."""
+    places = shared_anchors(segs.select(F.col("seg").alias("key"), F.col("body").alias("text")), length, FINE_GRAM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seg = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            out = []
+            for key, start, places_, body in zip(*(batch.column(k).to_pylist() for k in range(3)), texts(batch, "body")):
+                values, at = anchors(body, length, FINE_GRAM)
+                on = np.zeros(len(values), bool)
+                on[places_] = True
+                low = np.flatnonzero(on[at])
+                for a, b in stretches(low, low + length):
+                    out.append((seg, key, start + a, body[a:b]))
+                    seg += 1
+            if out:
+                yield _segs(out)
+
+    joined = segs.join(places.withColumnRenamed("key", "seg"), "seg").select("key", "start", "places", "body")
+    return joined.mapInArrow(run, "seg long, key binary, start long, body binary")
+
+
 def phrases(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Borders of the phrases (the last is the end of the last one) and their names, all above 0:
     the end of a string sorts before every name."""
@@ -520,7 +572,9 @@ def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``key``, ``starts``, ``ends``: bytes covered by a string of ``length`` bytes that starts elsewhere,
     among distinct texts. Only texts with such bytes have a row."""
-    segs = keep(candidates(docs, length), "stretches")
+    before = len(KEPT)
+    segs = keep(refined(keep(candidates(docs, length), "stretches"), length), "stretches")
+    drop_kept(docs.sparkSession, KEPT[before:-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
