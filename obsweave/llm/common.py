@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,18 +33,40 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
             yield value or b""
 
 
-def give_back() -> None:
-    """Return memory that earlier tasks of this worker have freed; workers are reused from stage to stage."""
+def _trim() -> None:
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks until told
     if trim:
         trim(0)
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed; workers are reused from stage to stage."""
+    import gc
+
+    gc.collect()
+    _trim()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, returning freed memory before, after and between batches."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _trim()
+
+        give_back()
+        yield from run(each())
+        give_back()
+
+    return tidied
+
+
 def digest(text: str = "text") -> Column:
     """16 bytes that stand for a whole text (null: empty)."""
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)

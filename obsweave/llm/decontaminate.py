@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import alnum_words, keep, texts
+from obsweave.llm.common import alnum_words, keep, texts, tidy
 
 WINDOW = 10
 SHINGLE = 2
@@ -58,7 +58,7 @@ def shingle_counts(docs: DataFrame, wanted: set[tuple[bytes, ...]], sizes: set[i
                 [pa.array([code[s] for s in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["code", "n"]
             )
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     names = sorted(wanted)
     return Counter({names[r["code"]]: r["n"] for r in rows})
 
@@ -141,7 +141,7 @@ def _visit(docs: DataFrame, index: dict, sizes: set[int]) -> DataFrame:
                 [new[c] if c in new else batch.column(i) for i, c in enumerate(names)], names
             )
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def contamination(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import LOWER, components, digest, keep, texts
+from obsweave.llm.common import LOWER, components, digest, keep, texts, tidy
 
 #: The contract of op10: words of a shingle, and the Jaccard similarity from which two sets link.
 SHINGLE = 4
@@ -105,7 +105,7 @@ def frequent(docs: DataFrame, size: int, ranked: int = RANKED) -> tuple[np.ndarr
                         [pa.array(token[on].view(np.int64)), pa.array(n[on])], ["token", "n"]
                     )
 
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.where("n > 2").orderBy(F.desc("n"), "token").limit(ranked).toArrow()
     token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
@@ -151,7 +151,7 @@ def described(
         narrow.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("sig", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
     ])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def _need(n: Column, m: Column, numerator: int, denominator: int) -> Column:
@@ -229,7 +229,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
     slots = keys.select(F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("slot"))
     by_piece = slots.repartition(64, F.expr(f"slot div {piece}"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in by_piece.mapInArrow(run, "piece long, bits binary").collect():
+    for r in by_piece.mapInArrow(tidy(run), "piece long, bits binary").collect():
         first = r["piece"] * piece // 8
         out[first : first + piece // 8] |= np.frombuffer(r["bits"], np.uint8)
     return out
@@ -253,7 +253,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([chosen.column(0).slice(at, len(part)), sets], ["key", "shingles"])
                 at += len(part)
 
-    made = narrow.mapInArrow(run, "key binary, shingles binary")
+    made = narrow.mapInArrow(tidy(run), "key binary, shingles binary")
     return made.join(keys, "key").dropDuplicates(["key"])  # both by key: one shuffle
 
 
@@ -297,7 +297,7 @@ def verified(
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return task.mapInArrow(run, "a long, b long")
+    return task.mapInArrow(tidy(run), "a long, b long")
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import KEPT, digest, drop_kept, keep, texts
+from obsweave.llm.common import KEPT, digest, drop_kept, keep, texts, tidy
 from obsweave.llm.jaccard_join import FILTER_BITS, _filter
 
 LENGTH = 200
@@ -133,7 +133,7 @@ def anchor_rows(docs: DataFrame, length: int, share: float) -> DataFrame:
                     ["gram", "doc", "key", "at"],
                 )
 
-    return docs.select("key", "text").mapInArrow(run, f"gram long, doc long, key {kind.simpleString()}, at int")
+    return docs.select("key", "text").mapInArrow(tidy(run), f"gram long, doc long, key {kind.simpleString()}, at int")
 
 
 def shared_anchors(docs: DataFrame, length: int, share: float) -> DataFrame:
@@ -179,7 +179,7 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             on = bits[slots // 8] >> (7 - slots % 8) & 1
             yield batch.take(pa.array(np.flatnonzero(on))).select(["key", "text"])
 
-    read = docs.select("key", "text", slot.alias("slot")).mapInArrow(maybe, "key binary, text string")
+    read = docs.select("key", "text", slot.alias("slot")).mapInArrow(tidy(maybe), "key binary, text string")
     read = read.dropDuplicates(["key"]).join(places, "key")
     back = length - max(1, int(length * ANCHOR_GRAM))
 
@@ -198,7 +198,7 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _segs(out)
 
-    return read.select("key", "text", "places").mapInArrow(run, "seg long, key binary, start long, body binary")
+    return read.select("key", "text", "places").mapInArrow(tidy(run), "seg long, key binary, start long, body binary")
 
 
 def refined(segs: DataFrame, length: int) -> DataFrame:
@@ -223,7 +223,7 @@ def refined(segs: DataFrame, length: int) -> DataFrame:
                 yield _segs(out)
 
     joined = segs.join(places.withColumnRenamed("key", "seg"), "seg").select("key", "start", "places", "body")
-    return joined.mapInArrow(run, "seg long, key binary, start long, body binary")
+    return joined.mapInArrow(tidy(run), "seg long, key binary, start long, body binary")
 
 
 def phrases(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +306,7 @@ def less_than(rows: DataFrame, keys: list[str], kinds: int) -> DataFrame:
             )
 
     schema = ", ".join(f"{c} long" for c in ("string", "i", "kind", *keys, *less, "part"))
-    local = keep(ranged.mapInArrow(run, schema), "ranged")
+    local = keep(ranged.mapInArrow(tidy(run), schema), "ranged")
     key = F.struct(*keys)
     summary = local.groupBy("part").agg(
         F.min(key).alias("first"), F.max(key).alias("last"),
@@ -589,7 +589,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
 
     strings = keep(
-        segs.select("seg", "body").mapInArrow(cut, "string long, names array<long>, borders array<long>, most long"), "strings")
+        segs.select("seg", "body").mapInArrow(tidy(cut), "string long, names array<long>, borders array<long>, most long"), "strings")
     most = strings.agg(F.max("most")).first()[0]
     if most is None:
         lcps = strings.sparkSession.createDataFrame([], "string long, i long, before long, after long")
@@ -624,7 +624,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     joined = segs.join(by_seg, "seg", "left").select("seg", "key", "start", "body", "lcp")
     marked = keep(joined.mapInArrow(
-        mark, "seg long, key binary, start long, known_from array<long>, known_to array<long>, open_at array<long>, "
+        tidy(mark), "seg long, key binary, start long, known_from array<long>, known_to array<long>, open_at array<long>, "
               "open_print array<long>, class_print array<long>"), "marked")
     prints = marked.select(F.explode("open_print").alias("p"), F.lit(1).alias("open")).union(
         marked.select(F.explode("class_print"), F.lit(0)))
@@ -647,7 +647,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "starts", "ends"])
 
     spans = marked.select("seg", "key", "start", "known_from", "known_to").join(more, "seg", "left")
-    spans = spans.mapInArrow(covered, "key binary, starts array<long>, ends array<long>")
+    spans = spans.mapInArrow(tidy(covered), "key binary, starts array<long>, ends array<long>")
     return spans.groupBy("key").agg(
         F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"), F.array_sort(F.flatten(F.collect_list("ends"))).alias("ends"))
 
@@ -712,7 +712,7 @@ def deduplicated(
         *(keyed.schema[c] for c in carry),
         *T.StructType.fromDDL("n_bytes long, starts array<long>, ends array<long>, kept binary").fields,
     ])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op9_suffix_array_dedup(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import alnum_words, digest, held, keep, texts
+from obsweave.llm.common import alnum_words, digest, held, keep, texts, tidy
 
 WINDOW, STRIDE = 48, 24
 SIZE, HIDDEN, PAIRS = 16, 8, 1024
@@ -451,7 +451,7 @@ def score(docs: DataFrame, model: Trained | None, carry: list[str]) -> DataFrame
             )
 
     schema = T.StructType([*(narrow.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
