@@ -11,6 +11,8 @@ from obsweave.llm import common, decontaminate, jaccard_join, packing, suffix_de
 
 #: Near duplicates share 80 of 100 of their shingles of five words; op10 has values of its own.
 WORDS, SIMILAR, OF = 5, 80, 100
+#: Bytes of a batch handed to a Python worker, beyond a single longer text.
+BATCH_BYTES = 8_000_000
 #: Tables kept by the last call of each stage; the next stage reads what that call returned, written by then.
 _LEFT: dict[str, list[str]] = {}
 
@@ -34,6 +36,8 @@ def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]):
         here = names.index(make.__name__)
         if here:  # the result of the stage before was written to become these docs
             common.drop_kept(spark, _LEFT.pop(names[here - 1], []))
+        # texts of any length reach Python workers a few MB at a time
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         before = set(common.KEPT)
         out = make(spark, docs, sf_dir)
         if make.__name__ != names[-1]:  # nobody knows when the last result is read; its tables stay
