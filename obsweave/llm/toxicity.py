@@ -2,9 +2,11 @@
 
 Each word enters as the sum of its own vector (words of the training texts) and
 the mean vector of its byte pairs, so unknown words have an input too. Two
-recurrent passes read a window of words, attention pools their states, and a text
-scores as its highest of all overlapping windows. Training runs in numpy on a
-bounded sample of labelled texts; scoring runs in every task on whole texts.
+recurrent passes read the text, attention pools the states of a window of words,
+and a text scores as its highest of all overlapping windows, one from every word on.
+The windows share the passes: a word's state and attention are found once, and each
+window adds up those of its words. Training runs in numpy on a bounded sample of
+labelled texts; scoring runs in every task on whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,11 @@ from pyspark.sql import types as T
 
 from obsweave.llm.common import alnum_words, digest, held, keep, texts, tidy
 
-WINDOW, STRIDE = 48, 24
+WINDOW = 48
+#: Words between the windows of the first training pass; later passes and every score use all windows.
+STRIDE = 24
+#: Long texts are read in segments; both passes start ``WARM`` words before the words they are wanted for.
+SEGMENT, WARM = 64, 24
 SIZE, HIDDEN, PAIRS = 16, 8, 1024
 #: Labelled texts per class that training may see, drawn by a hash of the text; the bound of what the driver holds.
 SAMPLE = 800
@@ -45,16 +51,38 @@ def windows_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
     return [*range(0, n - window, stride), n - window]
 
 
-def laid_out(texts_: list[np.ndarray], window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word rows of every window (-1 where the text ended), and whose window it is."""
-    rows, owner = [], []
-    for k, ids in enumerate(texts_):
-        starts = np.array(windows_of(len(ids), window, stride))
-        at = starts[:, None] + np.arange(window)
-        padded = np.concatenate([ids, np.full(window, -1, np.int64)])
-        rows.append(padded[at])
-        owner.append(np.full(len(starts), k))
-    return np.concatenate(rows), np.concatenate(owner)
+def laid_out(texts_: list[np.ndarray], owner: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Word rows of windows with the words read before and after them (-1: none)."""
+    lengths = np.array([len(t) for t in texts_], np.int64)
+    base = np.cumsum(lengths) - lengths
+    at = starts[:, None] + np.arange(-WARM, WINDOW + WARM)
+    there = (at >= 0) & (at < lengths[owner][:, None])
+    flat = np.concatenate([*texts_, np.zeros(1, np.int64)])
+    return np.where(there, flat[np.where(there, base[owner][:, None] + at, 0)], -1)
+
+
+def window_mask(rows: np.ndarray) -> np.ndarray:
+    """Which words of ``laid_out`` rows belong to the window."""
+    inside = rows >= 0
+    inside[:, :WARM] = inside[:, WARM + WINDOW :] = False
+    return inside
+
+
+def sliding(x: np.ndarray, window: int) -> np.ndarray:
+    """Sums of ``window`` neighbours from each place of the last axis on, as sums of powers of two: no
+    differences, so small windows beside large ones keep their digits. Past the end stands 0."""
+    n = x.shape[-1]
+    block = np.concatenate([x, np.zeros((*x.shape[:-1], window))], axis=-1)
+    out, at, size = np.zeros_like(x), 0, 1
+    while window:
+        if window & 1:
+            out += block[..., at : at + n]
+            at += size
+        window >>= 1
+        if window:
+            block[..., :-size] += block[..., size:].copy()
+            size *= 2
+    return out
 
 
 def pair_segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +106,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+#: Gate inputs of no word: the update gate keeps the whole state.
+NOTHING = np.zeros((1, 2, 3 * HIDDEN), np.float32)
+NOTHING[:, :, :HIDDEN] = 100.0
+
+
 class Network:
     """Weights by name; ``gates`` order is update, reset, candidate; axis 0 is the direction."""
 
@@ -101,14 +134,14 @@ class Network:
         """Both directions' gate inputs of word inputs: (words, 2, 3h)."""
         return (x @ self.w["input"] + self.w["bias"]).transpose(1, 0, 2)
 
-    def forward(self, gates: np.ndarray, rows: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """Logit of each window; ``gates`` are projected words, ``rows`` index them (-1: none)."""
+    def forward(self, gates: np.ndarray, rows: np.ndarray, inside: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """Logit of each row; ``gates`` are projected words, ``rows`` index them (-1: none), ``inside``
+        marks the words that attention pools."""
         b, t = rows.shape
         h, w = HIDDEN, self.w
-        there = rows >= 0
         states = np.zeros((2, t, b, h), np.float32)
         now = np.zeros((2, b, h), np.float32)
-        # the second direction reads the window from its end
+        # the second direction reads from the end
         order = np.stack([rows, rows[:, ::-1]])
         for k in range(t):
             at = order[:, :, k]
@@ -125,54 +158,78 @@ class Network:
             states[:, k] = now
         both = np.concatenate([states[0], states[1, ::-1]], axis=2)  # (t, b, 2h)
         keyed = np.tanh(both @ w["attend"])
-        weight = np.where(there.T, keyed @ w["query"], -1e9)
+        weight = np.where(inside.T, keyed @ w["query"], -1e9)
         weight = np.exp(weight - weight.max(axis=0))
-        weight = weight * there.T
+        weight = weight * inside.T
         weight /= np.maximum(weight.sum(axis=0), 1e-9)
         pooled = np.einsum("tb,tbh->bh", weight, both)
         if tape is not None:
             tape.append((both, keyed, weight, pooled))
         return pooled @ w["out"] + w["out_bias"][0]
 
-    def logits(self, gates: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """``forward`` without a tape; windows that are full need no mask."""
-        out = np.empty(len(rows), np.float32)
-        full = (rows[:, -1] >= 0)
-        for part, masked in ((np.flatnonzero(full), False), (np.flatnonzero(~full), True)):
-            for k in range(0, len(part), 1024):
-                own = part[k : k + 1024]
-                out[own] = self.forward(gates, rows[own]) if masked else self._full(gates, rows[own])
-        return out
-
-    def _full(self, gates: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        b, t = rows.shape
-        h, w = HIDDEN, self.w
-        both = np.empty((t, b, 2 * h), np.float32)
-        columns = np.ascontiguousarray(rows.T)
-        for side in (0, 1):
-            own, state = np.ascontiguousarray(gates[:, side]), w["state"][side]
-            now = np.zeros((b, h), np.float32)
-            for k in range(t) if side == 0 else range(t - 1, -1, -1):
-                x = own.take(columns[k], axis=0)
-                u = now @ state
-                zr = x[:, : 2 * h]
-                zr += u[:, : 2 * h]
-                zr *= 0.5
-                np.tanh(zr, out=zr)
-                zr *= 0.5
-                zr += 0.5
-                c = u[:, 2 * h :] * zr[:, h:]
-                c += x[:, 2 * h :]
-                np.tanh(c, out=c)
-                now = now - c
-                now *= zr[:, :h]
-                now += c
-                both[k, :, side * h : (side + 1) * h] = now
-        score = np.tanh(both @ w["attend"]) @ w["query"]
-        score -= score.max(axis=0)
-        np.exp(score, out=score)
-        score /= score.sum(axis=0)
-        return (score * (both @ w["out"])).sum(axis=0) + w["out_bias"][0]
+    def states(self, gates: np.ndarray, rows: np.ndarray, side: int, first: int) -> np.ndarray:
+        """One direction's states from column ``first`` on (from the last but ``first`` back): (words, rows, h).
+
+        Row 0 of ``gates`` is ``NOTHING``, no word: it leaves the state as it is.
+        """
+        h, state = HIDDEN, self.w["state"][side]
+        columns = np.ascontiguousarray(rows.T[::-1] if side else rows.T)
+        now = np.zeros((len(rows), h), np.float32)
+        out = np.empty((len(columns) - first, len(rows), h), np.float32)
+        own = gates[:, side]
+        for k, column in enumerate(columns):
+            x = own.take(column, axis=0)
+            u = now @ state
+            zr = x[:, : 2 * h]
+            zr += u[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c = u[:, 2 * h :] * zr[:, h:]
+            c += x[:, 2 * h :]
+            np.tanh(c, out=c)
+            now = now - c
+            now *= zr[:, :h]
+            now += c
+            if k >= first:
+                out[k - first] = now
+        return out[::-1] if side else out
+
+    def every_window(self, gates: np.ndarray, texts_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Highest logit of each text over all its windows, and where the first such window starts.
+
+        A text of fewer words is one window; that of an empty text pools nothing.
+        """
+        w = self.w
+        lengths = np.array([len(t) for t in texts_], np.int64)
+        segments = -(-lengths // SEGMENT)
+        room = segments * SEGMENT + 2 * WARM
+        base = np.cumsum(room) - room
+        flat = np.zeros(room.sum(), np.int64)
+        for at, ids in zip(base + WARM, texts_):
+            flat[at : at + len(ids)] = ids
+        before = np.cumsum(segments) - segments
+        places = np.repeat(base - before * SEGMENT, segments) + np.arange(segments.sum()) * SEGMENT
+        pooled = np.zeros((2, len(places), SEGMENT))
+        for k in range(0, len(places), 1024):
+            rows = flat[places[k : k + 1024, None] + np.arange(SEGMENT + 2 * WARM)]
+            both = np.concatenate([
+                self.states(gates, rows[:, : WARM + SEGMENT], 0, WARM), self.states(gates, rows[:, WARM:], 1, WARM),
+            ], axis=2)
+            weight = np.exp((np.tanh(both @ w["attend"]) @ w["query"]).astype(float))
+            weight *= rows[:, WARM : WARM + SEGMENT].T > 0
+            pooled[0, k : k + 1024], pooled[1, k : k + 1024] = weight.T, (weight * (both @ w["out"])).T
+        weights, values = sliding(np.pad(pooled.reshape(2, -1), ((0, 0), (0, 1))), WINDOW)
+        starts = np.maximum(lengths - WINDOW, 0) + 1
+        first = np.cumsum(starts) - starts
+        own = np.arange(starts.sum()) - np.repeat(first, starts)
+        at = np.repeat(before * SEGMENT, starts) + own
+        logits = np.where(np.repeat(lengths > 0, starts), values[at] / np.maximum(weights[at], 1e-300), 0) + w["out_bias"][0]
+        best = np.maximum.reduceat(logits, first) if len(first) else np.zeros(0)
+        top = np.flatnonzero(logits == np.repeat(best, starts))
+        _, pick = np.unique(np.repeat(np.arange(len(texts_)), starts)[top], return_index=True)
+        return best, own[top[pick]]
 
     def backward(self, d_logit: np.ndarray, n_gates: int, tape: list) -> tuple[dict, np.ndarray]:
         """Gradients of the weights after the word inputs, and of the projected words."""
@@ -242,14 +299,6 @@ def _numbered(documents: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarra
     return list(seen), out
 
 
-def _best(net: Network, gates: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Highest logit of each text, and all windows' logits."""
-    logits = net.logits(gates, rows)
-    best = np.full(n, -np.inf, np.float32)
-    np.maximum.at(best, owner, logits)
-    return best, logits
-
-
 def _leaning(documents: list[list[bytes]], y: np.ndarray, used: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Where each word's vector starts: how much oftener texts of label 1 have it, shrunk for rare words."""
     n = np.zeros((2, len(vocabulary.row)))
@@ -293,54 +342,49 @@ def train(sample: list[tuple[bytes, int]], odds: float | None = None, seed: int
     word_rows = vocabulary.rows(words)
     pairs, starts = pair_segments(words)
     pair_count = np.append(starts[1:], len(pairs)) - starts
-    pair_word = np.repeat(np.arange(len(words)), pair_count)
     net = Network(len(vocabulary.row), seed)
     net.w["word"][:-1, 0] = _leaning(documents, y, ~fresh, vocabulary)
-    rows, owner = laid_out(numbered, WINDOW, STRIDE)
-    learn = ~fresh[owner] if fresh.any() else np.ones(len(owner), bool)
+    spans = [windows_of(len(d)) for d in numbered]
+    owner = np.repeat(np.arange(len(spans)), [len(p) for p in spans])
+    starts_of = np.concatenate([np.array(p, np.int64) for p in spans])
+    train_on = ~fresh
+
+    def highest() -> tuple[np.ndarray, np.ndarray]:
+        gates = np.concatenate([NOTHING, net.project(vocabulary.inputs(net, words, word_rows))])
+        return net.every_window(gates, [d + 1 for d in numbered])
+
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step, epoch, unknown = 0, 0, len(vocabulary.row)
     while epoch < EPOCHS or step < STEPS:
         if epoch == 0:
-            chosen = np.flatnonzero(learn)
+            text, start = owner, starts_of
         else:
-            best, logits = _best(net, net.project(vocabulary.inputs(net, words, word_rows)), rows, owner, len(y))
-            top = logits >= best[owner]
-            chosen = np.flatnonzero(learn & (top | ((y[owner] == 0) & (rng.random(len(owner)) < 0.3))))
+            more = (y[owner] == 0) & (rng.random(len(owner)) < 0.3)
+            text = np.concatenate([np.arange(len(y)), owner[more]])
+            start = np.concatenate([highest()[1], starts_of[more]])
         epoch += 1
-        chosen = rng.permutation(chosen)
-        share = y[owner[chosen]].mean()
-        for k in range(0, len(chosen), BATCH):
-            part = chosen[k : k + BATCH]
-            used, local = np.unique(rows[part], return_inverse=True)
-            local = local.reshape(rows[part].shape) - (1 if used[0] < 0 else 0)
+        order = rng.permutation(np.flatnonzero(train_on[text]))
+        text, start = text[order], start[order]
+        share = y[text].mean()
+        for k in range(0, len(text), BATCH):
+            part = text[k : k + BATCH]
+            rows = laid_out(numbered, part, start[k : k + BATCH])
+            used, local = np.unique(rows, return_inverse=True)
+            local = local.reshape(rows.shape) - (1 if used[0] < 0 else 0)
             used = used[used >= 0]
             step += 1
             if not len(used):
                 continue
             own_rows = np.where(rng.random(len(used)) < 0.1, unknown, word_rows[used])  # so that byte pairs learn too
-            x = _word_inputs(net, used, own_rows, pairs, starts, pair_count)
-            tape: list = []
-            logit = net.forward(net.project(x), local, tape)
-            label = y[owner[part]]
-            weight = np.where(label == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-            d_logit = ((_sigmoid(logit) - label) * weight / len(part)).astype(np.float32)
-            g, d_gates = net.backward(d_logit, len(used), tape)
-            g["input"] = np.stack([x.T @ d_gates[s] for s in (0, 1)])
-            g["bias"] = d_gates.sum(axis=1, keepdims=True)
-            d_x = d_gates[0] @ net.w["input"][0].T + d_gates[1] @ net.w["input"][1].T
-            g["word"] = summed(len(net.w["word"]), own_rows, d_x)
-            spot = np.full(len(words), -1)
-            spot[used] = np.arange(len(used))
-            mine = spot[pair_word]
-            ok = mine >= 0
-            g["pair"] = summed(PAIRS, pairs[ok], (d_x / pair_count[used][:, None])[mine[ok]])
-            for name, grad in g.items():
+            label = y[part]
+            weight = np.where(label == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) / len(part)
+            spelled = _spelled(used, pairs, starts, pair_count)
+            for name, grad in gradients(net, local, window_mask(rows), own_rows, spelled, label, weight).items():
                 first, second = moment[name]
                 first += 0.1 * (grad - first)
                 second += 0.01 * (grad**2 - second)
                 net.w[name] -= RATES.get(name, RATE) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    best, _ = _best(net, net.project(vocabulary.inputs(net, words, word_rows)), rows, owner, len(y))
+    best, _ = highest()
     judged = fresh if fresh.any() else np.ones(len(y), bool)
     scale, shift = _calibrated(best[judged].astype(float), y[judged])
     if odds:
@@ -348,15 +392,35 @@ def train(sample: list[tuple[bytes, int]], odds: float | None = None, seed: int
     return Trained(net, vocabulary, scale, shift)
 
 
-def _word_inputs(net, used, own_rows, pairs, starts, pair_count) -> np.ndarray:
-    """Inputs of some of the training words."""
+def _spelled(used, pairs, starts, pair_count) -> tuple[np.ndarray, np.ndarray]:
+    """Byte pairs of some of the training words, and how many each has."""
     counts = pair_count[used]
     first = np.cumsum(counts) - counts
-    at = np.repeat(starts[used] - first, counts) + np.arange(counts.sum())
-    means = np.add.reduceat(net.w["pair"][pairs[at]], first) / counts[:, None]
+    return pairs[np.repeat(starts[used] - first, counts) + np.arange(counts.sum())], counts
+
+
+def word_inputs(net: Network, own_rows: np.ndarray, spelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Input vectors of words by their rows and byte pairs."""
+    pairs, counts = spelled
+    means = np.add.reduceat(net.w["pair"][pairs], np.cumsum(counts) - counts) / counts[:, None]
     return (net.w["word"][own_rows] + means).astype(np.float32)
 
 
+def gradients(net: Network, rows, inside, own_rows, spelled, label, weight) -> dict[str, np.ndarray]:
+    """Of the weighted logistic loss of some windows, for all weights; ``rows`` index the given words."""
+    x = word_inputs(net, own_rows, spelled)
+    tape: list = []
+    logit = net.forward(net.project(x), rows, inside, tape)
+    g, d_gates = net.backward(((_sigmoid(logit) - label) * weight).astype(np.float32), len(own_rows), tape)
+    g["input"] = np.stack([x.T @ d_gates[s] for s in (0, 1)])
+    g["bias"] = d_gates.sum(axis=1, keepdims=True)
+    d_x = d_gates[0] @ net.w["input"][0].T + d_gates[1] @ net.w["input"][1].T
+    g["word"] = summed(len(net.w["word"]), own_rows, d_x)
+    pairs, counts = spelled
+    g["pair"] = summed(PAIRS, pairs, np.repeat(d_x / counts[:, None], counts, axis=0))
+    return g
+
+
 def labelled(
     docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE
 ) -> tuple[list[tuple[bytes, int]], float | None]:
@@ -392,12 +456,12 @@ class Scorer:
     def __init__(self, model: Trained):
         self.model = model
         self.known: dict[bytes, int] = {}
-        self.gates = np.zeros((1024, 2, 3 * HIDDEN), np.float32)
+        self.gates = np.concatenate([NOTHING, np.zeros((1023, 2, 3 * HIDDEN), np.float32)])
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        at = len(self.known)
+        at = len(self.known) + 1  # row 0 is no word
         if at + len(new) > len(self.gates):
             grown = np.zeros((2 * (at + len(new)), 2, 3 * HIDDEN), np.float32)
             grown[:at] = self.gates[:at]
@@ -415,16 +479,17 @@ class Scorer:
         if new:
             self._learn(new)
         get = self.known.__getitem__
-        rows, owner = laid_out([np.fromiter(map(get, d), np.int64, len(d)) for d in documents], WINDOW, STRIDE)
-        best, _ = _best(self.model.net, self.gates, rows, owner, len(batch))
+        numbered = [np.fromiter(map(get, d), np.int64, len(d)) for d in documents]
+        best, _ = self.model.net.every_window(self.gates, numbered)
         return 1 / (1 + np.exp(-np.clip(self.model.scale * best.astype(float) + self.model.shift, -30, 30)))
 
 
 def score(docs: DataFrame, model: Trained | None, carry: list[str]) -> DataFrame:
     """The carried columns and ``score``.
 
-    The score is that of the highest window of the whole text; null and empty texts
-    get that of an empty window. Without a model (no labels of both kinds) it is 0.
+    The score is that of the highest of all windows of the whole text, ties alike; null and
+    empty texts get that of an empty window. Repeated rows each get their row; no column
+    but ``text`` is read, so others may have any name. Without a model (no labels of both kinds) it is 0.
     """
     narrow = docs.select(*carry, *([] if "text" in carry else ["text"]))
 
@@ -460,6 +525,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFr
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row, null and empty texts and repeated rows included."""
     return toxic_scores(docs, labels, ["doc_id"]).select(
         "doc_id", held("doc_id", 4).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),

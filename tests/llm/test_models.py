@@ -51,24 +51,62 @@ def test_toxicity_without_labels_or_rows(spark):
 def test_network_gradient_by_differences():
     rng = np.random.default_rng(1)
     net = toxicity.Network(5, 1)
-    x = rng.standard_normal((6, toxicity.SIZE)).astype(np.float32)
-    rows = rng.integers(0, 6, (3, 7))
-    rows[1, 4:] = -1
-    tape: list = []
-    net.forward(net.project(x), rows, tape)
-    g, _ = net.backward(np.ones(3, np.float32), 6, tape)
-    for name in ("state", "attend", "query", "out"):
-        at = tuple(rng.integers(0, n) for n in net.w[name].shape)
-        kept = net.w[name][at]
-        ends = []
-        for d in (1e-2, -1e-2):
-            net.w[name][at] = kept + d
-            ends.append(net.forward(net.project(x), rows).sum())
-        net.w[name][at] = kept
-        assert abs((ends[0] - ends[1]) / 2e-2 - g[name][at]) < 2e-2
-    full = rng.integers(0, 6, (4, 9))
-    gates = net.project(x)
-    assert np.allclose(net.logits(gates, full), net.forward(gates, full), atol=1e-5)
+    net.w = {k: v.astype(float) for k, v in net.w.items()}
+    words = [b"one", b"two", b"three", b"x", b"yy", b"two2"]
+    pairs, starts = toxicity.pair_segments(words)
+    spelled = (pairs, np.append(starts[1:], len(pairs)) - starts)
+    own_rows = np.array([0, 1, 2, 3, 5, 5])
+    rows = rng.integers(0, 6, (3, 9))
+    rows[1, 6:] = -1
+    inside = (rows >= 0) & (np.arange(9) > 1) & (np.arange(9) < 7)
+    label, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.0, 2.0])
+
+    def loss():
+        logit = net.forward(net.project(toxicity.word_inputs(net, own_rows, spelled)), rows, inside)
+        return (weight * (np.logaddexp(0, logit) - label * logit)).sum()
+
+    g = toxicity.gradients(net, rows, inside, own_rows, spelled, label, weight)
+    assert set(g) == set(net.w)
+    for name, grad in g.items():
+        near = np.argsort(-np.abs(grad).ravel())[:4]  # the steepest, which differences can tell from rounding
+        for at in [np.unravel_index(k, grad.shape) for k in (*near, rng.integers(grad.size))]:
+            kept = net.w[name][at]
+            ends = []
+            for d in (1e-2, -1e-2):
+                net.w[name][at] = kept + d
+                ends.append(loss())
+            net.w[name][at] = kept
+            assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(grad[at], rel=0.03, abs=2e-3), name
+
+
+def test_every_window_by_reading_each():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(5, 1)
+    net.w["query"] *= 4
+    net.w["out"] *= 10
+    gates = np.concatenate([toxicity.NOTHING, net.project(rng.standard_normal((6, toxicity.SIZE)).astype(np.float32))])
+    texts = [rng.integers(1, 7, n) for n in (0, 1, 30, 47, 48, 49, 64)]
+    best, at = net.every_window(gates, texts)
+    for ids, got, first in zip(texts, best, at):
+        tried = []
+        for s in toxicity.windows_of(len(ids), stride=1):
+            inside = (np.arange(len(ids)) >= s) & (np.arange(len(ids)) < s + toxicity.WINDOW)
+            tried.append(net.forward(gates, ids[None], inside[None])[0] if len(ids) else net.w["out_bias"][0])
+        assert got == pytest.approx(max(tried), abs=1e-4)
+        assert tried[first] == pytest.approx(max(tried), abs=1e-4)
+    # a passage scores alike wherever it stands in a long text, but for what the passes still hold of words far before
+    passage = rng.integers(1, 7, 100)
+    quiet = np.ones(400, np.int64)
+    scores = [net.every_window(gates, [np.concatenate([quiet[: 100 + k], passage, quiet])])[0][0] for k in range(0, 70, 7)]
+    assert max(scores) - min(scores) < 0.02
+
+
+def test_sliding_sums():
+    x = np.random.default_rng(2).random((2, 90))
+    for window in (1, 5, 48, 64, 100):
+        padded = np.concatenate([x, np.zeros((2, window))], axis=1)
+        brute = np.stack([padded[:, k : k + window].sum(axis=1) for k in range(90)], axis=1)
+        assert np.allclose(toxicity.sliding(x, window), brute)
 
 
 def test_windows_cover_every_word():
