@@ -167,16 +167,15 @@ class Network:
             tape.append((both, keyed, weight, pooled))
         return pooled @ w["out"] + w["out_bias"][0]
 
-    def states(self, gates: np.ndarray, rows: np.ndarray, side: int, first: int) -> np.ndarray:
+    def states(self, own: np.ndarray, rows: np.ndarray, side: int, first: int) -> np.ndarray:
         """One direction's states from column ``first`` on (from the last but ``first`` back): (words, rows, h).
 
-        Row 0 of ``gates`` is ``NOTHING``, no word: it leaves the state as it is.
+        ``own`` are that direction's gate inputs; row 0 is ``NOTHING``, no word, and leaves the state as it is.
         """
         h, state = HIDDEN, self.w["state"][side]
         columns = np.ascontiguousarray(rows.T[::-1] if side else rows.T)
         now = np.zeros((len(rows), h), np.float32)
         out = np.empty((len(columns) - first, len(rows), h), np.float32)
-        own = gates[:, side]
         for k, column in enumerate(columns):
             x = own.take(column, axis=0)
             u = now @ state
@@ -212,10 +211,11 @@ class Network:
         before = np.cumsum(segments) - segments
         places = np.repeat(base - before * SEGMENT, segments) + np.arange(segments.sum()) * SEGMENT
         pooled = np.zeros((2, len(places), SEGMENT))
+        there, back = (np.ascontiguousarray(gates[:, side]) for side in (0, 1))
         for k in range(0, len(places), 1024):
             rows = flat[places[k : k + 1024, None] + np.arange(SEGMENT + 2 * WARM)]
             both = np.concatenate([
-                self.states(gates, rows[:, : WARM + SEGMENT], 0, WARM), self.states(gates, rows[:, WARM:], 1, WARM),
+                self.states(there, rows[:, : WARM + SEGMENT], 0, WARM), self.states(back, rows[:, WARM:], 1, WARM),
             ], axis=2)
             weight = np.exp((np.tanh(both @ w["attend"]) @ w["query"]).astype(float))
             weight *= rows[:, WARM : WARM + SEGMENT].T > 0
