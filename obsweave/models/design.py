@@ -36,7 +36,7 @@ def covariates(
     """Raster values and distances to city, equator and coast for each cell.
 
     A counted short city list rides along as one array, so cells are never multiplied;
-    any other is searched by the nested buckets of ``nearest_distance`` (to a mm).
+    any other is searched by the tree of ``nearest_distance``. Both give the same, unrounded.
     """
     out = raster_lookup(cells, raster, grid, list(bands), lon, lat)
     if cities.count() <= MAX_TOWNS:
@@ -48,7 +48,7 @@ def covariates(
     else:
         spots = cells.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")).dropna().distinct()
         spots = cut(spots.withColumn("id", F.struct("lon", "lat")), "spots")
-        near = nearest_distance(spots, cities, "haversine").select(
+        near = nearest_distance(spots, cities, "haversine", digits=None).select(
             F.col("id.lon").alias("_lon"), F.col("id.lat").alias("_lat"), F.col("nearest_km").alias("dist_to_city_km")
         )
         out = out.join(near, (out[lon] == near["_lon"]) & (out[lat] == near["_lat"]), "left").drop("_lon", "_lat")

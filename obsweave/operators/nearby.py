@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from obsweave.functions.geo import (
 )
 from obsweave.functions.pvalues import add_p_values, normal_upper
 from obsweave.plans.session import cut
+from obsweave.plans.skew import lookup
 
 
 def neighbours(cells: DataFrame, max_km: float = 15, key: str = "id", lon: str = "lon_c", lat: str = "lat_c") -> DataFrame:
@@ -40,10 +45,68 @@ def neighbours(cells: DataFrame, max_km: float = 15, key: str = "id", lon: str =
 
 # ------------------------------------------------------- nearest neighbours
 
-_FINEST = 0.0125
-_FACTOR = 8
-_LEVELS = 5  # 0.0125, 0.1, 0.8, 6.4 and 51.2 degrees
-_BROADCAST_FROM = 2  # from 0.8 degrees on, the globe has at most 101,250 buckets
+#: Points of a leaf and children of an inner node, at most.
+LEAF, FAN = 32, 16
+#: Nodes of a level whose child lists are broadcast (some 10 MB); other levels are joined by shuffle.
+SMALL_LEVEL = 10_000
+#: Bits of each coordinate on the curve that puts points in order.
+_BITS = 31
+
+
+def _curve(x: Column, y: Column) -> Column:
+    """Place on a Z-order curve. It only decides how compact the nodes are, not what is found."""
+
+    def spread(share: Column) -> Column:
+        v = F.floor(F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))) * ((1 << _BITS) - 1)).cast("long")
+        for shift, mask in (
+            (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+            (2, 0x3333333333333333), (1, 0x5555555555555555),
+        ):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread((x + 180) / 360).bitwiseOR(F.shiftleft(spread((y + 90) / 180), 1))
+
+
+def _finite(*names: str) -> Column:
+    """No NULL, NaN or infinity, whose differences from themselves are not 0."""
+    return functools.reduce(operator.and_, ((F.col(c) - F.col(c)) == 0 for c in names))
+
+
+def point_tree(points: DataFrame) -> list[DataFrame]:
+    """Levels of a tree over points (rid, x, y), leaves first: node, n, its box and its ``below``.
+
+    Points in the order of a curve are cut into leaves of ``LEAF``, leaves into nodes of ``FAN``
+    children, and so on: however dense a place is, no node has more below it. The last
+    level has at most ``FAN`` nodes.
+    """
+    spark = points.sparkSession
+    points = points.withColumn("z", _curve(F.col("x"), F.col("y")))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = cut(
+        points.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y", "rid")
+        .select("rid", "x", "y", F.spark_partition_id().alias("part"), row.alias("row")),
+        "ordered-points",
+    )
+    sizes = ordered.groupBy("part").agg((F.max("row") + 1).alias("n")).orderBy("part").collect()  # a row per task
+    before = list(itertools.accumulate((r["n"] for r in sizes), initial=0))
+    starts = spark.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part int, start long")
+    box = [f(c).alias(n) for n, f, c in (("x0", F.min, "x0"), ("x1", F.max, "x1"), ("y0", F.min, "y0"), ("y1", F.max, "y1"))]
+    node = F.floor((F.col("row") + F.col("start")) / LEAF)
+    leaves = (
+        ordered.join(F.broadcast(starts), "part")
+        .withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
+        .groupBy(node.alias("node"))
+        .agg(F.count("*").alias("n"), *box, F.collect_list(F.struct("rid", "x", "y")).alias("below"))
+    )
+    levels, nodes = [cut(leaves, "leaves")], -(-before[-1] // LEAF)
+    while nodes > FAN:
+        child = F.struct("node", "n", "x0", "x1", "y0", "y1")
+        up = levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(
+            F.sum("n").alias("n"), *box, F.collect_list(child).alias("below"))
+        levels.append(cut(up, "nodes"))
+        nodes = -(-nodes // FAN)
+    return levels
 
 
 def knn(
@@ -56,15 +119,17 @@ def knn(
     lon: str = "lon",
     lat: str = "lat",
     exclude_same: bool = False,
+    digits: int | None = 6,
 ) -> DataFrame:
     """The k nearest right points of each left point: (left id, right id, km, rank).
 
-    Right points are summed up in nested buckets with their bounding boxes.  Going
-    from coarse to fine, the triangle inequality gives each bucket a least and a
-    greatest distance; buckets that cannot hold one of the k nearest are dropped
-    before their children are joined.  Exact for any distribution, because the
-    search starts from the whole globe.  Distances are compared at mm precision;
-    ties follow the right id.
+    Right points stand in a tree (``point_tree``) whose nodes have bounding boxes. Going
+    down, the triangle inequality gives each node a least and a greatest distance; nodes
+    that cannot hold one of the k nearest are dropped before their children are joined.
+    Exact for any distribution: leaves are small wherever the points are, and of points at
+    one place only as many are filed as an answer can hold. Distances are compared at
+    ``digits`` places (None: as they are); ties follow the right id. Points without finite coordinates have no
+    neighbours and are nobody's.
     """
     need = k + (1 if exclude_same else 0)
 
@@ -72,32 +137,16 @@ def knn(
         return haversine_m(x1, y1, x2, y2) / 1000 if metric == "haversine" else planar_km(x1, y1, x2, y2)
 
     per_degree = EARTH_RADIUS_M * 3.141592653589793 / 180 / 1000 if metric == "haversine" else KM_PER_DEGREE
-    pts = cut(
-        right.select(
-            F.col(right_key).alias("rid"), F.col(lon).alias("x"), F.col(lat).alias("y"),
-            F.floor(F.col(lon) / _FINEST).cast("long").alias("bx"),
-            F.floor(F.col(lat) / _FINEST).cast("long").alias("by"),
-        ),
-        "points",
-    )
-    box = ["n", "x0", "x1", "y0", "y1"]
-    levels = [
-        pts.groupBy("bx", "by").agg(
-            F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-            F.min("y").alias("y0"), F.max("y").alias("y1"),
-        )
-    ]
-    up = lambda c: F.floor(F.col(c) / _FACTOR).cast("long")
-    for _ in range(1, _LEVELS):
-        levels.append(
-            levels[-1].groupBy(up("bx").alias("bx"), up("by").alias("by")).agg(
-                F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-                F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-            )
-        )
+    points = right.select(
+        F.col(right_key).alias("rid"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")
+    ).where(_finite("x", "y"))
+    # the rank filter cuts a place's points down before the shuffle
+    first = Window.partitionBy("x", "y").orderBy("rid")
+    points = points.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= need).drop("_n")
+    levels = point_tree(points)
 
     def prune(cand: DataFrame) -> DataFrame:
-        """Keeps the buckets that may hold one of the nearest points of ``lid``."""
+        """Keeps the nodes that may hold one of the nearest points of ``lid``."""
         cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
         hx, hy = (F.col("x1") - F.col("x0")) / 2, (F.col("y1") - F.col("y0")) / 2
         reach = F.sqrt(hx * hx + hy * hy) * per_degree + 1e-5
@@ -110,29 +159,31 @@ def knn(
         limit = F.min(F.when(F.col("held") >= need, F.col("far"))).over(Window.partitionBy("lid"))
         return cand.withColumn("limit", limit).where(
             F.col("limit").isNull() | (F.col("near") <= F.col("limit"))
-        ).select("lid", "lx", "ly", "bx", "by")
-
-    # at 51.2 degrees the globe has 32 buckets
-    roots = levels[-1].agg(F.collect_list(F.struct("bx", "by", *box))).scalar()
+        ).select("lid", "lx", "ly", "node")
+
+    def descend(cand: DataFrame, level: int) -> DataFrame:
+        """What is below the nodes; a node that a large share of the left points asks for is split."""
+        small = level >= first_small
+        cand = cand if small else cut(cand, "candidates")
+        found = lookup(cand, levels[level].select("node", "below"), ["node"], ["below"], small)
+        return found.select("lid", "lx", "ly", F.explode("below").alias("b")).select("lid", "lx", "ly", "b.*")
+
+    nodes = [levels[0].count()]
+    for _ in levels[1:]:
+        nodes.append(-(-nodes[-1] // FAN))
+    first_small = next(i for i, n in enumerate([*nodes, 0]) if n <= SMALL_LEVEL)
+    roots = levels[-1].agg(F.collect_list(F.struct("node", "n", "x0", "x1", "y0", "y1"))).scalar()  # at most FAN
     cand = left.select(
-        F.col(left_key).alias("lid"), F.col(lon).alias("lx"), F.col(lat).alias("ly")
-    ).withColumn("root", F.explode(roots)).select("lid", "lx", "ly", "root.*")
-    cand = prune(cand)
-    for i in range(_LEVELS - 2, -1, -1):
-        child = levels[i].select(
-            up("bx").alias("px"), up("by").alias("py"), F.col("bx").alias("cx"), F.col("by").alias("cy"), *box
-        )
-        child = F.broadcast(child) if i >= _BROADCAST_FROM else child
-        cand = prune(
-            cand.join(child, (cand["bx"] == child["px"]) & (cand["by"] == child["py"]))
-            .select("lid", "lx", "ly", F.col("cx").alias("bx"), F.col("cy").alias("by"), *box)
-        )
-    met = cand.join(pts, ["bx", "by"])
+        F.col(left_key).alias("lid"), F.col(lon).cast("double").alias("lx"), F.col(lat).cast("double").alias("ly")
+    ).where(_finite("lx", "ly"))
+    cand = prune(cand.withColumn("root", F.explode(roots)).select("lid", "lx", "ly", "root.*"))
+    for i in range(len(levels) - 1, 0, -1):
+        cand = prune(descend(cand, i))
+    met = descend(cand, 0)
     if exclude_same:
         met = met.where(F.col("lid") != F.col("rid"))
-    met = met.select(
-        "lid", "rid", F.round(dist(F.col("lx"), F.col("ly"), F.col("x"), F.col("y")), 6).alias("km")
-    )
+    km = dist(F.col("lx"), F.col("ly"), F.col("x"), F.col("y"))
+    met = met.select("lid", "rid", (km if digits is None else F.round(km, digits)).alias("km"))
     if k == 1:
         best = met.groupBy("lid").agg(F.min(F.struct("km", "rid")).alias("m"))
         return best.select("lid", "m.rid", "m.km", F.lit(1).alias("rank"))
@@ -141,11 +192,11 @@ def knn(
 
 
 def nearest_distance(left: DataFrame, right: DataFrame, metric: str = "planar", left_key: str = "id",
-                     lon: str = "lon", lat: str = "lat") -> DataFrame:
+                     lon: str = "lon", lat: str = "lat", digits: int | None = 6) -> DataFrame:
     """Distance in km from each left point to the nearest right location."""
     spots = right.select(lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct()
     spots = spots.withColumn("rid", F.struct(lon, lat))
-    out = knn(left, spots, 1, metric, left_key, "rid", lon, lat)
+    out = knn(left, spots, 1, metric, left_key, "rid", lon, lat, digits=digits)
     return out.select(F.col("lid").alias(left_key), F.col("km").alias("nearest_km"))
 
 
