@@ -131,6 +131,13 @@ def test_class_model_base_columns(spark):
     assert class_lm.op4_class_lm(fixtures.no_documents(spark)).count() == 0
 
 
+def test_class_model_places_of_late_partitions():
+    chunks = [part << class_lm.CHUNK_BITS | made for part in (0, 40_000, 2**25 - 1) for made in (0, 2**class_lm.CHUNK_BITS - 1)]
+    seen = [p for c in chunks for p in (class_lm.places(c, 3)[0], class_lm.places(c, 3)[-1])]
+    assert min(seen) >= 0 and len(set(seen)) == len(seen)
+    assert [int(p) >> class_lm.PLACE_BITS for p in seen[::2]] == chunks
+
+
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(2)
     classes, words = 4, 40
