@@ -13,6 +13,7 @@ from obsweave.functions.pvalues import add_p_values, kolmogorov_exact_p, kolmogo
 from obsweave.operators.polygons import add_inside, as_rings, edges, slab_index
 from obsweave.plans.running import exact_quantiles, running_sums
 from obsweave.plans.session import cut
+from obsweave.sources.raster import read_tiles, window_of
 from obsweave.sources.reference import RasterGrid
 
 
@@ -41,6 +42,18 @@ def raster_lookup(
     return with_pixel(points, grid, lon, lat).join(wide, ["row", "col"], "left").drop("row", "col")
 
 
+def raster_files_lookup(
+    points: DataFrame, path: str, bands: list[str], lon: str = "lon", lat: str = "lat", grid: RasterGrid | None = None,
+) -> DataFrame:
+    """``raster_lookup`` in a folder of raster tiles; tiles outside the box of the points are not read (eager: the box).
+
+    Points beyond every tile get NULL.
+    """
+    window = window_of(points, lon, lat)
+    raster, grid = read_tiles(points.sparkSession, path, bands if window else [], window, grid)
+    return raster_lookup(points, raster, grid, bands, lon, lat)
+
+
 def sampled_environment(
     records: DataFrame, raster: DataFrame, grid: RasterGrid, bands: list[str],
     lon: str = "lon", lat: str = "lat",

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from obsweave.operators import cells as C
 from obsweave.operators import environment as E
 from obsweave.operators import nearby as N
+from obsweave.operators.environment import raster_files_lookup, with_pixel
 from obsweave.operators.polygons import add_inside, with_polygons
 from obsweave.operators.temporal import with_period
+from obsweave.plans.session import scratch_path
 from obsweave.plans.skew import distinct_counts
 from obsweave.queries.base import (
     BOUNDARY, CLEAN, COLS, DATED, LAND, OCC, URBAN, clean, haversine_sql, inside_sql, occurrences, r, with_sql,
 )
 from obsweave.queries.temporal import nd, rnd, with_period_sql
+from obsweave.sources.raster import write_tiles
 from obsweave.sources.reference import RasterGrid, ring_table
 
 QUERIES, ORACLE = {}, {}
@@ -226,6 +229,26 @@ query(
     lambda s, d: rnd(E.raster_lookup(square_cells(s, d), raster(s), GRID, list(BANDS), "lon_c", "lat_c")),
     with_sql(CELLS, f"SELECT id, {r('lon_c')} AS lon_c, {r('lat_c')} AS lat_c, n_records, n_species, {bands_sql('lon_c', 'lat_c')} FROM sc"),
 )
+
+
+def density_at_cells(s: SparkSession, d: str) -> DataFrame:
+    """Records and mean year per pixel, written as raster tiles and looked up under the cells of the boundary's west half."""
+    per = with_pixel(clean(s, d).where("lon between 34 and 42 and lat between -5 and 5"), GRID).groupBy("row", "col").agg(
+        F.count("*").cast("double").alias("density"), F.avg("year").alias("mean_year"))
+    tidy = per.where("row >= 0 and col >= 0").unpivot(["row", "col"], ["density", "mean_year"], "band", "value")
+    path = scratch_path(s, "raster")
+    write_tiles(tidy.select("band", "row", "col", "value"), GRID, path, 32, "bil")
+    west = square_cells(s, d).select("id", "lon_c", "lat_c").where("lon_c < 38")
+    return raster_files_lookup(west, path, ["density", "mean_year"], "lon_c", "lat_c", GRID)
+
+
+query(
+    "raster_files_at_cells", lambda s, d: rnd(density_at_cells(s, d)),
+    with_sql(CELLS, f"""SELECT id, {r('lon_c')} AS lon_c, {r('lat_c')} AS lat_c, density, {r('mean_year')} AS mean_year FROM sc LEFT JOIN
+      (SELECT {ROW.format(y='lat')} AS pr, {COL.format(x='lon')} AS pc, CAST(count(*) AS DOUBLE) AS density, avg(year) AS mean_year
+       FROM cl WHERE lon BETWEEN 34 AND 42 AND lat BETWEEN -5 AND 5 GROUP BY 1, 2)
+      ON pr = {ROW.format(y='lat_c')} AND pc = {COL.format(x='lon_c')} WHERE lon_c < 38"""),
+)
 query(
     "sampled_environment",
     lambda s, d: E.sampled_environment(clean(s, d), raster(s), GRID, list(BANDS)).groupBy(*BANDS).agg(F.sum("n").alias("n")),
