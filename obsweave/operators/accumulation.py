@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from obsweave.columns import Columns
 from obsweave.functions.special import lgamma, ln_choose
@@ -172,16 +174,65 @@ def _knots(n: Column, end: Column, knots: int) -> Column:
     return F.array_distinct(F.filter(out, lambda v: v >= 1))
 
 
-@F.pandas_udf(T.LongType())
-def _poisson(mean: pd.Series, seed: pd.Series) -> pd.Series:
-    """One Poisson draw per row from the row's own seed."""
-    mask = (1 << 63) - 1
-    return pd.Series(
-        [
-            int(np.random.default_rng(int(s) & mask).poisson(m))
-            for m, s in zip(mean, seed, strict=True)
-        ]
-    )
+#: Species per leaf of the splitting tree, and leaves per node above.
+_LEAF, _FAN = 4096, 256
+
+
+def _split(key: tuple[int, ...], n: int, weights: np.ndarray) -> np.ndarray:
+    """``n`` individuals dealt by weight, the same for the same key wherever it runs."""
+    total = weights.sum()
+    if not total:
+        return np.zeros(len(weights), np.int64)
+    return np.random.default_rng([k & (1 << 63) - 1 for k in key]).multinomial(n, weights / total)
+
+
+def multinomial_draws(weights: DataFrame, key: str, weight: str, n: int, reps: int, seed: int = 123) -> DataFrame:
+    """(rep, key, x): ``reps`` samples of exactly ``n`` individuals, dealt to keys by weight; zeros are left out.
+
+    The individuals are split down a tree: over ranges of keys, then over the leaves of a
+    range, then within a leaf, each by the sums of weights below it. A split sees one
+    node's children only, so no task holds all keys and every total is exact. Rows of equal
+    keys are dealt to one by one; weights that are NULL, negative or 0 draw nothing. Without
+    any weight there are no rows.
+    """
+    own = weights.where(F.col(weight) > 0).select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w"))
+    count = own.count()
+    leaves = max(1, -(-count // (_LEAF // 2)))  # half full on average, hashes vary
+    nodes = max(1, -(-leaves // _FAN))
+    if nodes > 100_000:
+        raise ValueError("more keys than three levels hold")
+    leaf = F.pmod(F.xxhash64("_key"), F.lit(leaves)).cast("long")
+    own = cut(own.withColumn("_leaf", leaf), "weights")
+    sums = own.groupBy("_leaf").agg(F.sum("_w").alias("_w")).withColumn("_node", F.col("_leaf") % nodes)
+    # sums of doubles vary with the order of addition in their last digits only; the written ones are used throughout
+    sums = cut(sums, "leaf-weights")
+    top = sums.groupBy("_node").agg(F.sum("_w").alias("_w")).orderBy("_node").collect()  # a row per node
+    share = np.array([r["_w"] for r in top])
+    dealt = [(rep, r["_node"], int(x)) for rep in range(1, reps + 1)
+             for r, x in zip(top, _split((seed, rep), n, share)) if x]
+    spark = weights.sparkSession
+    down = spark.createDataFrame(dealt, "rep int, _node long, n long")
+
+    def children(name: str, step: int, out: str):
+        def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """Replicates of a node (left) dealt to its children (right)."""
+            right = right.sort_values([name, "_w"])
+            w, names = right["_w"].to_numpy(), right[name].to_numpy()
+            made = []
+            for rep, total in zip(left["rep"], left["n"], strict=True):
+                x = _split((seed, int(rep), step, int(group[0])), int(total), w)
+                on = np.flatnonzero(x)
+                made.append(pd.DataFrame({"rep": np.int32(rep), out: names[on], "n": x[on]}))
+            return pd.concat(made) if made else pd.DataFrame({"rep": [], out: [], "n": []})
+
+        return run
+
+    kind = own.schema["_key"].dataType.simpleString()
+    by_leaf = down.groupBy("_node").cogroup(sums.groupBy("_node")).applyInPandas(
+        children("_leaf", 1, "_leaf"), "rep int, _leaf long, n long")
+    by_key = by_leaf.groupBy("_leaf").cogroup(own.select("_leaf", "_key", "_w").groupBy("_leaf")).applyInPandas(
+        children("_key", 2, "_key"), f"rep int, _key {kind}, n long")
+    return by_key.select("rep", F.col("_key").alias(key), F.col("n").alias("x"))
 
 
 def rarefaction(
@@ -198,8 +249,8 @@ def rarefaction(
 
     All species take part unless ``top_n`` names a number of the commonest.
     The endpoint is twice the greatest count.  With ``boots`` the species counts
-    are redrawn per replicate from the estimated community; draws are independent
-    rows, and limits are normal ones from the replicates' sd.
+    are redrawn per replicate from the estimated community, unseen species included:
+    exactly n individuals each time. Limits are normal ones from the replicates' sd.
     """
     if top_n is not None:
         counts = counts.orderBy(F.desc(value), F.asc_nulls_last(species)).limit(top_n)
@@ -215,18 +266,18 @@ def rarefaction(
     n = counts.agg(F.sum("x").cast("double")).scalar()
     seen = base.where("method = 'observed'").agg(F.max("coverage")).scalar()
     deficit = 1 - F.coalesce(seen, F.lit(1.0))
-    # detected species: shrink the observed share so that the unseen mass is left over
-    p = F.col("x") / n
-    miss = F.pow(1 - p, n)
+    # detected species: shrink so that the unseen mass is left over, which the unseen species share
+    miss = F.pow(1 - F.col("x") / n, n)
     lam = counts.agg(F.sum(F.col("x") / n * F.pow(1 - F.col("x") / n, n))).scalar()
     mean = F.col("x") * (1 - F.coalesce(F.try_divide(deficit, lam), F.lit(0.0)) * miss)
-    reps = F.explode(F.sequence(F.lit(1), F.lit(boots))).alias("rep")
-    drawn = counts.select(species, mean.alias("mean"), reps).select(
-        "rep",
-        _poisson(
-            F.greatest(F.col("mean"), F.lit(0.0)), F.xxhash64(F.lit(seed), "rep", species)
-        ).alias("x"),
-    ).where("x > 0")
+    own = counts.select(F.xxhash64(species).alias("who"), mean.alias("w"))
+    size = counts.agg(F.sum("x")).first()[0] or 0
+    lost, hidden = base.agg(
+        1 - F.max(F.when(F.col("method") == "observed", F.col("coverage"))), F.max(F.col("chao1") - F.col("s_obs"))).first()
+    hidden = math.ceil(hidden or 0)
+    unseen = counts.sparkSession.range(hidden).select(
+        F.xxhash64(F.lit("unseen"), "id").alias("who"), F.lit((lost or 0.0) * size / max(hidden, 1)).alias("w"))
+    drawn = multinomial_draws(own.union(unseen), "who", "w", size, boots, seed)
     boot = drawn.groupBy("rep", "x").agg(F.count("*").alias("f"))
     sims = _estimates(boot, ["rep"], grid)
     sd = sims.groupBy(F.col("m").alias("_m")).agg(
@@ -239,3 +290,111 @@ def rarefaction(
             "upper": F.col("richness") + 1.959964 * F.col("se"),
         }
     )
+
+
+def _log_falling(a: Column, k: Column) -> Column:
+    """Log of (a - 1)(a - 2) ... (a - k) for any k < a; differences of two large log-gammas would lose its digits."""
+    rest = a - k
+    series = (1 / a - 1 / rest) / 12 - (1 / (a * a * a) - 1 / (rest * rest * rest)) / 360
+    far = k * F.ln(a) - k - (rest - 0.5) * F.log1p(-k / a) + series
+    return F.when(rest >= 32, far).otherwise(lgamma(a) - lgamma(rest))
+
+
+def _log_ratio(top: Column, base: Column, x: Column, m: Column) -> Column:
+    """Log of (top - 1) ... (top - x) over (base - 1) ... (base - x) with top = base - m, by the shorter of two ways."""
+    by_x = _log_falling(top, x) - _log_falling(base, x)
+    by_m = _log_falling(base - x, m) - _log_falling(base, m)
+    return F.when(x <= m, by_x).otherwise(by_m)
+
+
+def _unseen_share(n: float) -> Column:
+    """Expected share of individuals of species of ``x`` records that a sample of real size ``m`` misses."""
+    x, m, size = F.col("x").cast("double"), F.col("m"), F.lit(n)
+    return F.when(m < size - x + 1, x / size * F.exp(_log_ratio(size - m, size, x - 1, m))).otherwise(0.0)
+
+
+def _absent(n: float) -> Column:
+    """Chance that a species of ``x`` records is not in a sample of real size ``m``."""
+    x, m, size = F.col("x").cast("double"), F.col("m"), F.lit(n)
+    return F.when(m < size - x + 1, F.exp(_log_ratio(size - m + 1, size + 1, x, m))).otherwise(0.0)
+
+
+def _at_sizes(hist: DataFrame, what: Column, sizes: list[float]) -> dict[float, float]:
+    """Sums of ``what`` over the histogram for a few hundred sample sizes, in one pass."""
+    every = hist.withColumn("m", F.explode(F.lit(sizes)))
+    return dict(every.groupBy("m").agg(F.sum(F.col("f") * what)).collect())
+
+
+def richness_at_coverage(
+    counts: DataFrame, species: str, targets: Sequence[float], value: str = "n_records", tolerance: float = 1e-10,
+) -> DataFrame:
+    """Sample size ``m`` (real) at which the expected coverage reaches each target, and the richness there.
+
+    Below the reference sample the coverage rises with m and is inverted by sections: each
+    pass evaluates 32 sizes per target over the histogram of counts, until a section's
+    coverages differ by ``tolerance`` at most. Between n - 1 and n both curves are straight
+    lines to the estimates at n, beyond it the extrapolation has a closed inverse. Targets
+    that no sample reaches have NULL. Rows without a positive count do not take part; no
+    counts, no rows. Repeated targets give one row.
+    """
+    targets = sorted({float(t) for t in targets})
+    if not targets or targets[0] <= 0 or targets[-1] > 1:
+        raise ValueError("targets lie above 0 and at most at 1")
+    x = F.col(value).cast("long")
+    hist = cut(counts.where(x > 0).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("f")), "histogram")
+    f_of = lambda k: F.coalesce(F.sum(F.when(F.col("x") == k, F.col("f"))), F.lit(0))
+    n, s_obs, f1, f2 = hist.agg(F.sum(F.col("x") * F.col("f")), F.sum("f"), f_of(1), f_of(2)).first()
+    out = "target double, m double, method string, coverage double, richness double"
+    if not n:
+        return counts.sparkSession.createDataFrame([], out)
+    n = float(n)
+    f0 = (n - 1) / n * (f1 * f1 / (2 * f2) if f2 else f1 * (f1 - 1) / 2)
+    missed = (n - 1) * (f1 if f2 else max(f1 - 1, 0))
+    a = missed / (missed + (2 * f2 if f2 else 2)) if missed else 0.0
+    last, full = 1 - f1 / n, 1 - f1 / n * a
+    inner = [t for t in targets if t <= last]
+    # (low, coverage there, high, coverage there) per target
+    box = {t: (0.0, 0.0, n - 1, last) for t in inner}
+    points = 32
+    while True:
+        wide = [t for t, (lo, c_lo, hi, c_hi) in box.items()
+                if c_hi - c_lo > tolerance and lo < lo + (hi - lo) / (points + 1) < hi]
+        if not wide:
+            break
+        sizes = {t: [box[t][0] + (box[t][2] - box[t][0]) * i / (points + 1) for i in range(1, points + 1)] for t in wide}
+        found = {}
+        every = sorted({m for ms in sizes.values() for m in ms})
+        for at in range(0, len(every), 512):
+            found |= _at_sizes(hist, _unseen_share(n), every[at : at + 512])
+        for t, ms in sizes.items():
+            for m in ms:
+                lo, c_lo, hi, c_hi = box[t]
+                c = 1 - found[m]
+                if c < t and m > lo:
+                    box[t] = (m, c, hi, c_hi)
+                elif c >= t and m < hi:
+                    box[t] = (lo, c_lo, m, c)
+                    break
+    reached = {}
+    for t, (lo, c_lo, hi, c_hi) in box.items():
+        reached[t] = min(hi, lo + (hi - lo) * (t - c_lo) / (c_hi - c_lo)) if c_hi > c_lo else lo
+    absent, unseen = {}, {}
+    sizes = sorted(set(reached.values()))
+    for at in range(0, len(sizes), 512):
+        absent |= _at_sizes(hist, _absent(n), sizes[at : at + 512])
+        unseen |= _at_sizes(hist, _unseen_share(n), sizes[at : at + 512])
+    rows = []
+    for t in targets:
+        if t in reached:
+            rows.append((t, reached[t], "rarefaction", 1 - unseen[reached[t]], s_obs - absent[reached[t]]))
+        elif t <= full:
+            part = (t - last) / (full - last)
+            method = "observed" if part == 1 else "rarefaction"
+            rows.append((t, n - 1 + part, method, t, s_obs - f1 / n * (1 - part)))
+        elif t < 1 and a > 0:
+            more = math.log((1 - t) * n / f1) / math.log(a) - 1
+            grown = s_obs + (f0 * -math.expm1(more * math.log1p(-f1 / (n * f0 + f1))) if f0 else 0.0)
+            rows.append((t, n + more, "extrapolation", 1 - f1 / n * a ** (more + 1), grown))
+        else:
+            rows.append((t, None, None, None, None))
+    return counts.sparkSession.createDataFrame(rows, out)

@@ -10,7 +10,8 @@ from obsweave.functions.labels import rarity_class, rarity_order
 from obsweave.operators.temporal import within_top_k
 from obsweave.operators.tracking import one_row
 from obsweave.plans.running import running_sums
-from obsweave.plans.skew import distinct_count, distinct_counts
+from obsweave.plans.session import cut
+from obsweave.plans.skew import attach, distinct_count, distinct_counts
 
 
 def paths(df: DataFrame, cols: Columns = Columns(), extra: list[str] | None = None) -> DataFrame:
@@ -204,6 +205,48 @@ def pivot_counts(long: DataFrame, category: str, categories: list[str]) -> DataF
     )
 
 
+def community_rows(
+    long: DataFrame, sites: list[str], category: str, value: str = "n", block: int = 65_536,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole site by category matrix in sparse rows, and the dictionary of its columns.
+
+    A row holds the categories ``block * size`` up to the next block of one site:
+    ``numbers``, rising, and their ``counts``. However many categories a site has, no
+    row grows beyond a block. The dictionary (``category``, ``number``) numbers the names
+    from 0 in their order. ``long`` has one row per site and category; several are added up,
+    NULL names are left out, NULL sites are a site. Empty input gives empty tables.
+    """
+    named = cut(
+        long.where(F.col(category).isNotNull()).groupBy(*sites, category).agg(F.sum(value).cast("long").alias("_n")), "community")
+    sizes = named.groupBy(category).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_one", F.lit(1))
+    numbers = running_sums(sizes, ["_one", category], {"_upto": "_one"}).select(
+        category, (F.col("_upto") - 1).cast("long").alias("number"), "_rows")
+    numbers = cut(numbers, "dictionary")
+    total = named.agg(F.count(F.lit(1)).alias("n")).scalar()
+    met = attach(named, numbers, [category], ["number"], "_rows", total)
+    entries = F.array_sort(F.collect_list(F.struct("number", "_n")))
+    rows = met.groupBy(*sites, F.floor(F.col("number") / block).cast("long").alias("block")).agg(entries.alias("_e"))
+    matrix = rows.select(*sites, "block", F.col("_e.number").alias("numbers"), F.col("_e._n").alias("counts"))
+    return matrix, numbers.select(category, "number")
+
+
+def dense_slice(matrix: DataFrame, dictionary: DataFrame, sites: list[str], category: str, names: list[str]) -> DataFrame:
+    """A column per name for every site of a sparse matrix, absent combinations as 0; unknown names are all 0.
+
+    Of the matrix only the blocks that hold a name are unfolded; the other rows stand for their sites.
+    """
+    known = dict(dictionary.where(F.col(category).isin(names)).select(category, "number").collect())  # a row per name
+    cell = F.map_from_arrays("numbers", "counts")
+    wanted = F.map_filter(cell, lambda k, _: k.isin(list(known.values())))
+    rows = matrix.select(*sites, wanted.alias("_c") if known else F.lit(None).alias("_c"))
+    columns = [
+        F.coalesce(F.max(F.try_element_at("_c", F.lit(known[c]).cast("long"))), F.lit(0).cast("long")).alias(c) if c in known
+        else F.lit(0).cast("long").alias(c)
+        for c in dict.fromkeys(names)
+    ]
+    return rows.groupBy(*sites).agg(F.count(F.lit(1)).alias("_rows"), *columns).drop("_rows")
+
+
 def class_spatial(df: DataFrame, cols: Columns = Columns()) -> DataFrame:
     """Extent and sampling intensity per class; locations are distinct (lon, lat)."""
     x, y = cols.lon, cols.lat

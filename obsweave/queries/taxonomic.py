@@ -118,6 +118,22 @@ query(
     with_sql(CLEAN, f"SELECT {_cell}, " + ", ".join(
         f"count(*) FILTER (WHERE kingdom = '{k}') AS {k}" for k in _wide) + " FROM cl GROUP BY 1, 2"),
 )
+_some = ["sp_1", "sp_7", "sp_r3", "no such species"]
+query(
+    "cell_species_sparse",
+    lambda s, d: X.community_rows(X.cell_species(clean(s, d)), ["cell_x", "cell_y"], "species", block=512)[0].selectExpr(
+        "cell_x", "cell_y", "block", "array_join(numbers, ',') AS numbers", "array_join(counts, ',') AS counts"),
+    with_sql(_csp + """, nu AS (SELECT species, row_number() OVER (ORDER BY species) - 1 AS number FROM (SELECT DISTINCT species FROM inc WHERE species IS NOT NULL))""",
+      """SELECT cell_x, cell_y, number // 512 AS block, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS numbers,
+      string_agg(CAST(n AS VARCHAR), ',' ORDER BY number) AS counts FROM inc JOIN nu USING (species) GROUP BY 1, 2, 3"""),
+)
+query(
+    "cell_species_wide",
+    lambda s, d: X.dense_slice(*X.community_rows(X.cell_species(clean(s, d)), ["cell_x", "cell_y"], "species", block=512),
+                               ["cell_x", "cell_y"], "species", _some),
+    with_sql(_csp, "SELECT cell_x, cell_y, " + ", ".join(
+        f"CAST(coalesce(sum(n) FILTER (WHERE species = '{k}'), 0) AS BIGINT) AS \"{k}\"" for k in _some) + " FROM inc WHERE species IS NOT NULL GROUP BY 1, 2"),
+)
 query(
     "class_spatial", lambda s, d: rnd(X.class_spatial(occurrences(s, d))),
     with_sql(OCC, f"""SELECT class, n_records, n_species, n_locations, {r('lon_range')} AS lon_range, {r('lat_range')} AS lat_range,
@@ -237,6 +253,36 @@ query("rarefaction", lambda s, d: rnd(A.rarefaction(_counts(s, d), "species"), 4
    CAST(any_value(s_obs) AS BIGINT) AS s_obs, {r('any_value(s_obs + f0)', 4)} AS chao1
    FROM hi, s2, kn GROUP BY m, n"""))
 query("rarefaction_all_boot", lambda s, d: rnd(A.rarefaction(_counts(s, d), "species", top_n=None, boots=50, endpoint=100_000)))
+_TARGETS = (0.1, 0.5, 0.8, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.99999, 0.999999)
+_fall = "(lgamma({a}) - lgamma(({a}) - ({k})))"
+query(
+    "rarefaction_at_coverage",
+    lambda s, d: A.richness_at_coverage(_counts(s, d), "species", _TARGETS).selectExpr(
+        "target", "round(m, 2) AS m", "method", "round(coverage, 9) AS coverage", "round(richness, 4) AS richness"),
+    # halving by recursion; both curves are straight from n - 1 to n
+    with_sql(CLEAN + """,
+  tx AS (SELECT count(*) AS x FROM cl GROUP BY species),
+  hi AS (SELECT CAST(x AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS f FROM tx GROUP BY 1),
+  st AS (SELECT *, 1 - f1 / n AS last, 1 - f1 / n * a AS full_ FROM (SELECT *, (n - 1) / n * CASE WHEN f2 > 0 THEN f1 * f1 / (2 * f2) ELSE f1 * (f1 - 1) / 2 END AS f0,
+      CASE WHEN f2 > 0 THEN (n - 1) * f1 / ((n - 1) * f1 + 2 * f2) ELSE (n - 1) * greatest(f1 - 1, 0) / ((n - 1) * greatest(f1 - 1, 0) + 2) END AS a
+    FROM (SELECT sum(x * f) AS n, sum(f) AS s_obs, coalesce(sum(f) FILTER (WHERE x = 1), 0) AS f1, coalesce(sum(f) FILTER (WHERE x = 2), 0) AS f2 FROM hi)))""",
+  f"""SELECT t AS target, round(m, 2) AS m, method, round(t, 9) AS coverage, round(richness, 4) AS richness FROM (
+    WITH RECURSIVE bs AS (
+      SELECT CAST(t AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS lo, n - 1 AS hi, 0 AS k FROM st, (SELECT unnest([{', '.join(map(str, _TARGETS))}]) AS t) WHERE t <= last
+      UNION ALL
+      SELECT t, CASE WHEN c < t THEN mid ELSE lo END, CASE WHEN c < t THEN hi ELSE mid END, k + 1 FROM (
+        SELECT t, lo, bs.hi, k, (lo + bs.hi) / 2 AS mid, 1 - sum(f * CASE WHEN (lo + bs.hi) / 2 < n - x + 1
+          THEN x / n * exp({_fall.format(a='n - (lo + bs.hi) / 2', k='x - 1')} - {_fall.format(a='n', k='x - 1')}) ELSE 0 END) AS c
+        FROM bs, hi, st WHERE k < 64 GROUP BY t, lo, bs.hi, k)),
+    rr AS (SELECT t, lo AS m, 'rarefaction' AS method, sum(f * (1 - CASE WHEN lo < n - x + 1
+        THEN exp({_fall.format(a='n - lo + 1', k='x')} - {_fall.format(a='n + 1', k='x')}) ELSE 0 END)) AS richness
+      FROM bs, hi, st WHERE k = 64 GROUP BY t, lo)
+    SELECT * FROM rr UNION ALL
+    SELECT t, n - 1 + (t - last) / (full_ - last), CASE WHEN t = full_ THEN 'observed' ELSE 'rarefaction' END,
+      s_obs - f1 / n * (1 - (t - last) / (full_ - last)) FROM st, (SELECT unnest([{', '.join(map(str, _TARGETS))}]) :: DOUBLE AS t) WHERE t > last AND t <= full_
+    UNION ALL
+    SELECT t, n - 1 + ln((1 - t) * n / f1) / ln(a), 'extrapolation',
+      s_obs + f0 * (1 - pow(1 - f1 / (n * f0 + f1), ln((1 - t) * n / f1) / ln(a) - 1)) FROM st, (SELECT unnest([{', '.join(map(str, _TARGETS))}]) :: DOUBLE AS t) WHERE t > full_)"""))
 
 # ------------------------------------------------------------ assessments
 
