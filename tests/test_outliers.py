@@ -83,3 +83,25 @@ def test_work_grows_slower_than_n_to_three_halves(spark):
         work.append(sum(pairs))
     assert math.log(work[1] / work[0]) / math.log(sizes[1] / sizes[0]) < 1.5
     assert work[1] < sizes[1] ** 2 / 50
+
+
+def test_python_is_handed_a_few_mb_at_a_time(spark, monkeypatch):
+    from obsweave.operators import outliers
+    from obsweave.plans import session
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    plain = outliers.cut
+    monkeypatch.setattr(outliers, "cut", lambda df, stage="stage": seen.append(spark.conf.get(name, None)) or plain(df, stage))
+    before = spark.conf.get(name, None)
+    pdf = sets(np.random.default_rng(7), 60)
+    outlier_locations(spark.createDataFrame(pdf), exact_places=50)
+    assert seen and all(s is not None and int(s) <= session.BATCH_BYTES for s in seen)
+    assert spark.conf.get(name, None) == before
+
+
+def test_buckets_and_bounds_are_arrays_of_numbers():
+    """Structures would reach Python as one dictionary per group."""
+    from obsweave.operators import outliers
+
+    for fn in (outliers._buckets, outliers._block_bounds):
+        assert all(f.dataType.elementType.typeName() == "double" for f in fn.returnType.fields)
