@@ -4,15 +4,17 @@
 into chunks (word numbers and the chunk's own word list), so every later pass is
 arithmetic on numbers. Exchange clustering runs over the counted pairs of the
 most frequent words: each step asks for a share of the words which class would raise
-the likelihood most, and moves them. Every other word then goes to the
-class that its own neighbours make likeliest. One shuffle by word brings together
-how often every chunk has a word and beside which classes, and sends each chunk
+the likelihood most, and moves them. Every other word then starts in the
+class that its own neighbours make likeliest. From there all words are exchanged: in
+each round one shuffle by word brings together how often every chunk has a word and
+beside which classes, moves a share of the words, and sends each chunk
 the counts and classes of its own words; nothing of the size of the vocabulary
-is held in one place.
+is held in one place. A last pass counts the class pairs that the scores use.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsweave.llm.common import LOWER, held, keep, texts
+from obsweave.llm.common import KEPT, LOWER, drop_kept, held, keep, texts, tidy
 
 CLASSES = 48
-#: Words whose classes are found by exchange, most frequent first; the rest follow their neighbours.
+#: Words exchanged among themselves first, most frequent first, so that all others start beside known classes.
 EXCHANGED = 2000
 #: Steps, and how many steps visit every word once: words that move together do not see each other move.
 SWEEPS, SHARES = 8, 4
+#: Rounds over all words, each moving one of as many shares of them.
+ROUNDS = 2
+#: Shares of the chunks that are joined to their answers one after the other, which bounds the shuffled bytes.
+TOLD_PARTS = 4
 CHUNK_TOKENS = 2_000_000
 #: Rows of a partition of the word table.
 WORD_ROWS = 300_000
@@ -108,7 +114,7 @@ def encoded(docs: DataFrame, modulus: int, chunk_tokens: int = CHUNK_TOKENS) ->
         T.StructField("tokens", T.BinaryType()), T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("seen", T.ArrayType(T.LongType())),
     ])
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -167,7 +173,7 @@ def frequent_pairs(chunks: DataFrame, names: np.ndarray) -> DataFrame:
             codes, n = _counted(line[:-1] * (k + 2) + line[1:], 0)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-    counts = chunks.select("held_out", "lengths", "tokens", "words").mapInArrow(run, "code long, n long")
+    counts = chunks.select("held_out", "lengths", "tokens", "words").mapInArrow(tidy(run), "code long, n long")
     counts = counts.groupBy("code").agg(F.sum("n").alias("n"))
     return counts.select(F.expr(f"code div {k + 2}").alias("v"), F.expr(f"code % {k + 2}").alias("w"), "n")
 
@@ -290,16 +296,15 @@ def word_rows(chunks: DataFrame, names: np.ndarray, label: np.ndarray, classes:
             )
 
     return chunks.select("chunk", "held_out", "lengths", "tokens", "words", "seen").mapInArrow(
-        run, "word long, place long, code short, n int")
+        tidy(run), "word long, place long, code short, n int")
 
 
 #: Kinds of statistics that the word table reports beside its answers, as negative places.
-TYPES, ONCE, TWICE, IN_CLASS, FROM, AFTER_ONCE, TO = range(1, 8)
+TYPES, ONCE, TWICE, IN_CLASS = range(1, 5)
 
 
 def answered(rows: DataFrame, partitions: int, names: np.ndarray, label: np.ndarray, best, classes: int) -> DataFrame:
-    """``place`` and ``answer`` (training count times 256, class) for every word of every chunk, and
-    sums for the model under negative places: kind * 65536 + two classes."""
+    """``place`` and ``answer`` (training count times 256, class) for every word of every chunk."""
     c2, order = classes + 2, np.argsort(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +321,6 @@ def answered(rows: DataFrame, partitions: int, names: np.ndarray, label: np.ndar
         c = _lookup(names[order], label[: len(names)][order], words, -1)
         between = np.flatnonzero(~ask)
         before, after = np.divmod(code[between].astype(np.int64), c2)
-        stats = []
         # words outside the exchange, some thousands at a time
         others = np.flatnonzero(c < 0)
         spot = np.full(len(words), -1)
@@ -331,58 +335,160 @@ def answered(rows: DataFrame, partitions: int, names: np.ndarray, label: np.ndar
             np.add.at(left, (mine[low:high] - first, before[low:high]), m[low:high])
             np.add.at(right, (mine[low:high] - first, after[low:high]), m[low:high])
             c[part] = best(left, right)
-        own = c[others][mine] if len(others) else mine
-        once = total[others][mine] == 1 if len(others) else mine == -1
-
-        def add(kind: int, key: np.ndarray, weight: np.ndarray) -> None:
-            at, value = np.unique(key, return_inverse=True)
-            stats.append((-(kind * 65536 + at), np.bincount(value, weight, minlength=len(at)).astype(np.int64)))
-
-        one = np.ones(len(words))
-        add(TYPES, np.zeros(int((total > 0).sum()), np.int64), one[total > 0])
-        add(ONCE, np.zeros(int((total == 1).sum()), np.int64), one[total == 1])
-        add(TWICE, np.zeros(int((total == 2).sum()), np.int64), one[total == 2])
-        add(IN_CLASS, c[total > 0], one[total > 0])
-        add(FROM, before * 256 + own, m)
-        add(AFTER_ONCE, after[once], m[once])
-        add(TO, own * 256 + after, m)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([place[ask], *(s[0] for s in stats)])),
-             pa.array(np.concatenate([(total * 256 + np.maximum(c, 0))[row[ask]], *(s[1] for s in stats)]))],
-            ["place", "answer"],
-        )
+            [pa.array(place[ask]), pa.array((total * 256 + np.maximum(c, 0))[row[ask]])], ["place", "answer"])
+
+    return rows.repartition(partitions, "word").mapInArrow(tidy(run), "place long, answer long")
 
-    return rows.repartition(partitions, "word").mapInArrow(run, "place long, answer long")
 
+def best_of_many(
+    left: np.ndarray, right: np.ndarray, loops: np.ndarray, own: np.ndarray, between: np.ndarray, classes: int
+) -> np.ndarray:
+    """``best_classes`` for many words at once, in time that grows with the classes beside them."""
+    each = np.arange(len(own))
+    total_in, total_out = left.sum(axis=1) + loops, right.sum(axis=1) + loops
+    rows, columns = (np.tile(between.sum(axis=k).astype(float), (len(own), 1)) for k in (1, 0))
+    rows[each, own] -= total_out
+    columns[each, own] -= total_in
+    gain = _xlogx(rows) - _xlogx(rows + total_out[:, None]) + _xlogx(columns) - _xlogx(columns + total_in[:, None])
+    for side, other, counts in ((right, left, between.T), (left, right, between)):
+        word, c = np.nonzero(side)
+        if not len(word):
+            continue
+        n, a = side[word, c], own[word]
+        rest = counts[c].astype(float)
+        rest[np.arange(len(word)), a] -= n
+        same = np.flatnonzero(c == a)
+        rest[same] -= other[word[same]]
+        rest[same, a[same]] -= loops[word[same]]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        gain[word[first]] += np.add.reduceat(_xlogx(rest + n[:, None]) - _xlogx(rest), first, axis=0)
+    corner = np.tile(between.diagonal().astype(float), (len(own), 1))
+    corner[each, own] -= left[each, own] + right[each, own] + loops
+    gain += (
+        _xlogx(corner + left + right + loops[:, None]) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
+    )
+    return gain[:, :classes].argmax(axis=1)
+
+
+def _told(row: dict) -> np.ndarray:
+    """The answers of a chunk's words, in their order."""
+    known = row["known"]
+    out = np.zeros(len(known) if known is not None else 0, np.int64)
+    if len(out):
+        out[row["at"]] = known
+    return out
 
-def transitions(between: np.ndarray, sums: dict[int, dict[int, int]], classes: int) -> np.ndarray:
-    """Counts of class pairs: from a class, an end (``classes``) or a word seen once (``classes`` + 1);
-    to a class or an end.
 
-    Pairs of two words outside the exchange are known by one side's class at a time, and
-    are dealt to the other side's classes in proportion.
-    """
-    rare, end = classes, classes + 1
-    moves = np.zeros((classes + 2, classes + 1))
-    to = [*range(classes), end]
-    moves[:classes] = between[:classes][:, to]
-    moves[classes] = between[end][to]
-    after_rare = np.zeros(classes)  # classes of those words, after another of them
-    for key, n in sums.get(FROM, {}).items():
-        before, own = divmod(key, 256)
-        if before == rare:
-            after_rare[own] += n
-        else:
-            moves[classes if before == end else before, own] += n
-    share = after_rare / max(after_rare.sum(), 1)
-    for row, key_class in ((key, sums.get(kind, {})) for kind, key in ((TO, None), (AFTER_ONCE, classes + 1))):
-        for key, n in key_class.items():
-            own, after = divmod(key, 256) if row is None else (row, key)
-            if after == rare:
-                moves[own, :classes] += n * share
-            else:
-                moves[own, classes if after == end else after] += n
-    return moves
+def told(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The chunks next to the answers to their words, written once; a share of the chunks is shuffled at a time."""
+    out = []
+    for part in range(TOLD_PARTS):
+        mine = lambda chunk: F.pmod(F.xxhash64(chunk), F.lit(TOLD_PARTS)) == part
+        of_place = answers.where("place >= 0").withColumn("chunk", F.shiftright("place", PLACE_BITS)).where(mine("chunk"))
+        by_chunk = of_place.groupBy("chunk").agg(
+            F.collect_list((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("at"), F.collect_list("answer").alias("known"))
+        own = chunks.where(mine("chunk")).drop("seen", "at", "known")
+        out.append(keep(own.join(by_chunk, "chunk", "left"), "told"))
+    return functools.reduce(DataFrame.unionAll, out)
+
+
+def class_pairs(known: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class pairs in training texts: rows and columns are classes, then words seen once
+    (a row of their own beside their class's; no column), then ends."""
+    c2 = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            answer = _told(row)
+            values, lengths = _training(row, row["tokens"])
+            line = _with_ends((answer & 0xFF)[values], lengths, classes + 1)
+            once = _with_ends((answer >> 8 == 1)[values], lengths, False)[:-1]
+            codes = line[:-1] * c2 + line[1:]
+            at, n = _counted(np.concatenate([codes, classes * c2 + line[1:][once]]), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["code", "n"])
+
+    counts = known.select("held_out", "lengths", "tokens", "at", "known").mapInArrow(tidy(run), "code long, n long")
+    out = np.zeros(c2 * c2)
+    for r in counts.groupBy("code").agg(F.sum("n").alias("n")).collect():  # classes squared
+        out[r["code"]] = r["n"]
+    return out.reshape(c2, c2)
+
+
+def neighbour_rows(known: DataFrame, share: int, shares: int, classes: int) -> DataFrame:
+    """Rows keyed by word: where a chunk has it, with the answer so far as ``n`` (``code`` -1), and, for
+    the words of one share, how often they stand between which classes (``code``).
+    Class ``classes`` stands for the word itself."""
+    c2 = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, answer = row["words"], _told(row)
+            values, lengths = _training(row, row["tokens"])
+            line = _with_ends((answer & 0xFF)[values], lengths, classes + 1)
+            word = _with_ends(values, lengths, -1).astype(np.int64)
+            visited = np.append(words.view(np.uint64) % np.uint64(shares) == share, False)  # -1 is an end
+            at = np.flatnonzero(visited[word])
+            own = word[at]
+            before = np.where(word[at - 1] == own, classes, line[at - 1])
+            after = np.where(word[at + 1] == own, classes, line[at + 1])
+            codes, n = np.unique((own * c2 + before) * c2 + after, return_counts=True)
+            own, code = np.divmod(codes, c2 * c2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([words, words[own]])),
+                 pa.array(np.concatenate([places(row["chunk"], len(words)), np.zeros(len(own), np.int64)])),
+                 pa.array(np.concatenate([np.full(len(words), -1), code]).astype(np.int16)),
+                 pa.array(np.concatenate([answer, n]))],
+                ["word", "place", "code", "n"],
+            )
+
+    return known.select("chunk", "held_out", "lengths", "tokens", "words", "at", "known").mapInArrow(
+        tidy(run), "word long, place long, code short, n long")
+
+
+def exchanged_words(rows: DataFrame, partitions: int, between: np.ndarray, classes: int) -> DataFrame:
+    """``place`` and ``answer`` after the words that came with neighbours moved, and counts of words under
+    negative places: kind * 65536 + class."""
+    c2 = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        del found
+        word, place, code, n = (table[c].to_numpy() for c in ("word", "place", "code", "n"))
+        del table
+        words, row = np.unique(word, return_inverse=True)
+        ask = code < 0
+        answer = np.zeros(len(words), np.int64)
+        answer[row[ask]] = n[ask]  # every chunk was told the same
+        total, c = answer >> 8, answer & 0xFF
+        beside = np.flatnonzero(~ask)
+        beside = beside[np.argsort(row[beside], kind="stable")]
+        mine, m = row[beside], n[beside].astype(float)
+        before, after = np.divmod(code[beside].astype(np.int64), c2)
+        visited = np.unique(mine)
+        spot = np.searchsorted(visited, mine)
+        for first in range(0, len(visited), 4096):
+            part = visited[first : first + 4096]
+            low, high = np.searchsorted(spot, [first, first + 4096])
+            left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
+            np.add.at(left, (spot[low:high] - first, before[low:high]), m[low:high])
+            np.add.at(right, (spot[low:high] - first, after[low:high]), m[low:high])
+            loops = left[:, classes].copy()
+            left[:, classes] = right[:, classes] = 0
+            c[part] = best_of_many(left, right, loops, c[part], between, classes)
+        stats = {TYPES << 16: (total > 0).sum(), ONCE << 16: (total == 1).sum(), TWICE << 16: (total == 2).sum()}
+        in_class = np.bincount(c[total > 0], minlength=classes)
+        keys = np.concatenate([list(stats), (IN_CLASS << 16) + np.arange(classes)]).astype(np.int64)
+        sums = np.concatenate([list(stats.values()), in_class]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([place[ask], -keys])), pa.array(np.concatenate([(total * 256 + c)[row[ask]], sums]))],
+            ["place", "answer"],
+        )
+
+    return rows.repartition(partitions, "word").mapInArrow(tidy(run), "place long, answer long")
 
 
 class Scores:
@@ -415,13 +521,14 @@ class Scores:
         return np.bincount(owner, p, minlength=len(lengths))
 
 
-def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exchanged: int = EXCHANGED) -> DataFrame:
+def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is its end alone. Repeated rows each train and get a row.
     Without training texts every token has probability 1 of being the unknown word.
     """
     doc_field = docs.schema["doc_id"]
+    before = set(KEPT)
     chunks = keep(encoded(docs, modulus), "chunks")
     sizes = chunks.agg(
         F.sum(F.size(F.filter("held_out", lambda h: ~h))).alias("ends"),
@@ -443,6 +550,15 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     rows = word_rows(chunks, names, label, classes)
     partitions = max(8, 2 * (sizes["rows"] or 0) // WORD_ROWS)
     answers = keep(answered(rows, partitions, names, label, best_by_neighbours(between, classes), classes), "answers")
+    spark = docs.sparkSession
+    for share in range(rounds):
+        stale = [p for p in KEPT if p not in before]
+        chunks = told(chunks, answers)
+        drop_kept(spark, stale)  # the chunks are written anew
+        rows = neighbour_rows(chunks, share, rounds, classes)
+        pairs_now = class_pairs(chunks, classes)
+        pairs_now[classes] = 0  # words seen once are in their classes
+        answers = keep(exchanged_words(rows, partitions, pairs_now, classes), "answers")
     sums: dict[int, dict[int, int]] = {}
     for r in answers.where("place < 0").groupBy("place").agg(F.sum("answer").alias("n")).collect():  # classes squared
         kind, key = divmod(-r["place"], 65536)
@@ -450,18 +566,18 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     count = lambda kind: sums.get(kind, {}).get(0, 0)
     n_types = count(TYPES) + (ends > 0)
     types = np.array([sums.get(IN_CLASS, {}).get(c, 0) for c in range(classes)], float)
-    scores = Scores(transitions(between, sums, classes), types, count(ONCE), count(TWICE), classes)
-
-    by_chunk = answers.where("place >= 0").groupBy(F.shiftright("place", PLACE_BITS).alias("chunk")).agg(
-        F.collect_list((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("at"), F.collect_list("answer").alias("known"))
-    known = chunks.select("chunk", "ids", "held_out", "lengths", "tokens").join(by_chunk, "chunk", "left")
+    stale = [p for p in KEPT if p not in before]
+    known = told(chunks, answers)
+    drop_kept(spark, stale)
+    counted = class_pairs(known, classes)
+    # from a class, an end or a word seen once; to a class or an end
+    moves = counted[[*range(classes), classes + 1, classes]][:, [*range(classes), classes + 1]]
+    scores = Scores(moves, types, count(ONCE), count(TWICE), classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            known_ = row["known"] if row["known"] is not None else np.zeros(0, np.int64)
-            n, c = np.zeros((2, len(known_)), np.int64)
-            if len(known_):
-                n[row["at"]], c[row["at"]] = known_ >> 8, known_ & 0xFF
+            answer = _told(row)
+            n, c = answer >> 8, answer & 0xFF
             tokens, lengths = row["tokens"], row["lengths"].astype(np.int64)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             floor = -np.log10(n_all + n_types + 1)
@@ -479,7 +595,8 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
 
     schema = T.StructType([doc_field, *T.StructType.fromDDL(
         "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return known.mapInArrow(run, schema)
+    columns = known.select("ids", "held_out", "lengths", "tokens", "at", "known")
+    return columns.mapInArrow(tidy(run), schema)
 
 
 def _between(pairs: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:

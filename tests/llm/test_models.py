@@ -235,3 +235,33 @@ def test_classifier_keeps_prose_and_drops_junk(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert kneser_ney.op8_quality_classifier(docs, labels).where("kept").count() == 0
     assert kneser_ney.op8_quality_classifier(fixtures.no_documents(spark), labels).count() == 0
+
+
+def test_best_of_many_is_best_class_of_each():
+    rng = np.random.default_rng(8)
+    size, classes = 40, 4
+    n = rng.integers(0, 4, (size, size)).astype(float)
+    label = np.concatenate([np.arange(size - 2) % classes, [classes, classes + 1]])
+    one = np.eye(classes + 2)[label]
+    between = one.T @ n @ one
+    off = n - np.diag(np.diag(n))
+    own = np.arange(size - 2)
+    left, right = (off.T @ one)[own], (off @ one)[own]
+    got = class_lm.best_of_many(left, right, np.diag(n)[own], label[own], between, classes)
+    assert list(got) == list(class_lm.best_classes(left, right, np.diag(n)[own], label[own], between, classes))
+
+
+def test_words_outside_the_first_exchange_are_exchanged(spark):
+    """Two kinds of words in turn; only four words are exchanged first, the rounds have to sort the rest."""
+    rng = random.Random(3)
+    kinds = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(kinds[i % 2]) for i in range(60))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def total(rounds):
+        got = class_lm.fit_and_score(docs, classes=4, exchanged=4, rounds=rounds).collect()
+        return sum(r["score"] for r in got if not r["held_out"]) / sum(r["n_tokens"] for r in got if not r["held_out"])
+
+    assert total(2) > total(1) - 1e-9
+    # a word of 40 after each: a class for either kind knows the next one's kind
+    assert total(2) > -math.log10(40) - 0.1
