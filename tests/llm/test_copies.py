@@ -100,6 +100,64 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.op9_suffix_array_dedup(fixtures.no_documents(spark)).count() == 0
 
 
+def edited(rng, text):
+    """The text with a few bytes changed, dropped or put in."""
+    out = bytearray(text)
+    for _ in range(rng.randint(0, 4)):
+        k = rng.randrange(len(out))
+        out[k : k + rng.randint(0, 2)] = bytes(rng.choices(b"abcd", k=rng.randint(0, 2)))
+    return bytes(out)
+
+
+@pytest.fixture
+def small_pieces(spark):
+    """Partitions that stay apart, and batches of 40 rows."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "40"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("beside", [1, 2, 16])
+def test_repeats_of_many_near_copies(spark, small_pieces, beside):
+    """Crowds larger than the suffixes compared, periods, and passages that repeat inside one text, all of them
+    across partitions and batches."""
+    rng = random.Random(beside)
+    base = bytes(rng.choices(b"abcd", k=400))
+    texts = {edited(rng, base) for _ in range(60)} | {b"ab" * 150, b"a" * 333, base[:90] * 3 + b"x", base[:29], base[:30], base[50:81]}
+    texts |= {bytes(rng.choices(b"abcd", k=200)) + base[k : k + rng.randint(20, 50)] for k in range(0, 300, 11)}
+    texts = sorted(texts)
+    docs = spark.createDataFrame([(k.to_bytes(16, "little"), t.decode()) for k, t in enumerate(texts)], "key binary, text string")
+    got = {int.from_bytes(r["key"], "little"): list(zip(r["starts"], r["ends"])) for r in suffix_dedup.repeated(docs, 30, beside).collect()}
+    for k, on in enumerate(removed(texts, 30)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
+        assert got.get(k, []) == list(zip(edge[::2], edge[1::2]))
+
+
+def test_two_near_copies_need_no_fingerprints(spark, monkeypatch):
+    """Suffixes next to each other decide every string, edges of repeats too, and few tables are written on the way."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        base = bytes(rng.choices(b"abcdefgh ", k=1500))
+        rows += [((2 * k + i).to_bytes(16, "little"), edited(rng, base).decode()) for i in range(2)]
+    kept, keep = {}, common.keep
+
+    def noted(df, name):
+        kept.setdefault(name, []).append(keep(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(suffix_dedup, "keep", noted)
+    assert suffix_dedup.repeated(spark.createDataFrame(rows, "key binary, text string").repartition(1)).count() > 60
+    assert sum(map(len, kept.values())) <= 4
+    (marked,) = kept["marked"]
+    known = marked.where("p is null").select((marked["end"] - marked["start"] - 199).alias("n")).groupBy().sum("n").first()[0]
+    assert marked.where("p is not null").count() < known / 20
+
+
 @pytest.mark.parametrize("rounds", [1, 2, 3])
 def test_suffix_ranks_follow_the_order(spark, rounds):
     rng = random.Random(rounds)
