@@ -9,7 +9,7 @@ class that its own neighbours make likeliest. From there all words are exchanged
 each round one shuffle by word brings together how often every chunk has a word and
 beside which classes, moves a share of the words, and sends each chunk
 the counts and classes of its own words; nothing of the size of the vocabulary
-is held in one place. A last pass counts the class pairs that the scores use.
+is held in one place. Words travel in blocks: what one chunk has to say of one bucket of words is a row. A last pass counts the class pairs that the scores use.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsweave.llm.common import KEPT, LOWER, drop_kept, held, keep, texts, tidy
+from obsweave.plans.session import small_batches
 
 CLASSES = 48
 #: Words exchanged among themselves first, most frequent first, so that all others start beside known classes.
@@ -35,7 +36,7 @@ ROUNDS = 2
 #: Shares of the chunks that are joined to their answers one after the other, which bounds the shuffled bytes.
 TOLD_PARTS = 4
 CHUNK_TOKENS = 2_000_000
-#: Rows of a partition of the word table.
+#: Words of chunks, and their neighbours, in half a bucket of the word table.
 WORD_ROWS = 300_000
 #: Bits of a chunk's number within its partition (33 billion tokens) and of a word's place within its chunk;
 #: 25 remain for the partition.
@@ -271,9 +272,94 @@ def places(chunk: int, n: int) -> np.ndarray:
     return chunk << PLACE_BITS | np.arange(n)
 
 
-def word_rows(chunks: DataFrame, names: np.ndarray, label: np.ndarray, classes: int) -> DataFrame:
-    """Rows keyed by word: where a chunk has it and how often its training texts do (``code`` -1), and,
-    for words outside the exchange, how often they stand between which classes (``code``)."""
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word, by the upper half of its hash; the lower bits choose its share."""
+    return ((words.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+_BLOCK = "bucket int, chunk long, word binary, place binary, n binary, own binary, code binary, beside binary"
+_BLOCK_TYPES = {"word": np.int64, "place": np.int64, "n": np.int64, "own": np.int32, "code": np.int16, "beside": np.int32}
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value for each of some consecutive pieces."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(
+        pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all pieces in a row, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data else np.zeros(0, kind)
+    return values, np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _blocks(row: dict, buckets: int, n: np.ndarray, own: np.ndarray, code: np.ndarray, beside: np.ndarray) -> pa.RecordBatch:
+    """What a chunk says of each bucket: its words, their places and ``n``; and how often (``beside``) its word
+    ``own``, by the place in the block, stands between which classes (``code``)."""
+    words = row["words"]
+    bucket = bucket_of(words, buckets)
+    order = np.argsort(bucket, kind="stable")
+    sizes = np.bincount(bucket, minlength=buckets)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    by = np.argsort(bucket[own], kind="stable")
+    own, code, beside = own[by], code[by], beside[by]
+    beside_sizes = np.bincount(bucket[own], minlength=buckets)
+    own = rank[own] - (np.cumsum(sizes) - sizes)[bucket[own]]
+    values = {"word": words[order], "place": places(row["chunk"], len(words))[order], "n": n[order], "own": own, "code": code, "beside": beside}
+    on = np.flatnonzero(sizes)
+    columns = {
+        "bucket": pa.array(on.astype(np.int32)), "chunk": pa.array(np.full(len(on), row["chunk"], np.int64)),
+        **{c: _packed(v.astype(_BLOCK_TYPES[c]), (sizes if k < 3 else beside_sizes)[on]) for k, (c, v) in enumerate(values.items())},
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One bucket at a time, all chunks' blocks in a row; ``row`` and ``own`` are places in ``words`` (distinct, sorted)."""
+
+    def joined(parts: list[pa.RecordBatch]) -> dict:
+        found = {c: [_unpacked(p.column(p.schema.get_field_index(c)), kind) for p in parts] for c, kind in _BLOCK_TYPES.items()}
+        out = {c: np.concatenate([values for values, _ in f]) for c, f in found.items()}
+        sizes, beside_sizes = (np.concatenate([n for _, n in found[c]]) for c in ("word", "own"))
+        out["words"], out["row"] = np.unique(out["word"], return_inverse=True)
+        out["own"] = out["row"][out["own"] + np.repeat(np.cumsum(sizes) - sizes, beside_sizes)]
+        out["chunks"] = pa.concat_arrays([p.column(p.schema.get_field_index("chunk")) for p in parts])
+        out["sizes"] = sizes
+        return out
+
+    parts, bucket = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if parts and of[begin] != bucket:
+                yield joined(parts)
+                parts = []
+            bucket = of[begin]
+            parts.append(batch.slice(begin, end - begin))
+    if parts:
+        yield joined(parts)
+
+
+_ANSWER = "chunk long, place binary, answer binary, n long"
+
+
+def _answers(found: dict, answer: np.ndarray) -> pa.RecordBatch:
+    """The answers to a bucket's words, a row per chunk."""
+    columns = [found["chunks"], _packed(found["place"], found["sizes"]), _packed(answer[found["row"]].astype(np.int64), found["sizes"]),
+               pa.array(np.zeros(len(found["sizes"]), np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "place", "answer", "n"])
+
+
+def word_rows(chunks: DataFrame, names: np.ndarray, label: np.ndarray, classes: int, buckets: int) -> DataFrame:
+    """Blocks: how often the training texts of a chunk have its words, and, for words outside the exchange,
+    how often they stand between which classes."""
     k, c2 = len(names), classes + 2
     order = np.argsort(names)
 
@@ -281,64 +367,53 @@ def word_rows(chunks: DataFrame, names: np.ndarray, label: np.ndarray, classes:
         for row in _rows(batches):
             words = row["words"]
             number = _lookup(names[order], order, words, k)
-            place = places(row["chunk"], len(words))
             values, lengths = _training(row, row["tokens"])
             line = _with_ends(label[number[values]], lengths, classes + 1)
             at = np.flatnonzero(line == classes)
             word = _with_ends(values, lengths, -1)[at].astype(np.int64)
             codes, n = np.unique((word * c2 + line[at - 1]) * c2 + line[at + 1], return_counts=True)
             word, code = np.divmod(codes, c2 * c2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([words, words[word]])), pa.array(np.concatenate([place, np.zeros(len(word), np.int64)])),
-                 pa.array(np.concatenate([np.full(len(words), -1), code]).astype(np.int16)),
-                 pa.array(np.concatenate([row["seen"], n]).astype(np.int32))],
-                ["word", "place", "code", "n"],
-            )
+            yield _blocks(row, buckets, row["seen"], word, code, n)
 
-    return chunks.select("chunk", "held_out", "lengths", "tokens", "words", "seen").mapInArrow(
-        tidy(run), "word long, place long, code short, n int")
+    return chunks.select("chunk", "held_out", "lengths", "tokens", "words", "seen").mapInArrow(tidy(run), _BLOCK)
 
 
-#: Kinds of statistics that the word table reports beside its answers, as negative places.
+#: Kinds of statistics that the word table reports beside its answers, as negative chunks.
 TYPES, ONCE, TWICE, IN_CLASS = range(1, 5)
 
 
-def answered(rows: DataFrame, partitions: int, names: np.ndarray, label: np.ndarray, best, classes: int) -> DataFrame:
-    """``place`` and ``answer`` (training count times 256, class) for every word of every chunk."""
+def gathered(rows: DataFrame, buckets: int) -> DataFrame:
+    """The blocks of each bucket next to each other."""
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def answered(rows: DataFrame, buckets: int, names: np.ndarray, label: np.ndarray, best, classes: int) -> DataFrame:
+    """``place`` and ``answer`` (training count times 256, class) for every word of every chunk, in blocks."""
     c2, order = classes + 2, np.argsort(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        table = pa.Table.from_batches(found)
-        del found
-        word, place, code, n = (table[c].to_numpy() for c in ("word", "place", "code", "n"))
-        del table
-        words, row = np.unique(word, return_inverse=True)
-        ask = code < 0
-        total = np.bincount(row[ask], n[ask], minlength=len(words)).astype(np.int64)
-        c = _lookup(names[order], label[: len(names)][order], words, -1)
-        between = np.flatnonzero(~ask)
-        before, after = np.divmod(code[between].astype(np.int64), c2)
-        # words outside the exchange, some thousands at a time
-        others = np.flatnonzero(c < 0)
-        spot = np.full(len(words), -1)
-        spot[others] = np.arange(len(others))
-        mine = spot[row[between]]
-        by = np.argsort(mine, kind="stable")
-        mine, before, after, m = mine[by], before[by], after[by], n[between][by]
-        for first in range(0, len(others), 8192):
-            part = others[first : first + 8192]
-            low, high = np.searchsorted(mine, [first, first + 8192])
-            left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
-            np.add.at(left, (mine[low:high] - first, before[low:high]), m[low:high])
-            np.add.at(right, (mine[low:high] - first, after[low:high]), m[low:high])
-            c[part] = best(left, right)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(place[ask]), pa.array((total * 256 + np.maximum(c, 0))[row[ask]])], ["place", "answer"])
-
-    return rows.repartition(partitions, "word").mapInArrow(tidy(run), "place long, answer long")
+        for found in _by_bucket(batches):
+            words, row = found["words"], found["row"]
+            total = np.bincount(row, found["n"], minlength=len(words)).astype(np.int64)
+            c = _lookup(names[order], label[: len(names)][order], words, -1)
+            before, after = np.divmod(found["code"].astype(np.int64), c2)
+            # words outside the exchange, some thousands at a time
+            others = np.flatnonzero(c < 0)
+            spot = np.full(len(words), -1)
+            spot[others] = np.arange(len(others))
+            mine = spot[found["own"]]
+            by = np.argsort(mine, kind="stable")
+            mine, before, after, m = mine[by], before[by], after[by], found["beside"][by]
+            for first in range(0, len(others), 8192):
+                part = others[first : first + 8192]
+                low, high = np.searchsorted(mine, [first, first + 8192])
+                left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
+                np.add.at(left, (mine[low:high] - first, before[low:high]), m[low:high])
+                np.add.at(right, (mine[low:high] - first, after[low:high]), m[low:high])
+                c[part] = best(left, right)
+            yield _answers(found, total * 256 + np.maximum(c, 0))
+
+    return gathered(rows, buckets).mapInArrow(tidy(run), _ANSWER)
 
 
 def best_of_many(
@@ -373,10 +448,11 @@ def best_of_many(
 
 def _told(row: dict) -> np.ndarray:
     """The answers of a chunk's words, in their order."""
-    known = row["known"]
-    out = np.zeros(len(known) if known is not None else 0, np.int64)
-    if len(out):
-        out[row["at"]] = known
+    if row["known"] is None:
+        return np.zeros(0, np.int64)
+    known = np.frombuffer(b"".join(row["known"]), np.int64)
+    out = np.zeros(len(known), np.int64)
+    out[np.frombuffer(b"".join(row["at"]), np.int64) & (1 << PLACE_BITS) - 1] = known
     return out
 
 
@@ -385,9 +461,8 @@ def told(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     out = []
     for part in range(TOLD_PARTS):
         mine = lambda chunk: F.pmod(F.xxhash64(chunk), F.lit(TOLD_PARTS)) == part
-        of_place = answers.where("place >= 0").withColumn("chunk", F.shiftright("place", PLACE_BITS)).where(mine("chunk"))
-        by_chunk = of_place.groupBy("chunk").agg(
-            F.collect_list((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("at"), F.collect_list("answer").alias("known"))
+        by_chunk = answers.where("chunk >= 0").where(mine("chunk")).groupBy("chunk").agg(
+            F.collect_list("place").alias("at"), F.collect_list("answer").alias("known"))
         own = chunks.where(mine("chunk")).drop("seen", "at", "known")
         out.append(keep(own.join(by_chunk, "chunk", "left"), "told"))
     return functools.reduce(DataFrame.unionAll, out)
@@ -415,10 +490,9 @@ def class_pairs(known: DataFrame, classes: int) -> np.ndarray:
     return out.reshape(c2, c2)
 
 
-def neighbour_rows(known: DataFrame, share: int, shares: int, classes: int) -> DataFrame:
-    """Rows keyed by word: where a chunk has it, with the answer so far as ``n`` (``code`` -1), and, for
-    the words of one share, how often they stand between which classes (``code``).
-    Class ``classes`` stands for the word itself."""
+def neighbour_rows(known: DataFrame, share: int, shares: int, classes: int, buckets: int) -> DataFrame:
+    """Blocks: the answers so far to a chunk's words, and, for the words of one share, how often they stand
+    between which classes. Class ``classes`` stands for the word itself."""
     c2 = classes + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,61 +508,44 @@ def neighbour_rows(known: DataFrame, share: int, shares: int, classes: int) -> D
             after = np.where(word[at + 1] == own, classes, line[at + 1])
             codes, n = np.unique((own * c2 + before) * c2 + after, return_counts=True)
             own, code = np.divmod(codes, c2 * c2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([words, words[own]])),
-                 pa.array(np.concatenate([places(row["chunk"], len(words)), np.zeros(len(own), np.int64)])),
-                 pa.array(np.concatenate([np.full(len(words), -1), code]).astype(np.int16)),
-                 pa.array(np.concatenate([answer, n]))],
-                ["word", "place", "code", "n"],
-            )
+            yield _blocks(row, buckets, answer, own, code, n)
 
-    return known.select("chunk", "held_out", "lengths", "tokens", "words", "at", "known").mapInArrow(
-        tidy(run), "word long, place long, code short, n long")
+    return known.select("chunk", "held_out", "lengths", "tokens", "words", "at", "known").mapInArrow(tidy(run), _BLOCK)
 
 
-def exchanged_words(rows: DataFrame, partitions: int, between: np.ndarray, classes: int) -> DataFrame:
-    """``place`` and ``answer`` after the words that came with neighbours moved, and counts of words under
-    negative places: kind * 65536 + class."""
+def exchanged_words(rows: DataFrame, buckets: int, between: np.ndarray, classes: int) -> DataFrame:
+    """``place`` and ``answer`` after the words that came with neighbours moved, in blocks, and counts of words
+    (``n``) under negative chunks: kind * 65536 + class."""
     c2 = classes + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        table = pa.Table.from_batches(found)
-        del found
-        word, place, code, n = (table[c].to_numpy() for c in ("word", "place", "code", "n"))
-        del table
-        words, row = np.unique(word, return_inverse=True)
-        ask = code < 0
-        answer = np.zeros(len(words), np.int64)
-        answer[row[ask]] = n[ask]  # every chunk was told the same
-        total, c = answer >> 8, answer & 0xFF
-        beside = np.flatnonzero(~ask)
-        beside = beside[np.argsort(row[beside], kind="stable")]
-        mine, m = row[beside], n[beside].astype(float)
-        before, after = np.divmod(code[beside].astype(np.int64), c2)
-        visited = np.unique(mine)
-        spot = np.searchsorted(visited, mine)
-        for first in range(0, len(visited), 4096):
-            part = visited[first : first + 4096]
-            low, high = np.searchsorted(spot, [first, first + 4096])
-            left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
-            np.add.at(left, (spot[low:high] - first, before[low:high]), m[low:high])
-            np.add.at(right, (spot[low:high] - first, after[low:high]), m[low:high])
-            loops = left[:, classes].copy()
-            left[:, classes] = right[:, classes] = 0
-            c[part] = best_of_many(left, right, loops, c[part], between, classes)
-        stats = {TYPES << 16: (total > 0).sum(), ONCE << 16: (total == 1).sum(), TWICE << 16: (total == 2).sum()}
-        in_class = np.bincount(c[total > 0], minlength=classes)
-        keys = np.concatenate([list(stats), (IN_CLASS << 16) + np.arange(classes)]).astype(np.int64)
-        sums = np.concatenate([list(stats.values()), in_class]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([place[ask], -keys])), pa.array(np.concatenate([(total * 256 + c)[row[ask]], sums]))],
-            ["place", "answer"],
-        )
-
-    return rows.repartition(partitions, "word").mapInArrow(tidy(run), "place long, answer long")
+        for found in _by_bucket(batches):
+            answer = np.zeros(len(found["words"]), np.int64)
+            answer[found["row"]] = found["n"]  # every chunk was told the same
+            total, c = answer >> 8, answer & 0xFF
+            by = np.argsort(found["own"], kind="stable")
+            mine, m = found["own"][by], found["beside"][by].astype(float)
+            before, after = np.divmod(found["code"][by].astype(np.int64), c2)
+            visited = np.unique(mine)
+            spot = np.searchsorted(visited, mine)
+            for first in range(0, len(visited), 4096):
+                part = visited[first : first + 4096]
+                low, high = np.searchsorted(spot, [first, first + 4096])
+                left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
+                np.add.at(left, (spot[low:high] - first, before[low:high]), m[low:high])
+                np.add.at(right, (spot[low:high] - first, after[low:high]), m[low:high])
+                loops = left[:, classes].copy()
+                left[:, classes] = right[:, classes] = 0
+                c[part] = best_of_many(left, right, loops, c[part], between, classes)
+            yield _answers(found, total * 256 + c)
+            stats = {TYPES << 16: (total > 0).sum(), ONCE << 16: (total == 1).sum(), TWICE << 16: (total == 2).sum()}
+            in_class = np.bincount(c[total > 0], minlength=classes)
+            keys = np.concatenate([list(stats), (IN_CLASS << 16) + np.arange(classes)]).astype(np.int64)
+            sums = np.concatenate([list(stats.values()), in_class]).astype(np.int64)
+            nothing = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(-keys), nothing, nothing, pa.array(sums)], ["chunk", "place", "answer", "n"])
+
+    return gathered(rows, buckets).mapInArrow(tidy(run), _ANSWER)
 
 
 class Scores:
@@ -547,21 +604,23 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     pairs = keep(frequent_pairs(chunks, names), "pairs")
     label = exchange(pairs, len(names), classes)
     between = _between(pairs, label, classes)
-    rows = word_rows(chunks, names, label, classes)
-    partitions = max(8, 2 * (sizes["rows"] or 0) // WORD_ROWS)
-    answers = keep(answered(rows, partitions, names, label, best_by_neighbours(between, classes), classes), "answers")
+    buckets = max(8, 2 * (sizes["rows"] or 0) // WORD_ROWS)
+    rows = word_rows(chunks, names, label, classes, buckets)
     spark = docs.sparkSession
+    with small_batches(spark):
+        answers = keep(answered(rows, buckets, names, label, best_by_neighbours(between, classes), classes), "answers")
     for share in range(rounds):
         stale = [p for p in KEPT if p not in before]
         chunks = told(chunks, answers)
         drop_kept(spark, stale)  # the chunks are written anew
-        rows = neighbour_rows(chunks, share, rounds, classes)
+        rows = neighbour_rows(chunks, share, rounds, classes, buckets)
         pairs_now = class_pairs(chunks, classes)
         pairs_now[classes] = 0  # words seen once are in their classes
-        answers = keep(exchanged_words(rows, partitions, pairs_now, classes), "answers")
+        with small_batches(spark):
+            answers = keep(exchanged_words(rows, buckets, pairs_now, classes), "answers")
     sums: dict[int, dict[int, int]] = {}
-    for r in answers.where("place < 0").groupBy("place").agg(F.sum("answer").alias("n")).collect():  # classes squared
-        kind, key = divmod(-r["place"], 65536)
+    for r in answers.where("chunk < 0").groupBy("chunk").agg(F.sum("n").alias("n")).collect():  # kinds times classes
+        kind, key = divmod(-r["chunk"], 65536)
         sums.setdefault(kind, {})[key] = r["n"]
     count = lambda kind: sums.get(kind, {}).get(0, 0)
     n_types = count(TYPES) + (ends > 0)

@@ -265,3 +265,24 @@ def test_words_outside_the_first_exchange_are_exchanged(spark):
     assert total(2) > total(1) - 1e-9
     # a word of 40 after each: a class for either kind knows the next one's kind
     assert total(2) > -math.log10(40) - 0.1
+
+
+def test_words_travel_in_blocks(spark):
+    """A row per chunk and bucket, not per word; blocks hold every word of the chunks once, with its answers."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.3))}" for _ in range(100))) for k in range(120)]
+    chunks = class_lm.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 7).cache()
+    names, label = np.zeros(0, np.int64), np.array([4, 5])
+    blocks = class_lm.word_rows(chunks, names, label, 4, 8).cache()
+    words = {(r["chunk"], w): n for r in chunks.collect() for w, n in zip(r["words"], r["seen"])}
+    assert blocks.count() <= 8 * 3 < len(words)
+    total = Counter()
+    for (_, w), n in words.items():
+        total[w] += n
+    pick = lambda left, right: left.sum(axis=1).astype(int) % 4
+    answers = class_lm.answered(blocks, 8, names, label, pick, 4)
+    for r in class_lm.told(chunks, answers).collect():
+        row = {"known": r["known"], "at": r["at"]}
+        assert class_lm._told(row).tolist() == [total[w] * 256 + total[w] % 4 for w in r["words"]]
+    chunks.unpersist()
+    blocks.unpersist()
