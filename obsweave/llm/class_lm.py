@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,10 @@ WORD_ROWS = 300_000
 #: Bits of a chunk's number within its partition (33 billion tokens) and of a word's place within its chunk;
 #: 25 remain for the partition.
 CHUNK_BITS, PLACE_BITS = 14, 24
+#: Words held as Python objects before they are packed.
+PACK_WORDS = 100_000
+#: Counts of neighbours in a bucket that are added up before more are taken in.
+FOLD = 1_000_000
 #: Weight of the class unigrams in the transitions.
 PRIOR = 20.0
 
@@ -70,9 +74,10 @@ def encoded(docs: DataFrame, modulus: int, chunk_tokens: int = CHUNK_TOKENS) ->
         held_out: list[bool] = []
         lengths: list[int] = []
         words: list[bytes] = []
+        packed: list[pa.Array] = []
 
         def chunk(doc_arrow) -> pa.RecordBatch:
-            coded = pa.array(words, pa.binary()).dictionary_encode()
+            coded = pa.concat_arrays([*packed, pa.array(words, pa.binary())]).dictionary_encode()
             tokens = coded.indices.to_numpy().astype(np.int32)
             # frequent words get small numbers, which store better
             n = np.bincount(tokens, minlength=len(coded.dictionary))
@@ -93,7 +98,7 @@ def encoded(docs: DataFrame, modulus: int, chunk_tokens: int = CHUNK_TOKENS) ->
             }
             return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
-        doc_arrow = None
+        doc_arrow, n_words = None, 0
         for batch in batches:
             doc_arrow = batch.schema.field(0).type
             for doc_id, is_held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch)):
@@ -102,10 +107,14 @@ def encoded(docs: DataFrame, modulus: int, chunk_tokens: int = CHUNK_TOKENS) ->
                 held_out.append(is_held)
                 lengths.append(len(own))
                 words += own
-                if len(words) >= chunk_tokens:
+                n_words += len(own)
+                if len(words) >= PACK_WORDS:
+                    packed.append(pa.array(words, pa.binary()))
+                    words = []
+                if n_words >= chunk_tokens:
                     yield chunk(doc_arrow)
                     made += 1
-                    ids, held_out, lengths, words = [], [], [], []
+                    ids, held_out, lengths, words, packed, n_words = [], [], [], [], [], 0
         if ids:
             yield chunk(doc_arrow)
 
@@ -129,7 +138,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                     inner = value.values
                     row[name] = inner if name == "ids" or inner is None else inner.to_numpy(zero_copy_only=False)
                 elif name == "tokens":
-                    row[name] = np.frombuffer(value.as_py(), np.int32)
+                    row[name] = np.frombuffer(value.as_buffer(), np.int32)
                 else:
                     row[name] = value.as_py()
             yield row
@@ -137,8 +146,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _with_ends(values: np.ndarray, lengths: np.ndarray, end) -> np.ndarray:
     """The documents' tokens, each followed by an end, and one end before the first."""
-    stops = np.cumsum(lengths.astype(np.int64))
-    return np.insert(np.insert(values, stops, end), 0, end)
+    stops = np.cumsum(lengths.astype(np.int64) + 1)
+    out = np.empty(len(values) + len(lengths) + 1, values.dtype)
+    inside = np.ones(len(out), bool)
+    inside[0] = inside[stops] = False
+    out[0] = out[stops] = end
+    out[inside] = values
+    return out
 
 
 def _training(row: dict, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +182,10 @@ def frequent_pairs(chunks: DataFrame, names: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            number = _lookup(names[order], order, row["words"], k)
-            values, lengths = _training(row, number[row["tokens"]])
-            line = _with_ends(values, lengths, k + 1)
-            codes, n = _counted(line[:-1] * (k + 2) + line[1:], 0)
+            number = _lookup(names[order], order, row["words"], k).astype(np.int32)
+            values, lengths = _training(row, row["tokens"])
+            line = _with_ends(number[values], lengths, k + 1)
+            codes, n = _counted(line[:-1].astype(np.int64) * (k + 2) + line[1:], 0)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
     counts = chunks.select("held_out", "lengths", "tokens", "words").mapInArrow(tidy(run), "code long, n long")
@@ -277,6 +291,41 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _beside(own: np.ndarray, before: np.ndarray, after: np.ndarray, c2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each word stands between which classes. The code of a pair is ``before * c2 + after``. A word with
+    more pairs than two sides have classes counts its sides apart: c2 * c2 + before, and c2 * c2 + c2 + after."""
+    pairs, n = np.unique((own.astype(np.int64) * c2 + before) * c2 + after, return_counts=True)
+    word, code = np.divmod(pairs, c2 * c2)
+    hot = np.bincount(word) > 2 * c2
+    if not hot.any():
+        return word, code, n
+    apart = hot[word]
+    words, mine = np.flatnonzero(hot), np.cumsum(hot) - 1
+    around = _around(mine[word[apart]], code[apart], n[apart], len(words), c2).ravel()
+    at = np.flatnonzero(around)
+    return (
+        np.concatenate([word[~apart], words[at // (2 * c2)]]), np.concatenate([code[~apart], c2 * c2 + at % (2 * c2)]),
+        np.concatenate([n[~apart], around[at].astype(np.int64)]),
+    )
+
+
+def _cells(own: np.ndarray, code: np.ndarray, n: np.ndarray, c2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a table of the classes before and after each word, and the counts that belong there."""
+    first, code = own.astype(np.int64) * (2 * c2), code.astype(np.int64) - c2 * c2
+    pair = code < 0
+    before, after = np.divmod(code[pair] + c2 * c2, c2)
+    return (
+        np.concatenate([first[pair] + before, first[pair] + c2 + after, first[~pair] + code[~pair]]),
+        np.concatenate([n[pair], n[pair], n[~pair]]),
+    )
+
+
+def _around(own: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, c2: int) -> np.ndarray:
+    """For each of ``size`` words how often each class is before, then after it, from codes of ``_beside``."""
+    at, n = _cells(own, code, n, c2)
+    return np.bincount(at, n, size * 2 * c2).reshape(size, 2 * c2)
+
+
 _BLOCK = "bucket int, chunk long, word binary, place binary, n binary, own binary, code binary, beside binary"
 _BLOCK_TYPES = {"word": np.int64, "place": np.int64, "n": np.int64, "own": np.int32, "code": np.int16, "beside": np.int32}
 
@@ -318,33 +367,70 @@ def _blocks(row: dict, buckets: int, n: np.ndarray, own: np.ndarray, code: np.nd
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """One bucket at a time, all chunks' blocks in a row; ``row`` and ``own`` are places in ``words`` (distinct, sorted)."""
-
-    def joined(parts: list[pa.RecordBatch]) -> dict:
-        found = {c: [_unpacked(p.column(p.schema.get_field_index(c)), kind) for p in parts] for c, kind in _BLOCK_TYPES.items()}
-        out = {c: np.concatenate([values for values, _ in f]) for c, f in found.items()}
-        sizes, beside_sizes = (np.concatenate([n for _, n in found[c]]) for c in ("word", "own"))
-        out["words"], out["row"] = np.unique(out["word"], return_inverse=True)
-        out["own"] = out["row"][out["own"] + np.repeat(np.cumsum(sizes) - sizes, beside_sizes)]
-        out["chunks"] = pa.concat_arrays([p.column(p.schema.get_field_index("chunk")) for p in parts])
-        out["sizes"] = sizes
+class _Bucket:
+    """All chunks' blocks of one bucket. Counts of neighbours are added up from time to time, so that
+    a word of every chunk weighs no more than its classes."""
+
+    def __init__(self, c2: int):
+        self.c2, self.limit, self.size, self.pending = c2, FOLD, 0, 0
+        self.parts: dict[str, list] = {c: [] for c in ("chunk", "sizes", *_BLOCK_TYPES)}
+
+    def add(self, block: pa.RecordBatch) -> None:
+        column = lambda c: block.column(block.schema.get_field_index(c))
+        found = {c: _unpacked(column(c), kind) for c, kind in _BLOCK_TYPES.items()}
+        sizes, beside_sizes = found["word"][1], found["own"][1]
+        first = self.size + np.cumsum(sizes) - sizes
+        new = {c: values for c, (values, _) in found.items()}
+        new |= {"chunk": column("chunk").to_numpy(), "sizes": sizes, "own": new["own"] + np.repeat(first, beside_sizes)}
+        for c, values in new.items():
+            self.parts[c].append(values.copy())  # lets go of the batch
+        self.size += len(new["word"])
+        self.pending += len(new["own"])
+        if self.pending > self.limit:
+            self.fold()
+
+    def values(self, c: str) -> np.ndarray:
+        self.parts[c] = [np.concatenate(self.parts[c])]
+        return self.parts[c][0]
+
+    def fold(self) -> None:
+        """A count per word and class on each side; a word is named by the first of its places."""
+        _, first, row = np.unique(self.values("word"), return_index=True, return_inverse=True)
+        at, n = _cells(first[row[self.values("own")]], self.values("code"), self.values("beside"), self.c2)
+        cells, spot = np.unique(at, return_inverse=True)
+        own, side = np.divmod(cells, 2 * self.c2)
+        code = (self.c2 * self.c2 + side).astype(_BLOCK_TYPES["code"])
+        self.parts |= {"own": [own], "code": [code], "beside": [np.bincount(spot, n).astype(np.int64)]}
+        self.pending = len(own)
+        self.limit = max(FOLD, 2 * len(own))
+
+    def joined(self) -> dict:
+        """``row`` and ``own`` are places in ``words`` (distinct, sorted)."""
+        out = {c: self.values(c) for c in ("sizes", "place", "n", "own", "code", "beside")}
+        out["words"], out["row"] = np.unique(self.values("word"), return_inverse=True)
+        out["own"] = out["row"][out["own"]]
+        out["chunks"] = pa.array(self.values("chunk"))
         return out
 
-    parts, bucket = [], None
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], c2: int) -> Iterator[dict]:
+    """One bucket at a time, all chunks' blocks in a row."""
+    open_bucket, bucket = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         of = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
         for begin, end in zip(cuts, cuts[1:]):
-            if parts and of[begin] != bucket:
-                yield joined(parts)
-                parts = []
-            bucket = of[begin]
-            parts.append(batch.slice(begin, end - begin))
-    if parts:
-        yield joined(parts)
+            if open_bucket and of[begin] != bucket:
+                found = open_bucket.joined()
+                open_bucket = None
+                yield found
+                del found
+            open_bucket, bucket = open_bucket or _Bucket(c2), of[begin]
+            open_bucket.add(batch.slice(begin, end - begin))
+    if open_bucket:
+        yield open_bucket.joined()
 
 
 _ANSWER = "chunk long, place binary, answer binary, n long"
@@ -368,12 +454,10 @@ def word_rows(chunks: DataFrame, names: np.ndarray, label: np.ndarray, classes:
             words = row["words"]
             number = _lookup(names[order], order, words, k)
             values, lengths = _training(row, row["tokens"])
-            line = _with_ends(label[number[values]], lengths, classes + 1)
+            line = _with_ends(label[number].astype(np.int16)[values], lengths, classes + 1)
             at = np.flatnonzero(line == classes)
-            word = _with_ends(values, lengths, -1)[at].astype(np.int64)
-            codes, n = np.unique((word * c2 + line[at - 1]) * c2 + line[at + 1], return_counts=True)
-            word, code = np.divmod(codes, c2 * c2)
-            yield _blocks(row, buckets, row["seen"], word, code, n)
+            word = _with_ends(values, lengths, -1)[at]
+            yield _blocks(row, buckets, row["seen"], *_beside(word, line[at - 1], line[at + 1], c2))
 
     return chunks.select("chunk", "held_out", "lengths", "tokens", "words", "seen").mapInArrow(tidy(run), _BLOCK)
 
@@ -392,25 +476,22 @@ def answered(rows: DataFrame, buckets: int, names: np.ndarray, label: np.ndarray
     c2, order = classes + 2, np.argsort(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _by_bucket(batches):
+        for found in _by_bucket(batches, c2):
             words, row = found["words"], found["row"]
             total = np.bincount(row, found["n"], minlength=len(words)).astype(np.int64)
             c = _lookup(names[order], label[: len(names)][order], words, -1)
-            before, after = np.divmod(found["code"].astype(np.int64), c2)
             # words outside the exchange, some thousands at a time
             others = np.flatnonzero(c < 0)
             spot = np.full(len(words), -1)
             spot[others] = np.arange(len(others))
             mine = spot[found["own"]]
-            by = np.argsort(mine, kind="stable")
-            mine, before, after, m = mine[by], before[by], after[by], found["beside"][by]
+            by = np.argsort(mine)
+            mine, code, m = mine[by], found["code"][by], found["beside"][by]
             for first in range(0, len(others), 8192):
                 part = others[first : first + 8192]
                 low, high = np.searchsorted(mine, [first, first + 8192])
-                left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
-                np.add.at(left, (mine[low:high] - first, before[low:high]), m[low:high])
-                np.add.at(right, (mine[low:high] - first, after[low:high]), m[low:high])
-                c[part] = best(left, right)
+                around = _around(mine[low:high] - first, code[low:high], m[low:high], len(part), c2)
+                c[part] = best(around[:, :c2].copy(), around[:, c2:].copy())
             yield _answers(found, total * 256 + np.maximum(c, 0))
 
     return gathered(rows, buckets).mapInArrow(tidy(run), _ANSWER)
@@ -456,15 +537,23 @@ def _told(row: dict) -> np.ndarray:
     return out
 
 
+def _part(chunk: str) -> Column:
+    return F.pmod(F.xxhash64(chunk), F.lit(TOLD_PARTS)).cast("int")
+
+
 def told(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """The chunks next to the answers to their words, written once; a share of the chunks is shuffled at a time."""
+    """The chunks next to the answers to their words, written once; a share of the chunks is shuffled at a time.
+
+    A file holds one chunk, and a chunk's ``part`` says in which share it is: no task holds, and no share reads, more than its own.
+    """
     out = []
+    if "part" not in chunks.columns:
+        chunks = chunks.withColumn("part", _part("chunk"))
     for part in range(TOLD_PARTS):
-        mine = lambda chunk: F.pmod(F.xxhash64(chunk), F.lit(TOLD_PARTS)) == part
-        by_chunk = answers.where("chunk >= 0").where(mine("chunk")).groupBy("chunk").agg(
+        by_chunk = answers.where("chunk >= 0").where(_part("chunk") == part).groupBy("chunk").agg(
             F.collect_list("place").alias("at"), F.collect_list("answer").alias("known"))
-        own = chunks.where(mine("chunk")).drop("seen", "at", "known")
-        out.append(keep(own.join(by_chunk, "chunk", "left"), "told"))
+        own = chunks.where(F.col("part") == part).drop("seen", "at", "known", "part")
+        out.append(keep(own.join(by_chunk, "chunk", "left"), "told", 1).withColumn("part", F.lit(part)))
     return functools.reduce(DataFrame.unionAll, out)
 
 
@@ -477,9 +566,9 @@ def class_pairs(known: DataFrame, classes: int) -> np.ndarray:
         for row in _rows(batches):
             answer = _told(row)
             values, lengths = _training(row, row["tokens"])
-            line = _with_ends((answer & 0xFF)[values], lengths, classes + 1)
+            line = _with_ends((answer & 0xFF).astype(np.int16)[values], lengths, classes + 1)
             once = _with_ends((answer >> 8 == 1)[values], lengths, False)[:-1]
-            codes = line[:-1] * c2 + line[1:]
+            codes = line[:-1].astype(np.int32) * c2 + line[1:]
             at, n = _counted(np.concatenate([codes, classes * c2 + line[1:][once]]), 0)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["code", "n"])
 
@@ -499,16 +588,14 @@ def neighbour_rows(known: DataFrame, share: int, shares: int, classes: int, buck
         for row in _rows(batches):
             words, answer = row["words"], _told(row)
             values, lengths = _training(row, row["tokens"])
-            line = _with_ends((answer & 0xFF)[values], lengths, classes + 1)
-            word = _with_ends(values, lengths, -1).astype(np.int64)
+            line = _with_ends((answer & 0xFF).astype(np.int16)[values], lengths, classes + 1)
+            word = _with_ends(values, lengths, -1)
             visited = np.append(words.view(np.uint64) % np.uint64(shares) == share, False)  # -1 is an end
             at = np.flatnonzero(visited[word])
             own = word[at]
             before = np.where(word[at - 1] == own, classes, line[at - 1])
             after = np.where(word[at + 1] == own, classes, line[at + 1])
-            codes, n = np.unique((own * c2 + before) * c2 + after, return_counts=True)
-            own, code = np.divmod(codes, c2 * c2)
-            yield _blocks(row, buckets, answer, own, code, n)
+            yield _blocks(row, buckets, answer, *_beside(own, before, after, c2))
 
     return known.select("chunk", "held_out", "lengths", "tokens", "words", "at", "known").mapInArrow(tidy(run), _BLOCK)
 
@@ -519,21 +606,20 @@ def exchanged_words(rows: DataFrame, buckets: int, between: np.ndarray, classes:
     c2 = classes + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _by_bucket(batches):
+        for found in _by_bucket(batches, c2):
             answer = np.zeros(len(found["words"]), np.int64)
             answer[found["row"]] = found["n"]  # every chunk was told the same
             total, c = answer >> 8, answer & 0xFF
-            by = np.argsort(found["own"], kind="stable")
-            mine, m = found["own"][by], found["beside"][by].astype(float)
-            before, after = np.divmod(found["code"][by].astype(np.int64), c2)
-            visited = np.unique(mine)
-            spot = np.searchsorted(visited, mine)
-            for first in range(0, len(visited), 4096):
-                part = visited[first : first + 4096]
-                low, high = np.searchsorted(spot, [first, first + 4096])
-                left, right = np.zeros((len(part), c2)), np.zeros((len(part), c2))
-                np.add.at(left, (spot[low:high] - first, before[low:high]), m[low:high])
-                np.add.at(right, (spot[low:high] - first, after[low:high]), m[low:high])
+            by = np.argsort(found["own"])
+            mine, code, m = found["own"][by], found["code"][by], found["beside"][by]
+            begins = np.flatnonzero(np.diff(mine, prepend=-1))
+            visited, ends = mine[begins], np.append(begins, len(mine))
+            for first in range(0, len(visited), 1024):  # each may stand beside all classes
+                part = visited[first : first + 1024]
+                low, high = ends[first], ends[first + len(part)]
+                spot = np.searchsorted(part, mine[low:high])
+                around = _around(spot, code[low:high], m[low:high], len(part), c2)
+                left, right = around[:, :c2].copy(), around[:, c2:].copy()
                 loops = left[:, classes].copy()
                 left[:, classes] = right[:, classes] = 0
                 c[part] = best_of_many(left, right, loops, c[part], between, classes)
@@ -570,11 +656,11 @@ class Scores:
         """Of each document, its end included."""
         end = self.classes
         word = np.where(n > 0, np.log10(np.maximum(n - self.discount, 1e-9) / self.size[np.maximum(c, 0)]), 0.0)
-        line = _with_ends(np.where(n > 0, c, end + 1)[tokens], lengths, end)
+        line = _with_ends(np.where(n > 0, c, end + 1).astype(np.int16)[tokens], lengths, end)
         emitted = _with_ends(word[tokens], lengths, 0.0)
         state, to = line[:-1], line[1:]
         p = np.where(to == end + 1, self.unknown[state], self.step[state, np.minimum(to, end)] + emitted[1:])
-        owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
         return np.bincount(owner, p, minlength=len(lengths))
 
 
@@ -584,9 +670,14 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     A null or empty text is its end alone. Repeated rows each train and get a row.
     Without training texts every token has probability 1 of being the unknown word.
     """
+    with small_batches(docs.sparkSession):  # a chunk is a batch
+        return _fit_and_score(docs, modulus, classes, exchanged, rounds)
+
+
+def _fit_and_score(docs: DataFrame, modulus: int, classes: int, exchanged: int, rounds: int) -> DataFrame:
     doc_field = docs.schema["doc_id"]
     before = set(KEPT)
-    chunks = keep(encoded(docs, modulus), "chunks")
+    chunks = keep(encoded(docs, modulus).withColumn("part", _part("chunk")), "chunks", 1, ("part",))
     sizes = chunks.agg(
         F.sum(F.size(F.filter("held_out", lambda h: ~h))).alias("ends"),
         F.sum(F.aggregate("seen", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words"),
@@ -607,8 +698,7 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     buckets = max(8, 2 * (sizes["rows"] or 0) // WORD_ROWS)
     rows = word_rows(chunks, names, label, classes, buckets)
     spark = docs.sparkSession
-    with small_batches(spark):
-        answers = keep(answered(rows, buckets, names, label, best_by_neighbours(between, classes), classes), "answers")
+    answers = keep(answered(rows, buckets, names, label, best_by_neighbours(between, classes), classes), "answers")
     for share in range(rounds):
         stale = [p for p in KEPT if p not in before]
         chunks = told(chunks, answers)
@@ -616,8 +706,7 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
         rows = neighbour_rows(chunks, share, rounds, classes, buckets)
         pairs_now = class_pairs(chunks, classes)
         pairs_now[classes] = 0  # words seen once are in their classes
-        with small_batches(spark):
-            answers = keep(exchanged_words(rows, buckets, pairs_now, classes), "answers")
+        answers = keep(exchanged_words(rows, buckets, pairs_now, classes), "answers")
     sums: dict[int, dict[int, int]] = {}
     for r in answers.where("chunk < 0").groupBy("chunk").agg(F.sum("n").alias("n")).collect():  # kinds times classes
         kind, key = divmod(-r["chunk"], 65536)
@@ -638,7 +727,7 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
             answer = _told(row)
             n, c = answer >> 8, answer & 0xFF
             tokens, lengths = row["tokens"], row["lengths"].astype(np.int64)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             floor = -np.log10(n_all + n_types + 1)
             base = np.bincount(owner, np.log10(n + 1.0)[tokens], minlength=len(lengths)) + np.log10(ends + 1.0)
             base += (lengths + 1) * floor
@@ -655,7 +744,10 @@ def fit_and_score(docs: DataFrame, modulus: int = 7, classes: int = CLASSES, exc
     schema = T.StructType([doc_field, *T.StructType.fromDDL(
         "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     columns = known.select("ids", "held_out", "lengths", "tokens", "at", "known")
-    return columns.mapInArrow(tidy(run), schema)
+    stale = [p for p in KEPT if p not in before]
+    out = keep(columns.mapInArrow(tidy(run), schema), "scores")
+    drop_kept(spark, stale)
+    return out
 
 
 def _between(pairs: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:

@@ -81,15 +81,16 @@ def held(doc_id: str, modulus: int) -> Column:
 KEPT: list[str] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, file_rows: int = 0, parts: tuple[str, ...] = ()) -> DataFrame:
     """Write once to the shared folder and go on from the files.
 
     A lost executor then repeats nothing before this point, and a table that is
     read more than once is made once. ``drop_kept`` removes the files when no
-    result that reads them is needed any more.
+    result that reads them is needed any more. ``file_rows`` bounds the rows of a
+    file, for rows of many MB, of which a reader holds a whole file's; ``parts`` are columns to file rows under.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).partitionBy(*parts).parquet(path)
     KEPT.append(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from obsweave.llm import class_lm, kneser_ney, toxicity
+from obsweave.llm import class_lm, common, kneser_ney, toxicity
 from tests.llm import fixtures
 
 
@@ -286,3 +286,52 @@ def test_words_travel_in_blocks(spark):
         assert class_lm._told(row).tolist() == [total[w] * 256 + total[w] % 4 for w in r["words"]]
     chunks.unpersist()
     blocks.unpersist()
+
+
+def test_frequent_words_travel_by_side(spark, monkeypatch):
+    """A word beside all classes in every chunk weighs two rows of classes a chunk, and once for all chunks when blocks meet."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(x for _ in range(400) for x in ("the", f"w{rng.randrange(60)}"))) for k in range(42)]
+    chunks = class_lm.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 7).collect()
+    classes, c2 = 12, 14
+    label = lambda word: (word & 0xFFFF) % classes
+    blocks, expected, entries = [], Counter(), 0
+    for r in chunks:
+        words = np.array(r["words"], np.int64)
+        line = np.concatenate([[-1], *(np.append(part, -1) for part in np.split(
+            np.frombuffer(r["tokens"], np.int32), np.cumsum(r["lengths"])[:-1]))]).astype(int)
+        state = np.append(label(words), classes + 1)[line]
+        at = np.flatnonzero(line >= 0)
+        own, code, n = class_lm._beside(line[at], state[at - 1], state[at + 1], c2)
+        assert np.bincount(own).max() <= 2 * c2 < len({*zip(state[at - 1][line[at] == 0], state[at + 1][line[at] == 0])})
+        entries += len(own)
+        for i in at:
+            expected[int(words[line[i]]), int(state[i - 1])] += 1
+            expected[int(words[line[i]]), int(c2 + state[i + 1])] += 1
+        row = {"chunk": r["chunk"], "words": words}
+        blocks.append(class_lm._blocks(row, 1, np.array(r["seen"]), own, code, n))
+    for fold in (1_000_000, 50):
+        monkeypatch.setattr(class_lm, "FOLD", fold)
+        (found,) = class_lm._by_bucket(iter(blocks), c2)
+        assert len(found["own"]) <= entries if fold > 50 else len(found["own"]) < 3 * len(expected)
+        around = class_lm._around(found["own"], found["code"], found["beside"], len(found["words"]), c2)
+        assert {(int(found["words"][w]), int(c)): n for (w, c), n in np.ndenumerate(around) if n} == expected
+        assert found["words"][found["row"]].tolist() == [w for r in chunks for w in r["words"]]
+
+
+def test_a_file_holds_one_chunk(spark, monkeypatch):
+    """However many chunks a task makes, a reader of the kept table holds one at a time."""
+    monkeypatch.setattr(class_lm, "PACK_WORDS", 7)
+    before = set(common.KEPT)
+    rows = [(k, " ".join(f"w{k * j % 11}" for j in range(k % 5))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = common.keep(class_lm.encoded(docs, 7, 20), "chunks", 1)
+    made = kept.collect()
+    assert len(made) > 4 and len(kept.inputFiles()) == len(made)
+    assert [(d, n) for r in sorted(made, key=lambda r: r["chunk"]) for d, n in zip(r["ids"], r["lengths"])] == [
+        (k, len(t.split())) for k, t in rows]
+    for r in made:
+        words = [w for k in r["ids"] for w in rows[k][1].split()]
+        names = class_lm._hashes([w.encode() for w in words])
+        assert np.array(r["words"])[np.frombuffer(r["tokens"], np.int32)].tolist() == names.tolist()
+    common.drop_kept(spark, [p for p in common.KEPT if p not in before])
